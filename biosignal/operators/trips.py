@@ -2,7 +2,7 @@
 
 Every fix of a device gets a core distance: the radius that holds `dense_s` seconds of the device's time within
 `window_s` seconds of the fix. Its reachability is the smallest max(core distance of a neighbour, distance to it).
-In order of time these values are a reachability plot: its valleys (at most `radius_m`) are runs of staying, its
+In order of time these values are a reachability plot: its valleys (at most `valley_m`) are runs of staying, its
 ridges runs of moving. The plot is made for chunks of a day with a margin of `window_s`, so that a device with a third
 of all pings is spread over as many tasks as it has days; a second pass joins the runs (a few dozen a day) in order.
 """
@@ -82,13 +82,13 @@ def _median3(x: np.ndarray, forward: bool) -> np.ndarray:
     return np.maximum(np.minimum(x, a), np.minimum(np.maximum(x, a), b))
 
 
-def _runs(block: pd.DataFrame, window_s: float, dense_s: float, radius_m: float) -> pd.DataFrame:
+def _runs(block: pd.DataFrame, window_s: float, dense_s: float, valley_m: float) -> pd.DataFrame:
     same = ~changes(block, ["entity", "chunk", "us", "latitude", "longitude"])
     block = block[~same].reset_index(drop=True)
     seg = np.cumsum(changes(block, ["entity", "chunk"])) - 1
     us, lat, lon = block.us.to_numpy(), block.latitude.to_numpy(), block.longitude.to_numpy()
     t = (us - us.min()) / 1e6
-    stay = reachability(seg, t, lat, lon, window_s, dense_s) <= radius_m
+    stay = reachability(seg, t, lat, lon, window_s, dense_s) <= valley_m
     own = block.own.to_numpy(bool)
     # longitudes of a segment are continued over the 180th meridian
     first = np.repeat(lon[np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])], np.bincount(seg))
@@ -98,10 +98,10 @@ def _runs(block: pd.DataFrame, window_s: float, dense_s: float, radius_m: float)
     jump = np.zeros(len(t), bool)
     if len(v) > 1:
         a, b = v[:-1], v[1:]
-        apart = metres(lat[a], flat[a], lat[b], flat[b]) > radius_m
+        apart = metres(lat[a], flat[a], lat[b], flat[b]) > valley_m
         before = (_median3(lat[v], False)[:-1], _median3(flat[v], False)[:-1])
         after = (_median3(lat[v], True)[1:], _median3(flat[v], True)[1:])
-        jump[b] = apart & (metres(*before, *after) > 0.8 * radius_m)
+        jump[b] = apart & (metres(*before, *after) > 0.8 * valley_m)
     rows = np.flatnonzero(own)
     if not len(rows):
         return pd.DataFrame(columns=[c.split()[0] for c in RUN_SCHEMA.split(", ")])
@@ -182,7 +182,7 @@ def _episodes(frame: pd.DataFrame, radius_m: float, min_stop_s: float, halt_s: f
     return pd.DataFrame(rows, columns=[c.split()[0] for c in OUT_SCHEMA.split(", ")])
 
 
-def stops_and_trips(df: DataFrame, entity: str = "entity", ts: str = "ts", lat: str = "latitude", lon: str = "longitude", *, radius_m: float = 150.0, min_stop_s: float = 900.0, halt_s: float = 300.0, max_wrong: int = 3, gap_s: float = 7200.0, window_s: float = 600.0, dense_s: float = 480.0) -> DataFrame:
+def stops_and_trips(df: DataFrame, entity: str = "entity", ts: str = "ts", lat: str = "latitude", lon: str = "longitude", *, radius_m: float = 150.0, valley_m: float = 110.0, min_stop_s: float = 900.0, halt_s: float = 300.0, max_wrong: int = 3, gap_s: float = 7200.0, window_s: float = 900.0, dense_s: float = 600.0) -> DataFrame:
     """(entity, kind, start_us, end_us, duration_s, distance_m, fixes, latitude, longitude): a row per stop and trip.
 
     Rows without an entity, a time or valid coordinates take no part; repeated rows count once; order of arrival does
@@ -195,5 +195,5 @@ def stops_and_trips(df: DataFrame, entity: str = "entity", ts: str = "ts", lat:
     margin = int(window_s * 1e6)
     reach = F.explode(F.sequence(F.floor((F.col("us") - margin) / F.lit(DAY_US)).cast("bigint"), F.floor((F.col("us") + margin) / F.lit(DAY_US)).cast("bigint")))
     chunks = fixes.select("entity", "us", "latitude", "longitude", chunk.alias("home"), reach.alias("chunk")).withColumn("own", F.col("home") == F.col("chunk")).drop("home")
-    runs = map_segments(chunks, ["entity", "chunk"], ["us", "latitude", "longitude"], lambda b: _runs(b, window_s, dense_s, radius_m), RUN_SCHEMA.format(entity=kind))
+    runs = map_segments(chunks, ["entity", "chunk"], ["us", "latitude", "longitude"], lambda b: _runs(b, window_s, dense_s, valley_m), RUN_SCHEMA.format(entity=kind))
     return map_segments(runs, ["entity"], ["start_us"], lambda b: _episodes(b, radius_m, min_stop_s, halt_s, max_wrong, gap_s), OUT_SCHEMA.format(entity=kind))
