@@ -1,0 +1,165 @@
+"""Similarity clusters of places: mergeable cluster features, Ward agglomeration, one assignment pass.
+
+A cluster feature is (n, sum of x, y, z, sum of squares) of unit-sphere coordinates in metres; features add up, so each
+partition sums its own and the shuffle sums the partitions' (the aggregate's partial and final phase). The tree has a
+fixed fan-out: leaves are cells of `leaf_m`, their nodes cells of `NODE` leaves, their roots tiles of `TILE` leaves. A
+leaf whose node and neighbouring nodes hold fewer than `min_size` records cannot belong to a cluster and is pruned.
+The leaves of a tile, with a margin, are agglomerated by Ward's criterion; a tile holds a number of leaves bounded by
+its area, however many records pile up in it. A last pass over all records assigns each to its nearest centroid.
+"""
+
+from __future__ import annotations
+
+import heapq
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from biosignal.operators.blocks import changes, map_segments
+from biosignal.sources.tables import valid_fixes
+from biosignal.session import materialise
+
+RADIUS_M = 6371009.0
+NODE, TILE = 8, 64
+
+
+def _xyz(lat: Column, lon: Column) -> list[Column]:
+    la, lo = F.radians(lat), F.radians(lon)
+    return [F.lit(RADIUS_M) * F.cos(la) * F.cos(lo), F.lit(RADIUS_M) * F.cos(la) * F.sin(lo), F.lit(RADIUS_M) * F.sin(la)]
+
+
+def ward(n: np.ndarray, mean: np.ndarray, ss: np.ndarray, across_m: float) -> np.ndarray:
+    """Label of each cluster feature: pairs merge in order of Ward's increase, n_a n_b / (n_a + n_b) d^2, as long as the
+    centroids are at most `across_m` apart and the root mean square radius stays that of a disc of that width."""
+    m = len(n)
+    label, n, mean = np.arange(m), list(n.astype(float)), [*mean]
+    spread = [max(0.0, s) for s in ss]  # sum of squared distances from the centroid
+    alive, near = [True] * m, [set() for _ in range(m)]
+    limit = (across_m / 2) ** 2 / 2 * 1.1
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(a: int, b: int) -> None:
+        d2 = float(((mean[a] - mean[b]) ** 2).sum())
+        if d2 > across_m**2:
+            return
+        cost = n[a] * n[b] / (n[a] + n[b]) * d2
+        if (spread[a] + spread[b] + cost) / (n[a] + n[b]) <= limit:
+            heapq.heappush(heap, (cost, a, b))
+            near[a].add(b)
+            near[b].add(a)
+
+    at = np.array(mean).reshape(m, 3)
+    order = np.argsort(at[:, 0])
+    x = at[order, 0]
+    hi = np.searchsorted(x, x + across_m, side="right")
+    for k in range(m):
+        other = order[k + 1 : hi[k]]
+        for b in other[((at[other] - at[order[k]]) ** 2).sum(axis=1) <= across_m**2]:
+            offer(int(order[k]), int(b))
+    members = {k: [k] for k in range(m)}
+    while heap:
+        cost, a, b = heapq.heappop(heap)
+        if not (alive[a] and alive[b]):
+            continue
+        c = len(n)
+        n.append(n[a] + n[b])
+        mean.append((mean[a] * n[a] + mean[b] * n[b]) / n[c])
+        spread.append(spread[a] + spread[b] + cost)
+        alive[a] = alive[b] = False
+        alive.append(True)
+        near.append(set())
+        members[c] = members.pop(a) + members.pop(b)
+        for o in (near[a] | near[b]) - {a, b}:
+            if alive[o]:
+                offer(o, c)
+    for k, own in members.items():
+        label[own] = k
+    return label
+
+
+def _tile_clusters(block: pd.DataFrame, leaf_m: float, min_size: int, across_m: float) -> pd.DataFrame:
+    out = []
+    start = np.flatnonzero(changes(block, ["tx", "ty", "tz"]))
+    for a, b in zip(start, np.r_[start[1:], len(block)]):
+        t = block.iloc[a:b]
+        n, key = t.n.to_numpy(), t[["kx", "ky", "kz"]].to_numpy()
+        mean = t[["sx", "sy", "sz"]].to_numpy() / n[:, None]
+        ss = t.ss.to_numpy() - n * (mean**2).sum(axis=1)
+        # inner nodes: mass of the node of a leaf and of the nodes next to it
+        node, of = np.unique(key // NODE, axis=0, return_inverse=True)
+        mass = np.bincount(of.ravel(), n)
+        close = (np.abs(node[:, None, :] - node[None, :, :]) <= 1).all(axis=2) if len(node) <= 2000 else None
+        around = close @ mass if close is not None else np.array([mass[(np.abs(node - c) <= 1).all(axis=1)].sum() for c in node])
+        keep = around[of.ravel()] >= min_size
+        if not keep.any():
+            continue
+        n, mean, ss = n[keep], mean[keep], ss[keep]
+        label = ward(n, mean, ss, across_m)
+        for k in np.unique(label):
+            own = label == k
+            centre = np.average(mean[own], axis=0, weights=n[own])
+            for _ in range(2):  # the centroid of all leaves that the assignment will reach
+                near = ((mean - centre) ** 2).sum(axis=1) <= (across_m / 2) ** 2
+                if near.any():
+                    centre = np.average(mean[near], axis=0, weights=n[near])
+            size = int(n[near].sum()) if near.any() else 0
+            tile = np.floor(centre / (leaf_m * TILE)).astype(np.int64)
+            if size >= min_size and (tile == t[["tx", "ty", "tz"]].iloc[0].to_numpy()).all():
+                out.append((*centre, size))
+    found = pd.DataFrame(out, columns=["cx", "cy", "cz", "size"])
+    # remainders of a place that lead to the same centroid are one cluster
+    found = found.sort_values(["size", "cx", "cy", "cz"], ascending=[False, True, True, True]).reset_index(drop=True)
+    drop, at = np.zeros(len(found), bool), found[["cx", "cy", "cz"]].to_numpy()
+    for i in range(len(found)):
+        if not drop[i]:
+            drop[i + 1 :] |= ((at[i + 1 :] - at[i]) ** 2).sum(axis=1) <= across_m**2
+    return found[~drop]
+
+
+def find_clusters(points: DataFrame, leaf_m: float, min_size: int, across_m: float) -> DataFrame:
+    """(cluster_id, cx, cy, cz): the centroids of the clusters, of points with x, y, z in metres."""
+    key = {f"k{c}": F.floor(F.col(c) / leaf_m).cast("bigint") for c in "xyz"}
+    leaves = points.withColumns(key).groupBy("kx", "ky", "kz").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{c}") for c in "xyz"], F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")).alias("ss"))
+    margin = int(np.ceil(2 * across_m / leaf_m))
+    for c in "xyz":
+        low, high = F.floor((F.col(f"k{c}") - margin) / TILE).cast("bigint"), F.floor((F.col(f"k{c}") + margin) / TILE).cast("bigint")
+        leaves = leaves.withColumn(f"t{c}", F.explode(F.sequence(low, high)))
+    found = map_segments(leaves, ["tx", "ty", "tz"], ["kx", "ky", "kz"], lambda b: _tile_clusters(b, leaf_m, min_size, across_m), "cx double, cy double, cz double, size bigint")
+    # a cluster's id follows from its place, so that a task that runs again gives the same one
+    return found.select(F.xxhash64(*[F.round(c, 1) for c in ("cx", "cy", "cz")]).alias("cluster_id"), "cx", "cy", "cz")
+
+
+def place_clusters(df: DataFrame, id: str = "ping_id", lat: str = "latitude", lon: str = "longitude", *, across_m: float = 250.0, min_size: int = 30, reach_m: float = 150.0, leaf_m: float = 30.0) -> DataFrame:
+    """(id, cluster_id, distance_m, latitude, longitude): the cluster of each record that belongs to one.
+
+    A cluster is a place about `across_m` across at most with at least `min_size` records; a record belongs to the
+    nearest one whose centroid is at most `reach_m` away. Records without an id or a valid place, and lone ones, are in
+    no cluster; a repeated id counts once, at the place nearest to a centroid. Empty in, empty out; other columns are
+    ignored.
+    """
+    p = valid_fixes(df.where(F.col(id).isNotNull()), F.col(id).alias("id"), lat=lat, lon=lon)
+    x, y, z = _xyz(F.col("latitude"), F.col("longitude"))
+    p = p.select("id", "latitude", "longitude", x.alias("x"), y.alias("y"), z.alias("z"))
+    found = materialise(find_clusters(p, leaf_m, max(1, int(min_size * 0.8)), across_m))
+    cells = found
+    for c in "xyz":
+        low, high = F.floor((F.col(f"c{c}") - reach_m) / reach_m).cast("bigint"), F.floor((F.col(f"c{c}") + reach_m) / reach_m).cast("bigint")
+        cells = cells.withColumn(f"g{c}", F.explode(F.sequence(low, high)))
+    p = p.withColumns({f"g{c}": F.floor(F.col(c) / reach_m).cast("bigint") for c in "xyz"})
+    d2 = sum(((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz"), F.lit(0.0))
+    near = p.join(cells, ["gx", "gy", "gz"]).withColumn("distance_m", F.sqrt(d2)).where(F.col("distance_m") <= reach_m)
+    nearest = near.groupBy("id").agg(F.min(F.struct("distance_m", "cluster_id", "latitude", "longitude")).alias("best"))
+    own = nearest.select("id", "best.cluster_id", "best.distance_m", "best.latitude", "best.longitude")
+    small = own.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size).select("cluster_id")
+    return own.join(small, "cluster_id").select("id", "cluster_id", "distance_m", "latitude", "longitude")
+
+
+def describe_clusters(members: DataFrame, typical: int = 3) -> DataFrame:
+    """(cluster_id, size, radius_m, typical): each cluster's size, root mean square radius and the ids nearest to its centroid."""
+    size = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.sqrt(F.avg(F.col("distance_m") * F.col("distance_m"))).alias("radius_m"))
+    w = Window.partitionBy("cluster_id").orderBy("distance_m", "id")
+    top = members.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= typical)  # limited before the shuffle, too
+    top = top.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("best"))
+    return size.join(top, "cluster_id").select("cluster_id", "size", "radius_m", F.col("best.id").alias("typical"))

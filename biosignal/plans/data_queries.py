@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from biosignal.operators.groups import describe_clusters, place_clusters
+from biosignal.operators.nearby import containing_regions, near_pairs
 from biosignal.operators.regrid import missing_cells, regular_grid
 from biosignal.operators.trips import stops_and_trips
+from biosignal.session import materialise
 from biosignal.sources.tables import load
 
 SLOT_US = 900_000_000
@@ -39,7 +42,38 @@ def p2_grid(spark: SparkSession, folder: str) -> DataFrame:
     return grid.select("rec_id", "slot", *[F.round(F.col(f"{v}_{what}") + 1e-10, 6).alias(f"{v}_{what}") for v in "xyz" for what in ("mean", "coverage")], *[f"{v}_readings" for v in "xyz"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_episodes": p1_episodes, "p2_found": p2_found, "p2_grid": p2_grid}
+NEAR_M = 20.0
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of fixes of different phones at most 20 m apart, and the zones that contain a fix."""
+    fixes = load(spark, folder, "android_phone_location")
+    near = near_pairs(fixes, NEAR_M).select(F.lit("near").alias("kind"), "left_id", "right_id")
+    inside = containing_regions(fixes, load(spark, folder, "zones")).select(F.lit("inside").alias("kind"), F.col("id").alias("left_id"), F.col("zone").alias("right_id"))
+    return near.unionByName(inside)
+
+
+def p3_near_distances(spark: SparkSession, folder: str) -> DataFrame:
+    """The near pairs with their distance in centimetres."""
+    pairs = near_pairs(load(spark, folder, "android_phone_location"), NEAR_M)
+    return pairs.select("left_id", "right_id", F.floor(F.col("distance_m") * 10).cast("bigint").alias("decimetres"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of probe fixes that belong to the same cluster."""
+    member = place_clusters(load(spark, folder, "android_phone_location")).select("id", "cluster_id")
+    probes = load(spark, folder, "probe_fixes").select(F.col("ping_id").alias("id")).distinct()
+    own = member.join(probes, "id")
+    a, b = own.select(F.col("id").alias("ping_a"), "cluster_id"), own.select(F.col("id").alias("ping_b"), "cluster_id")
+    return a.join(b, "cluster_id").where(F.col("ping_a") < F.col("ping_b")).select("ping_a", "ping_b")
+
+
+def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Size and most typical fixes of every cluster of places."""
+    return describe_clusters(materialise(place_clusters(load(spark, folder, "android_phone_location"))))
+
+
+QUERIES = {"p1_found": p1_found, "p1_episodes": p1_episodes, "p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p3_near_distances": p3_near_distances, "p4_found": p4_found, "p4_clusters": p4_clusters}
 
 _GRID = """
 rec AS (SELECT rec_id, epoch_us(started) AS t0, epoch_us(ended) AS t1, step_ms * 1000 AS step FROM recordings
@@ -52,7 +86,33 @@ long AS (SELECT rec_id, idx, us, step, len, 'x' AS axis, x AS v FROM reading UNI
          SELECT rec_id, idx, us, step, len, 'z', z FROM reading),
 valid AS (SELECT * FROM long WHERE v IS NOT NULL AND NOT isnan(v))"""
 
+_FIXES = """
+fix AS (SELECT DISTINCT ping_id, entity, latitude AS y, longitude AS x FROM android_phone_location
+        WHERE abs(latitude) <= 90 AND abs(longitude) <= 180 AND NOT (latitude = 0 AND longitude = 0))"""
+_NEAR = """
+cell AS (SELECT *, CAST(floor(y / 0.0002) AS BIGINT) AS strip FROM fix),
+other AS (SELECT ping_id, entity, y, x, strip + unnest([-1, 0, 1]) AS strip FROM cell),
+pair AS (SELECT a.ping_id AS left_id, b.ping_id AS right_id,
+                12742018 * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) AS m
+         FROM cell a JOIN other b ON a.strip = b.strip AND a.ping_id < b.ping_id AND a.entity <> b.entity AND abs(a.y - b.y) <= 0.00018
+         WHERE least(abs(a.x - b.x), 360 - abs(a.x - b.x)) * cos(radians(least(abs(a.y), abs(b.y)))) <= 0.0004)"""
+
 SQL = {
+    "p3_near_distances": f"""WITH {_FIXES}, {_NEAR}
+SELECT left_id, right_id, CAST(floor(m * 10) AS BIGINT) AS decimetres FROM pair WHERE m <= 20""",
+    "p3_found": f"""WITH {_FIXES}, {_NEAR},
+corner AS (SELECT zone_id, seq, latitude AS y, first_value(longitude) OVER (PARTITION BY zone_id ORDER BY seq) AS base, longitude FROM zones),
+ring AS (SELECT zone_id, seq, y, CASE WHEN longitude - base > 180 THEN longitude - 360 WHEN longitude - base < -180 THEN longitude + 360 ELSE longitude END AS x FROM corner),
+edge AS (SELECT zone_id, y AS y1, x AS x1, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2
+         FROM ring WINDOW w AS (PARTITION BY zone_id ORDER BY seq)),
+box AS (SELECT zone_id, min(y) AS south, max(y) AS north, min(x) AS west, max(x) AS east FROM ring GROUP BY zone_id),
+turned AS (SELECT f.ping_id, f.y, f.x + t.turn AS x FROM fix f CROSS JOIN (SELECT unnest([-360, 0, 360]) AS turn) t),
+seen AS (SELECT f.ping_id, f.y, f.x, b.zone_id FROM turned f JOIN box b ON f.y BETWEEN b.south AND b.north AND f.x BETWEEN b.west AND b.east),
+inside AS (SELECT s.ping_id, s.zone_id FROM seen s JOIN edge e USING (zone_id)
+           WHERE (e.y1 <= s.y) <> (e.y2 <= s.y) AND e.x1 + (s.y - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1) <= s.x
+           GROUP BY s.ping_id, s.x, s.zone_id HAVING count(*) % 2 = 1)
+SELECT 'near' AS kind, left_id, right_id FROM pair WHERE m <= 20
+UNION ALL SELECT DISTINCT 'inside', ping_id, zone_id FROM inside""",
     "p2_found": f"""WITH {_GRID},
 axes AS (SELECT unnest(['x', 'y', 'z']) AS axis)
 SELECT g.rec_id, a.axis, g.slot FROM grid g CROSS JOIN axes a
