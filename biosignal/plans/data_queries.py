@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from biosignal.operators.groups import describe_clusters, place_clusters
 from biosignal.operators.nearby import containing_regions, near_pairs
+from biosignal.operators.outliers import implausible_readings
 from biosignal.operators.regrid import missing_cells, regular_grid
 from biosignal.operators.trips import stops_and_trips
 from biosignal.session import materialise
@@ -73,7 +74,42 @@ def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return describe_clusters(materialise(place_clusters(load(spark, folder, "android_phone_location"))))
 
 
-QUERIES = {"p1_found": p1_found, "p1_episodes": p1_episodes, "p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p3_near_distances": p3_near_distances, "p4_found": p4_found, "p4_clusters": p4_clusters}
+#: Milliseconds of each unit, and what an interval between heart beats can be.
+UNIT_MS = {"ns": 1e-6, "us": 1e-3, "ms": 1.0, "s": 1e3}
+HEART_MS = (200.0, 3000.0)
+
+
+def _axes(spark: SparkSession, folder: str) -> DataFrame:
+    """Implausible readings of the acceleration axes; a sensor cannot give more than its full scale."""
+    scale = load(spark, folder, "recordings").select(F.col("rec_id").alias("rec"), F.nanvl("full_scale", F.lit(None)).alias("scale")).where(F.col("scale").isNotNull())
+    x = load(spark, folder, "acceleration").select("rec_id", "idx", "x", "y", "z").join(scale, F.col("rec_id") == F.col("rec"), "left")
+    limit = (-F.col("scale") * (1 + 1e-9), F.col("scale") * (1 + 1e-9))
+    return implausible_readings(x, ["x", "y", "z"], limits={v: limit for v in "xyz"})
+
+
+def _beats(spark: SparkSession, folder: str) -> DataFrame:
+    """Implausible intervals between heart beats, in milliseconds. A row without a unit has the one of its recording."""
+    beats = load(spark, folder, "intervals").select("rec_id", "idx", "nni", "unit")
+    unit = beats.where(F.col("unit").isin(*UNIT_MS)).groupBy(F.col("rec_id").alias("rec")).agg(F.min("unit").alias("usual"))
+    beats = beats.join(unit, F.col("rec_id") == F.col("rec"), "left").withColumn("unit", F.coalesce("unit", "usual"))
+    factor = F.coalesce(*[F.when(F.col("unit") == u, F.lit(f)) for u, f in UNIT_MS.items()])
+    beats = beats.select("rec_id", "idx", (F.nanvl("nni", F.lit(None)) * factor).alias("nni"))
+    return implausible_readings(beats, ["nni"], limits={"nni": HEART_MS}, ratio=True, threshold=2.2)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings that are spikes, stuck or impossible."""
+    both = _axes(spark, folder).unionByName(_beats(spark, folder))
+    return both.select("signal", "rec_id", "idx").distinct()
+
+
+def p5_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """How many readings of each signal and recording are implausible, by kind."""
+    both = _axes(spark, folder).unionByName(_beats(spark, folder))
+    return both.groupBy("signal", "rec_id", "kind").agg(F.count(F.lit(1)).alias("readings"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_episodes": p1_episodes, "p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p3_near_distances": p3_near_distances, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p5_kinds": p5_kinds}
 
 _GRID = """
 rec AS (SELECT rec_id, epoch_us(started) AS t0, epoch_us(ended) AS t1, step_ms * 1000 AS step FROM recordings
