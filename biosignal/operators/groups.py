@@ -22,7 +22,7 @@ from biosignal.sources.tables import valid_fixes
 from biosignal.session import materialise
 
 RADIUS_M = 6371009.0
-NODE, TILE = 8, 64
+NODE, TILE = 8, 256
 
 
 def _xyz(lat: Column, lon: Column) -> list[Column]:
@@ -34,38 +34,42 @@ def ward(n: np.ndarray, mean: np.ndarray, ss: np.ndarray, across_m: float) -> np
     """Label of each cluster feature: pairs merge in order of Ward's increase, n_a n_b / (n_a + n_b) d^2, as long as the
     centroids are at most `across_m` apart and the root mean square radius stays that of a disc of that width."""
     m = len(n)
-    label, n, mean = np.arange(m), list(n.astype(float)), [*mean]
-    spread = [max(0.0, s) for s in ss]  # sum of squared distances from the centroid
+    label = np.arange(m)
+    at = mean
+    n, spread = n.astype(float).tolist(), np.maximum(ss, 0.0).tolist()  # spread: sum of squared distances from the centroid
+    px, py, pz = (mean[:, c].tolist() for c in range(3))
     alive, near = [True] * m, [set() for _ in range(m)]
-    limit = (across_m / 2) ** 2 / 2 * 1.1
+    across2, limit = across_m**2, (across_m / 2) ** 2 / 2 * 1.1
     heap: list[tuple[float, int, int]] = []
 
     def offer(a: int, b: int) -> None:
-        d2 = float(((mean[a] - mean[b]) ** 2).sum())
-        if d2 > across_m**2:
+        d2 = (px[a] - px[b]) ** 2 + (py[a] - py[b]) ** 2 + (pz[a] - pz[b]) ** 2
+        if d2 > across2:
             return
-        cost = n[a] * n[b] / (n[a] + n[b]) * d2
-        if (spread[a] + spread[b] + cost) / (n[a] + n[b]) <= limit:
+        both = n[a] + n[b]
+        cost = n[a] * n[b] / both * d2
+        if spread[a] + spread[b] + cost <= limit * both:
             heapq.heappush(heap, (cost, a, b))
             near[a].add(b)
             near[b].add(a)
 
-    at = np.array(mean).reshape(m, 3)
     order = np.argsort(at[:, 0])
     x = at[order, 0]
     hi = np.searchsorted(x, x + across_m, side="right")
     for k in range(m):
         other = order[k + 1 : hi[k]]
-        for b in other[((at[other] - at[order[k]]) ** 2).sum(axis=1) <= across_m**2]:
-            offer(int(order[k]), int(b))
+        first = int(order[k])
+        for b in other[((at[other] - at[first]) ** 2).sum(axis=1) <= across2].tolist():
+            offer(first, b)
     members = {k: [k] for k in range(m)}
     while heap:
         cost, a, b = heapq.heappop(heap)
         if not (alive[a] and alive[b]):
             continue
-        c = len(n)
-        n.append(n[a] + n[b])
-        mean.append((mean[a] * n[a] + mean[b] * n[b]) / n[c])
+        c, both = len(n), n[a] + n[b]
+        for p in (px, py, pz):
+            p.append((p[a] * n[a] + p[b] * n[b]) / both)
+        n.append(both)
         spread.append(spread[a] + spread[b] + cost)
         alive[a] = alive[b] = False
         alive.append(True)
@@ -81,21 +85,25 @@ def ward(n: np.ndarray, mean: np.ndarray, ss: np.ndarray, across_m: float) -> np
 
 def _tile_clusters(block: pd.DataFrame, leaf_m: float, min_size: int, across_m: float) -> pd.DataFrame:
     out = []
-    start = np.flatnonzero(changes(block, ["tx", "ty", "tz"]))
+    tile = block[["tx", "ty", "tz"]].to_numpy()
+    new = changes(block, ["tx", "ty", "tz"])
+    # inner nodes: mass of a leaf's node and of the 26 next to it, over all tiles of the block at once
+    local = (block[["kx", "ky", "kz"]].to_numpy() - tile * TILE) // NODE + 16
+    code = ((np.cumsum(new) - 1) * 128 + local[:, 0]) * 16384 + local[:, 1] * 128 + local[:, 2]
+    node, of = np.unique(code, return_inverse=True)
+    mass = np.bincount(of, block.n.to_numpy())
+    around = np.zeros(len(node))
+    for step in (a * 16384 + b * 128 + c for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)):
+        there = np.minimum(np.searchsorted(node, node + step), len(node) - 1)
+        around += np.where(node[there] == node + step, mass[there], 0)
+    keep = around[of] >= min_size
+    block, tile = block[keep].reset_index(drop=True), tile[keep]
+    start = np.flatnonzero(changes(block, ["tx", "ty", "tz"])) if len(block) else []
+    count, total, square = block.n.to_numpy(), block[["sx", "sy", "sz"]].to_numpy(), block.ss.to_numpy()
     for a, b in zip(start, np.r_[start[1:], len(block)]):
-        t = block.iloc[a:b]
-        n, key = t.n.to_numpy(), t[["kx", "ky", "kz"]].to_numpy()
-        mean = t[["sx", "sy", "sz"]].to_numpy() / n[:, None]
-        ss = t.ss.to_numpy() - n * (mean**2).sum(axis=1)
-        # inner nodes: mass of the node of a leaf and of the nodes next to it
-        node, of = np.unique(key // NODE, axis=0, return_inverse=True)
-        mass = np.bincount(of.ravel(), n)
-        close = (np.abs(node[:, None, :] - node[None, :, :]) <= 1).all(axis=2) if len(node) <= 2000 else None
-        around = close @ mass if close is not None else np.array([mass[(np.abs(node - c) <= 1).all(axis=1)].sum() for c in node])
-        keep = around[of.ravel()] >= min_size
-        if not keep.any():
-            continue
-        n, mean, ss = n[keep], mean[keep], ss[keep]
+        n = count[a:b]
+        mean = total[a:b] / n[:, None]
+        ss = square[a:b] - n * (mean**2).sum(axis=1)
         label = ward(n, mean, ss, across_m)
         for k in np.unique(label):
             own = label == k
@@ -105,8 +113,8 @@ def _tile_clusters(block: pd.DataFrame, leaf_m: float, min_size: int, across_m:
                 if near.any():
                     centre = np.average(mean[near], axis=0, weights=n[near])
             size = int(n[near].sum()) if near.any() else 0
-            tile = np.floor(centre / (leaf_m * TILE)).astype(np.int64)
-            if size >= min_size and (tile == t[["tx", "ty", "tz"]].iloc[0].to_numpy()).all():
+            home = np.floor(centre / (leaf_m * TILE)).astype(np.int64)
+            if size >= min_size and (home == tile[a]).all():
                 out.append((*centre, size))
     found = pd.DataFrame(out, columns=["cx", "cy", "cz", "size"])
     # remainders of a place that lead to the same centroid are one cluster
