@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biosignal.llm.leaks import find_leaks
+from biosignal.llm.mixing import mixture
+from biosignal.llm.stuffing import stuffed_pages
 from biosignal.sources.tables import load
 
 
@@ -14,5 +16,39 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(load(spark, folder, "documents"), load(spark, folder, "eval_items")).select(F.col("id").alias("doc_id"), "item_id").distinct()
 
 
-QUERIES = {"p6_found": p6_found}
-SQL: dict[str, str] = {}
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents each leaked item stands in, and the longest match."""
+    found = find_leaks(load(spark, folder, "documents"), load(spark, folder, "eval_items"))
+    return found.groupBy("item_id").agg(F.countDistinct("id").alias("documents"), F.max("words").alias("longest"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that cannot reach their target share of the tokens."""
+    return mixture(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))[1].where(~F.col("reached")).select("source")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of every source of the mixture."""
+    return mixture(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))[1]
+
+
+def p7_uses(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is used."""
+    return mixture(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))[0].select(F.col("id").alias("doc_id"), "source", "uses")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are keywords, links or product tags for the most part."""
+    return stuffed_pages(load(spark, folder, "documents")).where("is_stuffed").select(F.col("id").alias("doc_id"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_shares": p7_shares, "p7_uses": p7_uses, "p8_found": p8_found}
+
+SQL = {
+    # words and single signs stand for tokens: any tokenizer gives the same sources
+    "p7_found": """
+WITH d AS (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS key, len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS n FROM documents),
+t AS (SELECT source, lower(source) AS key, target_share, max_repeats FROM mix_targets),
+own AS (SELECT t.source, t.target_share, t.max_repeats, coalesce(sum(d.n), 0) AS own FROM t LEFT JOIN d USING (key) GROUP BY ALL)
+SELECT source FROM own WHERE target_share * (SELECT sum(own) FROM own) > max_repeats * own""",
+}
