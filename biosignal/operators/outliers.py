@@ -150,8 +150,12 @@ def _scan(block: pd.DataFrame, values: int, ratio: bool, threshold: float, max_r
                         out.append((source[c], k, "spike", chunk[c], 0, raw[i], 1, [order[i]], None, None, None))
         else:
             far = np.abs(raw - mid[seg])
+            kept = good & own
+            rank = np.cumsum(kept)  # place among the chunk's readings, and how many it has
+            total = np.bincount(seg[kept], minlength=len(first))
+            rank = rank - np.r_[0, np.cumsum(total)[:-1]][seg] - 1
             for i in np.flatnonzero(flat & own):
-                out.append((source[seg[i]], k, "candidate", chunk[seg[i]], 0, far[i], 1, [order[i]], None, None, None))
+                out.append((source[seg[i]], k, "candidate", chunk[seg[i]], int(rank[i]), far[i], int(total[seg[i]]), [order[i]], None, None, None))
             use = good & own & (far > 0)
             exponent = np.frexp(far[use])[1]
             bins = pd.DataFrame({"seg": seg[use], "bin": exponent, "far": far[use], "flag": flat[use].astype(int)}).groupby(["seg", "bin"]).agg(n=("far", "size"), low=("far", "min"), high=("far", "max"), flagged=("flag", "sum")).reset_index()
@@ -224,8 +228,17 @@ def implausible_readings(df: DataFrame, values: list[str], source: str = "rec_id
         up = Window.partitionBy("source", "signal").orderBy("bin")
         down = Window.partitionBy("source", "signal").orderBy(F.desc("bin"))
         b = b.withColumn("below", F.lag("high").over(up)).withColumn("above", F.sum("n").over(down)).withColumn("above_flagged", F.sum("flagged").over(down))
-        gap = b.where((F.col("low") >= 2 * F.col("below")) & (F.col("above_flagged") >= 0.7 * F.col("above"))).groupBy("source", "signal").agg(F.min("low").alias("least"))
+        gap = b.where((F.col("low") >= 2 * F.col("below")) & (F.col("above_flagged") >= 0.7 * F.col("above"))).select("source", "signal", F.col("low").alias("least"))
         c = found.where(F.col("kind") == "candidate").join(gap, ["source", "signal"]).where(F.col("value") >= F.col("least"))
+        # and what lies above it comes in runs of at most max_run readings
+        each = Window.partitionBy("source", "signal", "least")
+        line = each.orderBy("chunk", "pos")
+        before = (F.lag("chunk").over(line) == F.col("chunk")) & (F.lag("pos").over(line) == F.col("pos") - 1)
+        before = before | (F.lag("chunk").over(line) == F.col("chunk") - 1) & (F.col("pos") == 0) & (F.lag("pos").over(line) == F.lag("n").over(line) - 1)
+        c = c.withColumn("new", F.when(F.coalesce(before, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(line))
+        c = c.withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("source", "signal", "least", "run")))
+        c = c.withColumn("short", F.avg((F.col("length") <= max_run).cast("double")).over(each)).where(F.col("short") >= 0.8)
+        c = c.withColumn("lowest", F.min("least").over(Window.partitionBy("source", "signal"))).where(F.col("least") == F.col("lowest"))
         out = out.unionByName(flat(c, "spike"))
     name = F.element_at(F.array(*[F.lit(v) for v in values]), F.col("signal") + 1)
     return out.select(F.col("source").alias(source), name.alias("signal"), F.col("ord").alias(order), "kind").distinct()
