@@ -29,13 +29,17 @@ FUNCTION_WORDS = {
 }
 FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
 
+#: The words that may join the parts of a name.
+JOINING = frozenset("de d' du des à a of en del para".split())
+
 QUOTES = re.compile(r"\[quote[^\]]*\]|\[/quote\]|<blockquote[^>]*>|</blockquote>", re.I)
 QUOTE_LINE = re.compile(r"^\s*(?:>|&gt;|\|\s).*$|^.{0,60}\b(?:wrote|schrieb|escribió|a écrit)\s*:\s*$", re.M | re.I)
 SIGNATURE = re.compile(r"\n[ \t]*(?:--|—|_{3,}|~{3,}|-{3,}|={3,})[ \t]*\r?\n(?:.*\n?){0,4}\Z")
 LINK = re.compile(r"\[(?:url|img)=?[^\]]*\]|<a\s[^>]*>|\[img\][^\[]*\[/img\]|(?:h(?:tt|xx)ps?://|www\.|www \[dot\] )\S*(?: \[dot\] \S+)*|\b[\w-]+(?:(?:\.| \[dot\] )[\w-]+)*(?:\.| \[dot\] )[a-z]{2,}(?:/\S*|\b(?=[\s,|*\]<]|$))", re.I)
 MARKUP = re.compile(r"</?[a-z][^<>]*>|\[/?[a-z*]+(?:=[^\[\]]*)?\]", re.I)
-BREAK = re.compile(r"<\s*(?:br|/?p|/?div|/?li|/?tr)\b[^>]*>", re.I)
+BREAK = re.compile(r"<\s*(?:br|/?p|/?div|/?li|/?tr)\b[^>]*>[ \t]*\n?", re.I)
 JOINT = re.compile(r"\s[|/•·>*-]+\s|[|;•·]|\.\.\.")
+LISTED = re.compile(r"^\s*(?:[-*•+]|\d+[.)])\s|#[^\W\d]")
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_]|[¿¡\"'])")
 TOKEN = re.compile("\x01|#[^\\W\\d]\\w*|[^\\W\\d_]+(?:['’][^\\W\\d_]+)*|\\d+(?:[.,:]\\d+)*")
 PAGE = 50_000
@@ -101,20 +105,25 @@ def repeated(tokens: list[int], often: int) -> np.ndarray:
     return np.array([best[s] for s in path], np.int64)
 
 
-def keyword(tokens: list[int], size: list[int], most_tokens: int = 4) -> tuple[int, float, list[int]]:
-    """(occurrences, characters, token numbers) of the phrase whose occurrences cover most characters; -1 - k is no token."""
+def keyword(tokens: list[int], size: list[int], content: list[bool], most_tokens: int = 4) -> tuple[int, float, list[int]]:
+    """(occurrences, characters, token numbers) of the phrase whose occurrences cover most characters.
+
+    It begins and ends with a content word and holds no negative token.
+    """
     length, link, occurs, path = automaton(tokens)
     best = (0, 0.0, [])
     seen = set()
     for i, s in enumerate(path):
         while s > 0 and s not in seen:
             seen.add(s)
-            shortest = length[link[s]] + 1
-            n = min(length[s], most_tokens)
-            if occurs[s] >= 3 and shortest <= most_tokens and all(t >= 0 for t in tokens[i - n + 1 : i + 1]):
-                chars = float(sum(size[i - n + 1 : i + 1]))
-                if occurs[s] * chars > best[0] * best[1]:
-                    best = (occurs[s], chars, tokens[i - n + 1 : i + 1])
+            if occurs[s] >= 3:
+                for n in range(min(length[s], most_tokens), length[link[s]], -1):
+                    own = tokens[i - n + 1 : i + 1]
+                    if content[i - n + 1] and content[i] and min(own) >= 0:
+                        chars = float(sum(size[i - n + 1 : i + 1]))
+                        if occurs[s] * chars > best[0] * best[1]:
+                            best = (occurs[s], chars, own)
+                        break
             s = link[s]
     return best
 
@@ -129,6 +138,23 @@ def covered(spans: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+def sentences(marked: str) -> list[str]:
+    """Lines and sentences of a text in which links are \\x01. Lines of plain words that end without a stop go on in the next."""
+    out: list[str] = []
+    held = ""
+    for line in marked.split("\n"):
+        letters = sum(map(str.isalpha, line))
+        plain = 2 * letters > len(line.strip()) > 0 and "\x01" not in line and not JOINT.search(line) and not LISTED.search(line)
+        if held and (not plain or held.rstrip()[-1] in ".!?:"):
+            out += SENTENCE.split(held)
+            held = ""
+        if plain:
+            held = f"{held} {line.strip()}" if held else line.strip()
+        elif line.strip():
+            out += SENTENCE.split(line)
+    return [s for s in out + (SENTENCE.split(held) if held else []) if s and not s.isspace()]
+
+
 def measures(text: str | None) -> tuple[int, float, float, float]:
     """(characters of the body, share of them in stuffing, share covered by repeated phrases, share in lines with a clause)."""
     if not text:
@@ -136,7 +162,7 @@ def measures(text: str | None) -> tuple[int, float, float, float]:
     plain = unicodedata.normalize("NFKC", body(text))
     marked = LINK.sub(lambda m: "\x01" + "\x02" * max(0, min(len(m.group()), 200) - 1), plain)
     marked = MARKUP.sub(" ", marked)
-    lines = [s for line in marked.split("\n") for s in SENTENCE.split(line) if s and not s.isspace()]
+    lines = sentences(marked)
     tokens, owner = [], []
     for k, line in enumerate(lines):
         for t in TOKEN.findall(line):
@@ -153,6 +179,7 @@ def measures(text: str | None) -> tuple[int, float, float, float]:
     size = np.array([len(t) + 1 for t in tokens])
     of = np.array(owner)
     function = np.array([t in FUNCTION for t in low])
+    joining = np.array([t in JOINING for t in low])
     is_link = np.array([t == "\x01" for t in low])
     is_number = np.array([t[0].isdigit() for t in low])
     is_tag = np.array([t[0] == "#" and len(t) > 1 for t in low])
@@ -160,9 +187,9 @@ def measures(text: str | None) -> tuple[int, float, float, float]:
     for a in range(0, len(ids), PAGE):  # a very long page is taken in parts, all of it
         part = ids[a : a + PAGE]
         cover[a : a + PAGE] = covered(repeated(part.tolist(), 2))
-        # the keyword is a phrase of content words: function words, links and numbers are made unlike everything
-        alone = np.where((function | is_link | is_number)[a : a + PAGE], -1 - np.arange(len(part)), part)
-        times, _, best = keyword(alone.tolist(), size[a : a + PAGE].tolist())
+        # the keyword is a phrase of content words, perhaps joined: all else is made unlike everything
+        alone = np.where((is_link | is_number | (function & ~joining))[a : a + PAGE], -1 - np.arange(len(part)), part)
+        times, _, best = keyword(alone.tolist(), size[a : a + PAGE].tolist(), (~function)[a : a + PAGE].tolist())
         phrases += times
         if times:
             n, at = len(best), np.ones(max(0, len(part) - len(best) + 1), bool)
@@ -181,11 +208,14 @@ def measures(text: str | None) -> tuple[int, float, float, float]:
     chars = np.array([len(s.strip()) for s in lines], float)
     link_chars = np.array([s.count("\x01") + s.count("\x02") for s in lines], float)
     joints = np.array([len(JOINT.findall(s)) for s in lines])
-    clause = (functions >= 2) & (functions >= 0.16 * words)
     wordy = letters >= 0.4 * (chars - link_chars)
-    listed = ~clause & ((link_chars >= 0.4 * chars) | (tags >= 3) | (links >= 2) | (wordy & (letters > 0) & (held >= 0.4 * letters)) | (wordy & (joints >= 3) & (functions <= 0.2 * words)))
+    jointed = (joints >= 3) & (words <= 7 * (joints + 1))  # a row of a table, or items with something between them
+    clause = (functions >= 2) & (functions >= 0.16 * words) & ~jointed
+    linked = link_chars >= 0.4 * chars
+    listed = ~clause & (linked | (tags >= 3) | (links >= 2) | (wordy & (letters > 0) & (held >= 0.4 * letters)) | (wordy & jointed))
+    listed |= linked & (links.sum() >= 5) & (words <= 6 * links)  # link after link, with a few words on each
     # sentences written around the keyword
-    filled = (words >= 4) & (kept >= 0.3 * letters) & (times_in >= 2) & (phrases >= 6)
+    filled = wordy & (words >= 4) & (kept >= 0.3 * letters) & (times_in >= 2) & (phrases >= 6)
     stuffed = listed | filled
     return total, float(chars[stuffed].sum() / max(1, total)), float(np.where(cover & ~is_link, size, 0).sum() / max(1, size.sum())), float(chars[clause & ~stuffed].sum() / max(1, total))
 
