@@ -211,12 +211,20 @@ def filter_hamilton_tompkins(df: DataFrame, fs: float) -> DataFrame:
     return _filtered(df, hamilton_tompkins, fs)
 
 
-def rpeaks_hamilton_tompkins(df: DataFrame, fs: float, ts: str | None = None) -> DataFrame:
-    """(entity, idx[, ts]): the beats of ECG series (entity, idx, x). Short series have none."""
+def rpeaks_hamilton_tompkins(df: DataFrame, fs: float | None = None, ts: str | None = None) -> DataFrame:
+    """(entity, idx[, ts]): the beats of ECG series (entity, idx, x). Short series have none.
+
+    Without a rate it is taken from the first two values of ts, in microseconds, of each series.
+    """
+    if fs is None and ts is None:
+        raise ValueError("give the sampling rate or a column of times")
 
     def kernel(g: pd.DataFrame) -> dict:
         x = g.x.to_numpy(float)
-        at = r_peaks(x, fs) if len(x) >= 34 else np.zeros(0, np.int64)
+        at = np.zeros(0, np.int64)
+        if len(x) >= 34:
+            rate = fs or 1e6 / (g[ts].iloc[1] - g[ts].iloc[0])
+            at = r_peaks(x, rate)
         return {"idx": g.idx.to_numpy()[at], **({"ts": g[ts].to_numpy()[at]} if ts else {})}
 
     kind = dict(df.dtypes)

@@ -1,2 +1,3 @@
 """Readers and adapters that project tables to the engine's schemas."""
-from biosignal.sources.tables import load, signal, valid_fixes  # noqa: F401
+
+from biosignal.sources.tables import load, valid_fixes  # noqa: F401

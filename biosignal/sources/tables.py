@@ -1,8 +1,8 @@
-"""Table readers and the projections of TESTDATA.md and of the survey's views."""
+"""Table readers, and what counts as a valid fix."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,10 +25,3 @@ def valid_fixes(df: DataFrame, *keep: str, lat: str = "latitude", lon: str = "lo
     """The valid fixes, with the columns of keep and both coordinates. Repeated rows are still in it."""
     return df.where(is_valid_fix(F.col(lat), F.col(lon))).select(*keep, F.col(lat).cast("double").alias("latitude"), F.col(lon).cast("double").alias("longitude"))
 
-
-def signal(df: DataFrame, entity: str, order: list[str], value: Column | str, name: str = "x", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(entity, idx, value): a series per entity in the order given; idx counts from 0."""
-    value = F.col(value) if isinstance(value, str) else value
-    w = Window.partitionBy("entity").orderBy(*order)
-    base = df.select(F.col(entity).alias("entity"), *order, *[c for c in keep if c not in order], value.cast("double").alias(name))
-    return base.withColumn("idx", (F.row_number().over(w) - 1).cast("bigint"))

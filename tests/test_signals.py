@@ -215,6 +215,23 @@ def test_beats(spark):
     assert detectors.beat_quality(d.where("entity = 0"), peaks.limit(5), fs).where("quality is null").count() == 5
 
 
+def test_adapters(spark):
+    from biosignal.sources.adapters import sampling_rate, signal
+
+    d = spark.createDataFrame([(7, "a", f"2024-01-01 00:00:0{k}", float(k), 1) for k in range(4)] + [(8, "a", "2024-01-01 00:00:00", 5.0, 1)], "who int, note string, s string, first double, second int").withColumn("ts", F.to_timestamp("s"))
+    x = signal(d, "who", ["ts"])
+    assert column(x, "x", 7) == [0.0, 1.0, 2.0, 3.0]
+    assert {r.entity: r.fs for r in sampling_rate(x).collect()} == {7: 1.0, 8: None}
+
+
+def test_rate_from_times(spark):
+    t = np.arange(0, 20, 1 / 200)
+    ecg = sum(np.exp(-((t - c) ** 2) / (2 * 0.01**2)) for c in np.arange(0.8, 19.5, 0.8))
+    d = series(spark, ecg).withColumn("ts_us", F.col("idx") * 5000)
+    a = detectors.rpeaks_hamilton_tompkins(d, 200.0).select("idx").collect()
+    assert a == detectors.rpeaks_hamilton_tompkins(d, ts="ts_us").select("idx").collect() and len(a) > 15
+
+
 def test_pulse_onsets(spark):
     sr, t = 125, np.arange(0, 60, 1 / 125)
     phase = (t % 0.9) / 0.9
