@@ -61,8 +61,8 @@ def body(text: str) -> str:
     return html.unescape(QUOTE_LINE.sub("", text))
 
 
-def automaton(tokens: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Suffix automaton: (length, link, occurrences of each state; state after each token)."""
+def automaton(tokens: list[int]) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
+    """Suffix automaton: (length, link, occurrences of each state; state after each token; states from short to long)."""
     length, link, follow, occurs, path = [0], [-1], [{}], [0], []
     last = 0
     for c in tokens:
@@ -83,7 +83,7 @@ def automaton(tokens: list[int]) -> tuple[list[int], list[int], list[int], list[
                 copy = len(length)
                 length.append(length[p] + 1)
                 link.append(link[q])
-                follow.append(dict(follow[q]))
+                follow.append(follow[q].copy())
                 occurs.append(0)
                 while p != -1 and follow[p].get(c) == q:
                     follow[p][c] = copy
@@ -91,38 +91,38 @@ def automaton(tokens: list[int]) -> tuple[list[int], list[int], list[int], list[
                 link[q] = link[now] = copy
         last = now
         path.append(now)
-    for s in sorted(range(1, len(length)), key=length.__getitem__, reverse=True):
+    order = sorted(range(1, len(length)), key=length.__getitem__)
+    for s in reversed(order):
         occurs[link[s]] += occurs[s]
-    return length, link, occurs, path
+    return length, link, occurs, path, order
 
 
-def repeated(tokens: list[int], often: int) -> np.ndarray:
-    """At each token the length of the longest phrase that ends there and occurs at least `often` times."""
-    length, link, occurs, path = automaton(tokens)
+def repeated(parts: tuple, often: int) -> np.ndarray:
+    """Of an automaton: at each token the length of the longest phrase that ends there and occurs at least `often` times."""
+    length, link, occurs, path, order = parts
     best = [0] * len(length)
-    for s in sorted(range(1, len(length)), key=length.__getitem__):
+    for s in order:
         best[s] = length[s] if occurs[s] >= often else best[link[s]]
     return np.array([best[s] for s in path], np.int64)
 
 
-def keyword(tokens: list[int], size: list[int], content: list[bool], most_tokens: int = 4) -> tuple[int, float, list[int]]:
-    """(occurrences, characters, token numbers) of the phrase whose occurrences cover most characters.
+def keyword(parts: tuple, tokens: list[int], size: list[int], content: list[bool], allowed: list[bool], most_tokens: int = 4) -> tuple[int, float, list[int]]:
+    """Of an automaton: (occurrences, characters, tokens) of the phrase whose occurrences cover most characters.
 
-    It begins and ends with a content word and holds no negative token.
+    It begins and ends with a content word and holds allowed words only.
     """
-    length, link, occurs, path = automaton(tokens)
+    length, link, occurs, path, _ = parts
     best = (0, 0.0, [])
     seen = set()
     for i, s in enumerate(path):
         while s > 0 and s not in seen:
             seen.add(s)
-            if occurs[s] >= 3:
+            if occurs[s] >= 3 and content[i]:
                 for n in range(min(length[s], most_tokens), length[link[s]], -1):
-                    own = tokens[i - n + 1 : i + 1]
-                    if content[i - n + 1] and content[i] and min(own) >= 0:
+                    if content[i - n + 1] and all(allowed[i - n + 1 : i + 1]):
                         chars = float(sum(size[i - n + 1 : i + 1]))
                         if occurs[s] * chars > best[0] * best[1]:
-                            best = (occurs[s], chars, own)
+                            best = (occurs[s], chars, tokens[i - n + 1 : i + 1])
                         break
             s = link[s]
     return best
@@ -155,7 +155,19 @@ def sentences(marked: str) -> list[str]:
     return [s for s in out + (SENTENCE.split(held) if held else []) if s and not s.isspace()]
 
 
-def measures(text: str | None) -> tuple[int, float, float, float]:
+FUNCTION_WORD, JOINING_WORD, IS_LINK, IS_NUMBER, IS_TAG = 1, 2, 4, 8, 16
+
+
+def _fact(token: str) -> tuple[str, int, int]:
+    """(key, characters, bits of FUNCTION_WORD ... IS_TAG) of a token. Spellings of a tag with and without
+    a joint have one key, and all numbers."""
+    low = token.lower()
+    link, number = low == "\x01", low[0].isdigit()
+    key = low if link else "0" if number else low.replace("_", "").replace("#", "")
+    return key, len(token) + 1, (low in FUNCTION) | (low in JOINING) << 1 | link << 2 | number << 3 | (low[0] == "#" and len(low) > 1) << 4
+
+
+def measures(text: str | None, known: dict | None = None) -> tuple[int, float, float, float]:
     """(characters of the body, share of them in stuffing, share covered by repeated phrases, share in lines with a clause)."""
     if not text:
         return 0, 0.0, 0.0, 0.0
@@ -171,33 +183,38 @@ def measures(text: str | None) -> tuple[int, float, float, float]:
     total = sum(len(s.strip()) for s in lines)
     if not tokens:
         return total, 0.0, 0.0, 0.0
-    low = [t.lower() for t in tokens]
-    # spellings of a tag with and without a joint are one; numbers are alike
-    keys = [t.replace("_", "").replace("#", "") if t != "\x01" and not t[0].isdigit() else "0" if t[0].isdigit() else t for t in low]
-    number = {w: k for k, w in enumerate(dict.fromkeys(keys))}
-    ids = np.array([number[w] for w in keys])
-    size = np.array([len(t) + 1 for t in tokens])
-    of = np.array(owner)
-    function = np.array([t in FUNCTION for t in low])
-    joining = np.array([t in JOINING for t in low])
-    is_link = np.array([t == "\x01" for t in low])
-    is_number = np.array([t[0].isdigit() for t in low])
-    is_tag = np.array([t[0] == "#" and len(t) > 1 for t in low])
+    known = {} if known is None else known
+    if len(known) > 200_000:  # what is known of tokens speeds up a worker's next pages
+        known.clear()
+    facts = []
+    for t in tokens:
+        f = known.get(t)
+        if f is None:
+            f = known[t] = _fact(t)
+        facts.append(f)
+    number: dict[str, int] = {}
+    tokens_of = [number.setdefault(f[0], len(number)) for f in facts]
+    sizes = [f[1] for f in facts]
+    ids, size, of = np.array(tokens_of), np.array(sizes), np.array(owner)
+    bits = np.array([f[2] for f in facts])
+    function, joining, is_link, is_number, is_tag = (bits & b > 0 for b in (FUNCTION_WORD, JOINING_WORD, IS_LINK, IS_NUMBER, IS_TAG))
     cover, phrase, begins, phrases = np.zeros(len(ids), bool), np.zeros(len(ids), bool), np.zeros(len(ids), bool), 0
+    allowed, content = ~(is_link | is_number | (function & ~joining)), ~function
     for a in range(0, len(ids), PAGE):  # a very long page is taken in parts, all of it
         part = ids[a : a + PAGE]
-        cover[a : a + PAGE] = covered(repeated(part.tolist(), 2))
-        # the keyword is a phrase of content words, perhaps joined: all else is made unlike everything
-        alone = np.where((is_link | is_number | (function & ~joining))[a : a + PAGE], -1 - np.arange(len(part)), part)
-        times, _, best = keyword(alone.tolist(), size[a : a + PAGE].tolist(), (~function)[a : a + PAGE].tolist())
+        states = automaton(tokens_of[a : a + PAGE])
+        cover[a : a + PAGE] = covered(repeated(states, 2))
+        # the keyword is a phrase of content words, perhaps joined
+        times, _, best = keyword(states, tokens_of[a : a + PAGE], sizes[a : a + PAGE], content[a : a + PAGE].tolist(), allowed[a : a + PAGE].tolist())
         phrases += times
         if times:
             n, at = len(best), np.ones(max(0, len(part) - len(best) + 1), bool)
             for k, t in enumerate(best):
-                at &= alone[k : len(part) - n + 1 + k] == t
+                at &= part[k : len(part) - n + 1 + k] == t
             begins[a + np.flatnonzero(at)] = True
             for k in range(n):
                 phrase[a + k + np.flatnonzero(at)] = True
+    cover &= ~is_link
     n = len(lines)
     count = lambda m: np.bincount(of, m, n)
     word = ~is_link & ~is_number
@@ -230,8 +247,9 @@ def stuffed_pages(docs: DataFrame, id: str = "doc_id", text: str = "text", *, mo
     kind = dict(docs.dtypes)[id]
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
         for f in frames:
-            m = [measures(t) for t in f.text]
+            m = [measures(t, known) for t in f.text]
             out = pd.DataFrame(m, columns=["chars", "stuffing", "repeated", "clauses"])
             out.insert(0, "id", f.id.to_numpy())
             out["is_stuffed"] = (out.stuffing > most) & (out.chars >= least_chars)

@@ -63,8 +63,8 @@ def test_automaton_against_brute_force():
     for _ in range(60):
         t = [rng.randrange(rng.choice([1, 2, 4])) for _ in range(rng.randrange(1, 25))]
         for often in (2, 3):
-            assert repeated(t, often).tolist() == naive(t, often)
-        length, link, occurs, path = automaton(t)
+            assert repeated(automaton(t), often).tolist() == naive(t, often)
+        length, link, occurs, path, order = automaton(t)
         assert all(length[link[s]] < length[s] for s in range(1, len(length)))
 
 
