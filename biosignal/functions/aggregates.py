@@ -84,3 +84,78 @@ def peak_frequency(psd, freq, low: float | None = None, high: float | None = Non
 
     freq = F.col(freq) if isinstance(freq, str) else freq
     return F.max_by(freq, F.when(in_band(freq, low, high, half_open=True), F.struct(F.col(psd) if isinstance(psd, str) else psd, -freq)))
+
+
+# Features of a series with the columns that frames give it: d = x less the row before, s = x plus the row before, and the
+# first two derivatives d1 and d2. As aggregates they work over a whole series and over any window.
+
+
+def line_length(d) -> Column:
+    return F.coalesce(F.sum(F.abs(d)), F.lit(0.0))
+
+
+def crossing_count(flag) -> Column:
+    return F.coalesce(F.sum(F.col(flag).cast("bigint") if isinstance(flag, str) else flag.cast("bigint")), F.lit(0).cast("bigint"))
+
+
+def hjorth_activity(x) -> Column:
+    return F.var_pop(x)
+
+
+def hjorth_mobility(x, d1) -> Column:
+    return F.sqrt(F.try_divide(F.var_pop(d1), F.var_pop(x)))
+
+
+def hjorth_complexity(x, d1, d2) -> Column:
+    return F.try_divide(hjorth_mobility(d1, d2), hjorth_mobility(x, d1))
+
+
+def sdnn(nni) -> Column:
+    return F.stddev_pop(nni)
+
+
+def rmssd(d) -> Column:
+    d = F.col(d) if isinstance(d, str) else d
+    return F.sqrt(F.avg(d * d))
+
+
+def ssd(d) -> Column:
+    return F.sum(d)
+
+
+def sdsd(d) -> Column:
+    return F.stddev_pop(d)
+
+
+def pnnx(d, unit: str = "ms", x: float = 50.0) -> Column:
+    """Share of steps of more than x milliseconds, either way; d is in the unit."""
+    from biosignal.functions.scalars import td_factor
+
+    d = F.col(d) if isinstance(d, str) else d
+    return F.avg(F.when(d.isNotNull(), (F.abs(d) > x * 1e6 / td_factor(unit)).cast("double")))
+
+
+def pnn50(d, unit: str = "ms") -> Column:
+    return pnnx(d, unit, 50.0)
+
+
+def csi_sd1(d, factor: float = 0.5**0.5) -> Column:
+    return factor * F.stddev_pop(d)
+
+
+def csi_sd2(s, factor: float = 0.5**0.5) -> Column:
+    return factor * F.stddev_pop(s)
+
+
+def lorenz_csi(d, s) -> Column:
+    return F.try_divide(csi_sd1(d), csi_sd2(s))
+
+
+def lorenz_cvi(d, s) -> Column:
+    """Logarithm of SD1 SD2; NULL where it is zero."""
+    product = csi_sd1(d) * csi_sd2(s)
+    return F.when(product > 0, F.log10(product))
+
+
+def lorenz_mcsi(d, s) -> Column:
+    return F.try_divide(csi_sd1(d) * csi_sd1(d), csi_sd2(s))

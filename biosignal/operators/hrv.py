@@ -7,28 +7,28 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from biosignal.functions import aggregates as A
 from biosignal.functions.scalars import td_factor
 from biosignal.operators import windows
 from biosignal.operators.frames import framed, near, owned, running_sum
 
 
-def _steps(df: DataFrame) -> DataFrame:
-    f = framed(df, 1, 0).withColumn("d", F.col("nni") - F.lag("nni").over(near())).withColumn("s", F.col("nni") + F.lag("nni").over(near()))
-    return owned(f)
+def with_steps(df: DataFrame) -> DataFrame:
+    """Add d, the difference from the interval before, and s, the sum with it; NULL in the first row."""
+    before = F.lag("nni").over(near())
+    return owned(framed(df, 1, 0).withColumn("d", F.col("nni") - before).withColumn("s", F.col("nni") + before))
 
 
 def time_domain(df: DataFrame, unit: str = "ms", x: float = 50.0) -> DataFrame:
     """(entity, sdnn, rmssd, sdsd, ssd, pnnx): one window pass and one aggregate. x in ms."""
-    over = x * 1e6 / td_factor(unit)
-    pnnx = F.avg(F.when(F.col("d").isNotNull(), (F.abs("d") > over).cast("double")))
-    return _steps(df).groupBy("entity").agg(F.stddev_pop("nni").alias("sdnn"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmssd"), F.stddev_pop("d").alias("sdsd"), F.sum("d").alias("ssd"), pnnx.alias("pnnx"))
+    a = {"sdnn": A.sdnn("nni"), "rmssd": A.rmssd("d"), "sdsd": A.sdsd("d"), "ssd": A.ssd("d"), "pnnx": A.pnnx("d", unit, x)}
+    return with_steps(df).groupBy("entity").agg(*[c.alias(n) for n, c in a.items()])
 
 
 def poincare(df: DataFrame, factor: float = 1 / math.sqrt(2)) -> DataFrame:
     """(entity, sd1, sd2, csi, cvi, mcsi) of the Lorenz plot."""
-    a = _steps(df).groupBy("entity").agg((factor * F.stddev_pop("d")).alias("sd1"), (factor * F.stddev_pop("s")).alias("sd2"))
-    product = F.col("sd1") * F.col("sd2")
-    return a.select("entity", "sd1", "sd2", F.try_divide("sd1", "sd2").alias("csi"), F.when(product > 0, F.log10(product)).alias("cvi"), F.try_divide(F.col("sd1") * F.col("sd1"), F.col("sd2")).alias("mcsi"))
+    a = {"sd1": A.csi_sd1("d", factor), "sd2": A.csi_sd2("s", factor), "csi": A.lorenz_csi("d", "s"), "cvi": A.lorenz_cvi("d", "s"), "mcsi": A.lorenz_mcsi("d", "s")}
+    return with_steps(df).groupBy("entity").agg(*[c.alias(n) for n, c in a.items()])
 
 
 def cumulative(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from biosignal.functions import aggregates as A
 from biosignal.functions.scalars import dead_band
 from biosignal.operators.blocks import map_segments
 from biosignal.operators.frames import CHUNK, framed, near, ordered, owned, running_sum
@@ -81,7 +82,7 @@ def differences(df: DataFrame, x: str = "x", into: str = "diff") -> DataFrame:
 
 
 def line_length(df: DataFrame) -> DataFrame:
-    return differences(df).groupBy("entity").agg(F.coalesce(F.sum(F.abs("diff")), F.lit(0.0)).alias("line_length"))
+    return differences(df).groupBy("entity").agg(A.line_length("diff").alias("line_length"))
 
 
 def zero_crossing_count(df: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -89,17 +90,15 @@ def zero_crossing_count(df: DataFrame, threshold: float = 0.0) -> DataFrame:
     return df.select("entity").distinct().join(flags, "entity", "left").select("entity", F.coalesce("crossings", F.lit(0).cast("bigint")).alias("crossings"))
 
 
-def hjorth_from(activity_x: str, d1: str, d2: str) -> dict[str, Column]:
-    """Hjorth parameters of a signal and its two derivatives, as aggregates."""
-    v0, v1, v2 = F.var_pop(activity_x), F.var_pop(d1), F.var_pop(d2)
-    mobility = F.sqrt(F.try_divide(v1, v0))
-    return {"activity": v0, "mobility": mobility, "complexity": F.try_divide(F.sqrt(F.try_divide(v2, v1)), mobility)}
+def with_derivatives(df: DataFrame) -> DataFrame:
+    """Add the first and second derivative of x as d1 and d2."""
+    return owned(framed(df, 2, 2).withColumn("d1", _gradient(F.col("x"))).withColumn("d2", _gradient(F.col("d1"))))
 
 
 def hjorth_parameters(df: DataFrame) -> DataFrame:
     """(entity, activity, mobility, complexity)."""
-    f = framed(df, 2, 2).withColumn("d1", _gradient(F.col("x"))).withColumn("d2", _gradient(F.col("d1")))
-    return owned(f).groupBy("entity").agg(*[c.alias(n) for n, c in hjorth_from("x", "d1", "d2").items()])
+    a = {"activity": A.hjorth_activity("x"), "mobility": A.hjorth_mobility("x", "d1"), "complexity": A.hjorth_complexity("x", "d1", "d2")}
+    return with_derivatives(df).groupBy("entity").agg(*[c.alias(n) for n, c in a.items()])
 
 
 def hurst(df: DataFrame, lags: range = range(2, 64)) -> DataFrame:

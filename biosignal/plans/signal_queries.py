@@ -16,6 +16,7 @@ SQL: dict[str, str] = {}
 
 
 NUDGE = 1e-9
+DAY = 86_400_000_000
 
 
 def query(f):
@@ -261,7 +262,6 @@ def roll_bounds(spark, folder):
 
 SQL["roll_bounds"] = f"WITH {V_SIG}, w AS (SELECT entity, unnest(range(0, count(*) // 10 + 1)) AS window FROM sig GROUP BY entity) SELECT w.entity, w.window, round(CASE WHEN count(s.x) >= 2 THEN avg(s.x) END, 6) AS mean, round(CASE WHEN count(s.x) >= 2 THEN sum(s.x) END, 6) AS total FROM w LEFT JOIN sig s ON s.entity = w.entity AND s.idx >= w.window * 10 AND s.idx < w.window * 11 GROUP BY ALL"
 
-DAY = 86_400_000_000
 
 
 def _time_sql(size: int, step: int, select: str) -> str:
@@ -345,6 +345,23 @@ def hrv_sdann_sdnni(spark, folder):
 SQL["hrv_sdann_sdnni"] = f"WITH {V_NNI}, t AS (SELECT entity, nni, CAST(round(sum(nni) {W} * 1000) AS BIGINT) AS us FROM nni), g AS (SELECT entity, min(us) AS t0, max(us) AS t1 FROM t GROUP BY entity), w AS (SELECT entity, t0, unnest(range(0, CAST(ceil((t1 - t0) / 1e7) AS BIGINT))) AS k FROM g), f AS (SELECT w.entity, w.k, avg(nni) AS m, stddev_pop(nni) AS s FROM w LEFT JOIN t ON t.entity = w.entity AND t.us >= t0 + k * 10000000 AND t.us < t0 + (k + 1) * 10000000 GROUP BY ALL) SELECT entity, round(CASE WHEN count(m) = count(*) THEN stddev_pop(m) END, 6) AS sdann, round(CASE WHEN count(m) = count(*) THEN avg(s) END, 6) AS sdnni FROM f GROUP BY entity"
 
 
+@query
+def hrv_windowed(spark, folder):
+    """Features of windows of ten days, one every five: any feature of a series is one of a window."""
+    s = hrv.with_steps(nni(spark, folder))
+    return rounded(windows.irregular(s, {"sdnn": A.sdnn("nni"), "rmssd": A.rmssd("d"), "pnn50": A.pnn50("d"), "mcsi": A.lorenz_mcsi("d", "s")}, 10 * DAY, 5 * DAY, min_window_len=2))
+
+
+SQL["hrv_windowed"] = (
+    f"WITH {V_NNI}, d AS (SELECT entity, epoch_us(ts) AS us, nni, nni - lag(nni) {W} AS d, nni + lag(nni) {W} AS s FROM nni), "
+    f"g AS (SELECT entity, min(us) AS t0, max(us) AS t1 FROM d GROUP BY entity), "
+    f"w AS (SELECT entity, t0, unnest(range(0, CAST(ceil((t1 - t0) / {5 * DAY}::DOUBLE) AS BIGINT))) AS window FROM g), "
+    f"a AS (SELECT w.entity, w.window, t0 + w.window * {5 * DAY} AS start, count(nni) AS n, stddev_pop(nni) AS sdnn, sqrt(avg(d * d)) AS rmssd, avg(CASE WHEN d IS NOT NULL THEN CAST(abs(d) > 50 AS INTEGER) END) AS pnn50, stddev_pop(d) / sqrt(2) AS sd1, stddev_pop(s) / sqrt(2) AS sd2 "
+    f"FROM w LEFT JOIN d ON d.entity = w.entity AND us >= t0 + w.window * {5 * DAY} AND us < t0 + w.window * {5 * DAY} + {10 * DAY} GROUP BY ALL) "
+    "SELECT a.entity, a.window, a.start, round(CASE WHEN n >= 2 THEN sdnn END, 6) AS sdnn, round(CASE WHEN n >= 2 THEN rmssd END, 6) AS rmssd, round(CASE WHEN n >= 2 THEN pnn50 END, 6) AS pnn50, round(CASE WHEN n >= 2 THEN sd1 * sd1 / nullif(sd2, 0) END, 6) AS mcsi FROM a"
+)
+
+
 @query
 def hrv_recordings(spark, folder):
     """Time-domain variability of the beat recordings, in milliseconds, over their positive intervals in order."""
