@@ -70,18 +70,46 @@ def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return recursion(b, a, y, zi * y[:1])[::-1][edge:-edge]
 
 
+def filtfilt_many(b: np.ndarray, a: np.ndarray, series: list[np.ndarray]) -> list[np.ndarray]:
+    """filtfilt of arrays [step, column] of several lengths, each as if alone: a step of the recursion serves them all.
+
+    A longer neighbour's steps behind a series' end do not reach back into it, so that short ones are only padded; lengths
+    within a factor of two go together.
+    """
+    edge = 3 * max(len(a), len(b))
+    zi = steady_state(b, a)[:, None]
+    out: list[np.ndarray] = [None] * len(series)
+    todo = sorted(range(len(series)), key=lambda k: -len(series[k]))
+    while todo:
+        longest = len(series[todo[0]])
+        batch = [k for k in todo if 2 * len(series[k]) >= longest]
+        todo = todo[len(batch) :]
+        width = [series[k].shape[1] for k in batch]
+        at = np.r_[0, np.cumsum(width)]
+        x = np.zeros((longest + 2 * edge, at[-1]))
+        for k, c in zip(batch, at):
+            v = series[k]
+            x[: len(v) + 2 * edge, c : c + v.shape[1]] = np.concatenate([2 * v[:1] - v[edge:0:-1], v, 2 * v[-1:] - v[-2 : -edge - 2 : -1]])
+        y = recursion(b, a, x, zi * x[:1])
+        for k, c in zip(batch, at):
+            n, w = len(series[k]) + 2 * edge, series[k].shape[1]
+            x[:n, c : c + w] = y[:n, c : c + w][::-1]
+        y = recursion(b, a, x, zi * x[:1])
+        for k, c in zip(batch, at):
+            n, w = len(series[k]) + 2 * edge, series[k].shape[1]
+            out[k] = y[:n, c : c + w][::-1][edge:-edge]
+    return out
+
+
 def _filter_block(block: pd.DataFrame, columns: list[str], b: np.ndarray, a: np.ndarray) -> pd.DataFrame:
     start = np.flatnonzero(changes(block, ["entity"]))
-    size = np.diff(np.r_[start, len(block)])
-    out = {c: block[c].to_numpy(float).copy() for c in columns}
-    for n in np.unique(size):  # series of the same length are filtered at once
-        rows = start[size == n][None, :] + np.arange(n)[:, None]
-        for c in columns:
-            if n <= 3 * max(len(a), len(b)):
-                out[c][rows] = np.nan
-            else:
-                out[c][rows] = filtfilt(b, a, block[c].to_numpy(float)[rows])
-    return block.assign(**out)
+    end = np.r_[start[1:], len(block)]
+    values = block[columns].to_numpy(float)
+    out = np.full(values.shape, np.nan)
+    long = [(s, e) for s, e in zip(start, end) if e - s > 3 * max(len(a), len(b))]
+    for (s, e), y in zip(long, filtfilt_many(b, a, [values[s:e] for s, e in long])):
+        out[s:e] = y
+    return block.assign(**{c: out[:, k] for k, c in enumerate(columns)})
 
 
 def butterworth(df: DataFrame, cutoff: float | tuple[float, float], freq: float, order: int = 5, kind: str = "highpass", columns: list[str] | None = None) -> DataFrame:

@@ -30,6 +30,20 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(c) + (NUDGE if digits == 6 else 0.0), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def significant(c, digits: int = 5) -> Column:
+    """A number of any size rounded to significant digits, by powers of ten that are exact."""
+    c = F.col(c) if isinstance(c, str) else c
+    e = F.floor(F.log10(F.abs(c)))
+    up, down = F.pow(F.lit(10.0), F.greatest(e, F.lit(0))), F.pow(F.lit(10.0), F.greatest(-e, F.lit(0)))
+    return F.when(c == 0, F.lit(0.0)).otherwise(F.round(c * down / up, digits - 1) / down * up)
+
+
+def significant_sql(c: str, digits: int = 5) -> str:
+    e = f"floor(log10(nullif(abs({c}), 0)))"
+    up, down = f"pow(10.0, greatest({e}, 0))", f"pow(10.0, greatest(-{e}, 0))"
+    return f"CASE WHEN {c} = 0 THEN 0.0 ELSE round(({c}) * {down} / {up}, {digits - 1}) / {down} * {up} END"
+
+
 # ------------------------------------------------------------------ views of the tables
 
 
@@ -197,10 +211,10 @@ def timedom_o1fit_multi(spark, folder):
     """One fit of each axis on the order, for every recording."""
     t = F.col("idx").cast("double")
     a = acc(spark, folder).groupBy("rec_id").agg(*[A.o1fit(t, F.col(c)).alias(c) for c in "xyz"])
-    return rounded(a.select("rec_id", *[F.col(f"{c}.{p}").alias(f"{c}_{p}") for c in "xyz" for p in ("intercept", "slope")]).where(F.col("x_slope").isNotNull() & (F.abs("x_slope") + F.abs("y_slope") + F.abs("z_slope") < 100)), 4)
+    return a.select("rec_id", *[significant(F.col(f"{c}.{p}")).alias(f"{c}_{p}") for c in "xyz" for p in ("intercept", "slope")])
 
 
-SQL["timedom_o1fit_multi"] = f"WITH {V_ACC}, f AS (SELECT rec_id, " + ", ".join(f"regr_intercept({c}, idx::DOUBLE) AS {c}_intercept, regr_slope({c}, idx::DOUBLE) AS {c}_slope" for c in "xyz") + " FROM acc GROUP BY rec_id) SELECT rec_id, " + ", ".join(f"round({c}_intercept, 4) AS {c}_intercept, round({c}_slope, 4) AS {c}_slope" for c in "xyz") + " FROM f WHERE x_slope IS NOT NULL AND abs(x_slope) + abs(y_slope) + abs(z_slope) < 100"
+SQL["timedom_o1fit_multi"] = f"WITH {V_ACC}, f AS (SELECT rec_id, " + ", ".join(f"regr_intercept({c}, idx::DOUBLE) AS {c}_intercept, regr_slope({c}, idx::DOUBLE) AS {c}_slope" for c in "xyz") + " FROM acc GROUP BY rec_id) SELECT rec_id, " + ", ".join(f"{significant_sql(f'{c}_{p}')} AS {c}_{p}" for c in "xyz" for p in ("intercept", "slope")) + " FROM f"
 
 
 @query
@@ -484,11 +498,11 @@ SQL["accel_magnitude"] = f"WITH {V_ACC} SELECT rec_id, idx, round(sqrt(x * x + y
 
 @query
 def accel_magnitude_dot(spark, folder):
-    a = acc(spark, folder).where(F.greatest(F.abs("x"), F.abs("y"), F.abs("z")) < 1e5)
-    return rounded(a.groupBy("rec_id").agg(A.magnitude_dot("x", "y", "z").alias("magnitude")), 3)
+    a = acc(spark, folder).groupBy("rec_id").agg(A.magnitude_dot("x", "y", "z").alias("m"))
+    return a.select("rec_id", significant("m").alias("magnitude"))
 
 
-SQL["accel_magnitude_dot"] = f"WITH {V_ACC} SELECT rec_id, round(sqrt(sum(x * x + y * y + z * z)), 3) AS magnitude FROM acc WHERE greatest(abs(x), abs(y), abs(z)) < 1e5 GROUP BY rec_id"
+SQL["accel_magnitude_dot"] = f"WITH {V_ACC}, m AS (SELECT rec_id, sqrt(sum(x * x + y * y + z * z)) AS m FROM acc GROUP BY rec_id) SELECT rec_id, {significant_sql('m')} AS magnitude FROM m"
 
 # ------------------------------------------------------------------ location
 

@@ -192,6 +192,14 @@ def test_butterworth(spark, kind, cutoff, edges):
         assert dsp.filtfilt(b, a, (slow + fast)[:, None])[50:350, 0] == pytest.approx(slow[50:350], abs=1e-2)
 
 
+def test_filters_together_are_as_alone():
+    rng = np.random.default_rng(2)
+    b, a = dsp.design((3.0, 12.0), 50.0, 5, "bandpass")
+    x = [rng.normal(size=(n, 2)) for n in (40, 300, 41, 90, 150)]
+    for one, y in zip(x, dsp.filtfilt_many(b, a, x)):
+        assert y == pytest.approx(dsp.filtfilt(b, a, one), abs=1e-9)
+
+
 def test_filters_of_acceleration(spark):
     t = np.arange(600) / 50
     rows = [(0, i, math.sin(2 * math.pi * 2 * s), 0.0, 9.81) for i, s in enumerate(t)] + [(1, i, 1.0, 1.0, 1.0) for i in range(10)]
