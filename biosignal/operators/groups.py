@@ -32,7 +32,8 @@ def _xyz(lat: Column, lon: Column) -> list[Column]:
 
 def ward(n: np.ndarray, mean: np.ndarray, ss: np.ndarray, across_m: float) -> np.ndarray:
     """Label of each cluster feature: pairs merge in order of Ward's increase, n_a n_b / (n_a + n_b) d^2, as long as the
-    centroids are at most `across_m` apart and the root mean square radius stays that of a disc of that width."""
+    centroids are at most `across_m` apart and the root mean square radius stays that of a disc of that width. Features meet
+    within half that width; a union meets what either of its parts met."""
     m = len(n)
     label = np.arange(m)
     at = mean
@@ -55,11 +56,11 @@ def ward(n: np.ndarray, mean: np.ndarray, ss: np.ndarray, across_m: float) -> np
 
     order = np.argsort(at[:, 0])
     x = at[order, 0]
-    hi = np.searchsorted(x, x + across_m, side="right")
+    hi = np.searchsorted(x, x + across_m / 2, side="right")
     for k in range(m):
         other = order[k + 1 : hi[k]]
         first = int(order[k])
-        for b in other[((at[other] - at[first]) ** 2).sum(axis=1) <= across2].tolist():
+        for b in other[((at[other] - at[first]) ** 2).sum(axis=1) <= across2 / 4].tolist():
             offer(first, b)
     members = {k: [k] for k in range(m)}
     while heap:
@@ -83,21 +84,26 @@ def ward(n: np.ndarray, mean: np.ndarray, ss: np.ndarray, across_m: float) -> np
     return label
 
 
+def _around(block: pd.DataFrame, seg: np.ndarray, tile: np.ndarray, size: int, reach: int) -> np.ndarray:
+    """Of each leaf the mass of its node, a cell of `size` leaves, and of the nodes up to `reach` cells away, in its tile."""
+    local = (block[["kx", "ky", "kz"]].to_numpy() - tile * TILE) // size + 32
+    code = (seg * 256 + local[:, 0]) * 65536 + local[:, 1] * 256 + local[:, 2]
+    node, of = np.unique(code, return_inverse=True)
+    mass, out = np.bincount(of, block.n.to_numpy()), np.zeros(len(node))
+    steps = range(-reach, reach + 1)
+    for step in (a * 65536 + b * 256 + c for a in steps for b in steps for c in steps):
+        there = np.minimum(np.searchsorted(node, node + step), len(node) - 1)
+        out += np.where(node[there] == node + step, mass[there], 0)
+    return out[of]
+
+
 def _tile_clusters(block: pd.DataFrame, leaf_m: float, min_size: int, across_m: float) -> pd.DataFrame:
     out = []
     tile = block[["tx", "ty", "tz"]].to_numpy()
-    new = changes(block, ["tx", "ty", "tz"])
-    # inner nodes: mass of a leaf's node and of the 26 next to it, over all tiles of the block at once
-    local = (block[["kx", "ky", "kz"]].to_numpy() - tile * TILE) // NODE + 16
-    code = ((np.cumsum(new) - 1) * 128 + local[:, 0]) * 16384 + local[:, 1] * 128 + local[:, 2]
-    node, of = np.unique(code, return_inverse=True)
-    mass = np.bincount(of, block.n.to_numpy())
-    around = np.zeros(len(node))
-    for step in (a * 16384 + b * 128 + c for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)):
-        there = np.minimum(np.searchsorted(node, node + step), len(node) - 1)
-        around += np.where(node[there] == node + step, mass[there], 0)
-    keep = around[of] >= min_size
-    block, tile = block[keep].reset_index(drop=True), tile[keep]
+    # inner nodes, coarse ones first: what lies in a leaf's node and around it is too little for a cluster
+    for size, reach in ((NODE, 1), (NODE // 2, 2)):
+        keep = _around(block, np.cumsum(changes(block, ["tx", "ty", "tz"])) - 1, tile, size, reach) >= min_size if len(block) else np.zeros(0, bool)
+        block, tile = block[keep].reset_index(drop=True), tile[keep]
     start = np.flatnonzero(changes(block, ["tx", "ty", "tz"])) if len(block) else []
     count, total, square = block.n.to_numpy(), block[["sx", "sy", "sz"]].to_numpy(), block.ss.to_numpy()
     for a, b in zip(start, np.r_[start[1:], len(block)]):
@@ -105,17 +111,25 @@ def _tile_clusters(block: pd.DataFrame, leaf_m: float, min_size: int, across_m:
         mean = total[a:b] / n[:, None]
         ss = square[a:b] - n * (mean**2).sum(axis=1)
         label = ward(n, mean, ss, across_m)
-        for k in np.unique(label):
-            own = label == k
-            centre = np.average(mean[own], axis=0, weights=n[own])
+        _, group = np.unique(label, return_inverse=True)
+        mass = np.bincount(group, n)
+        centres = np.stack([np.bincount(group, mean[:, c] * n) / mass for c in range(3)], axis=1)
+        done: list[np.ndarray] = []
+        for k in np.lexsort((centres[:, 0], -mass)):
+            centre = centres[k]
+            if mass[k] < max(2, min_size / 8):
+                break  # remainders around the clusters, and single ways
+            if done and (((np.array(done) - centre) ** 2).sum(axis=1) <= across_m**2).any():
+                continue  # a remainder of a place that is taken
             for _ in range(2):  # the centroid of all leaves that the assignment will reach
                 near = ((mean - centre) ** 2).sum(axis=1) <= (across_m / 2) ** 2
                 if near.any():
                     centre = np.average(mean[near], axis=0, weights=n[near])
             size = int(n[near].sum()) if near.any() else 0
-            home = np.floor(centre / (leaf_m * TILE)).astype(np.int64)
-            if size >= min_size and (home == tile[a]).all():
-                out.append((*centre, size))
+            if size >= min_size:
+                done.append(centre)
+                if (np.floor(centre / (leaf_m * TILE)).astype(np.int64) == tile[a]).all():
+                    out.append((*centre, size))
     found = pd.DataFrame(out, columns=["cx", "cy", "cz", "size"])
     # remainders of a place that lead to the same centroid are one cluster
     found = found.sort_values(["size", "cx", "cy", "cz"], ascending=[False, True, True, True]).reset_index(drop=True)
