@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biosignal.llm.leaks import find_leaks
+from biosignal.llm.leaks import find_leaks, remove_leaks
 from biosignal.llm.mixing import mixture
 from biosignal.llm.stuffing import stuffed_pages
 from biosignal.sources.tables import load
@@ -22,6 +22,13 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.countDistinct("id").alias("documents"), F.max("words").alias("longest"))
 
 
+def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents without what leaked, with the number of words cut out; wholly leaked ones are gone."""
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    clean = remove_leaks(docs, find_leaks(docs, load(spark, folder, "eval_items")))
+    return clean.select("doc_id", "removed_words", F.length("text").alias("chars"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sources that cannot reach their target share of the tokens."""
     return mixture(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))[1].where(~F.col("reached")).select("source")
@@ -37,12 +44,18 @@ def p7_uses(spark: SparkSession, folder: str) -> DataFrame:
     return mixture(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))[0].select(F.col("id").alias("doc_id"), "source", "uses")
 
 
+def p8_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each document is stuffing, repeated phrases and clauses."""
+    m = stuffed_pages(load(spark, folder, "documents"))
+    return m.select(F.col("id").alias("doc_id"), "chars", *[F.round(c, 4).alias(c) for c in ("stuffing", "repeated", "clauses")])
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that are keywords, links or product tags for the most part."""
     return stuffed_pages(load(spark, folder, "documents")).where("is_stuffed").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_shares": p7_shares, "p7_uses": p7_uses, "p8_found": p8_found}
+QUERIES = {"p6_found": p6_found, "p6_report": p6_report, "p6_clean": p6_clean, "p7_found": p7_found, "p7_shares": p7_shares, "p7_uses": p7_uses, "p8_found": p8_found, "p8_measures": p8_measures}
 
 SQL = {
     # words and single signs stand for tokens: any tokenizer gives the same sources
