@@ -35,6 +35,39 @@ def test_outer_product_is_symmetric(spark):
     assert len(d) == 36 and all(math.isclose(d[i, j], d[j, i], abs_tol=1e-9) for i, j in d) and all(d[i, i] == 0 for i in range(6))
 
 
+def track(spark, rows):
+    return spark.createDataFrame([(0, i, a, b) for i, (a, b) in enumerate(rows)], "entity bigint, idx bigint, latitude double, longitude double")
+
+
+def test_distance_examples(spark):
+    scale = 12742.018 / 12742
+    d = location.successive_distance(track(spark, [(0.123, 160.1), (-43.23, 99.12), (88.09, 1.12), (51.23, -20.1)]))
+    assert column(d, "distance") == pytest.approx([0, *[k * scale for k in (7715.92891568, 14840.77608768, 4113.65086425)]], rel=1e-8)
+    first = spark.createDataFrame([(0, 0.123, 160.1)], "entity bigint, home_lat double, home_lon double")
+    d = location.distance_from_home(track(spark, [(-43.23, 99.12), (88.09, 1.12), (51.23, -20.1)]), first)
+    assert column(d, "home_distance") == pytest.approx([k * scale for k in (7715.92891568, 10192.11206194, 14304.8626077)], rel=1e-8)
+
+
+def test_home(spark):
+    rows = [(0, 0, "2024-01-01 23:30:00", 10.0, 20.0), (0, 1, "2024-01-02 02:00:00", 10.0002, 20.0), (0, 2, "2024-01-02 12:00:00", 11.0, 20.0), (0, 3, "2024-01-02 13:00:00", None, 20.0), (1, 0, "2024-01-02 12:00:00", 1.0, 1.0)]
+    d = spark.createDataFrame(rows, "entity bigint, idx bigint, s string, latitude double, longitude double").withColumn("ts", F.to_timestamp("s"))
+    h = location.home(d).collect()
+    assert len(h) == 1 and h[0].home_lat == pytest.approx(10.0001)
+    stay = {r.entity: r.home_stay for r in location.proportion_home_stay(d).collect()}
+    assert stay == {0: 0.5, 1: 0.0}
+    assert d.groupBy("entity").agg(A.location_variance("latitude", "longitude").alias("v")).where("entity = 1").collect()[0].v == 0
+
+
+def test_spectrum_bands(spark):
+    rows = [(0, k, k / 10, float(v)) for k, v in enumerate([9, 1, -4, 4, 2])]
+    d = spark.createDataFrame(rows, "entity bigint, k bigint, freq double, psd double")
+    r = d.groupBy("entity").agg(A.power_band("psd", "freq", 0.1, 0.3).alias("p"), A.relative_power_band("psd", "freq", 0.1, 0.3).alias("r"), A.peak_frequency("psd", "freq", 0.1, 0.3).alias("f"), A.peak_frequency("psd", "freq", 9.0).alias("none")).collect()[0]
+    assert (r.p, r.r, r.f, r.none) == (9.0, 0.45, 0.1, None)
+    assert hrv.peak_frequency(d, 0.1, 0.4, aligned=True).collect()[0].peak == 0.3
+    assert hrv.peak_frequency(d, 0.1, 0.4).collect()[0].peak == 0.2  # the place in the band, looked up in the whole
+    assert hrv.peak_frequency(d).collect()[0].peak == 0.0
+
+
 def test_daily_range(spark):
     t = ["22:59:59", "23:00:00", "00:00:00", "06:00:00", "06:00:01"]
     d = spark.createDataFrame([(f"2024-01-01 {x}",) for x in t], "s string").select(F.to_timestamp("s").alias("t"))
