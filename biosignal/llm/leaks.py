@@ -43,6 +43,13 @@ class Index:
         order = np.argsort(code, kind="stable")
         self.code, self.item, self.place = code[order], item_[order], place_[order]
 
+    @classmethod
+    def of(cls, parts: dict) -> "Index":
+        """An index out of its parts: these are plain values, and a broadcast of them needs no package on the executors."""
+        index = cls.__new__(cls)
+        index.__dict__.update(parts)
+        return index
+
     def codes(self, numbers: np.ndarray) -> np.ndarray:
         """A number for each window of GRAM words; words outside the vocabulary are -1 and make a negative number."""
         if len(numbers) < GRAM:
@@ -157,8 +164,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str
     d = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
     out = None
     for block in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block))
-        found = d.mapInPandas(lambda frames, shared=shared: _scan(frames, shared.value, exact, fuzzy, run), f"id {kinds[0]}, item_id {kinds[1]}, words int, edits int, first_word int, last_word int")
+        shared = docs.sparkSession.sparkContext.broadcast(vars(Index(block)))
+        found = d.mapInPandas(lambda frames, shared=shared: _scan(frames, Index.of(shared.value), exact, fuzzy, run), f"id {kinds[0]}, item_id {kinds[1]}, words int, edits int, first_word int, last_word int")
         out = found if out is None else out.unionByName(found)
     return out
 
