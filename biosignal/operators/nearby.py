@@ -122,9 +122,10 @@ def near_pairs(df: DataFrame, distance_m: float, id: str = "ping_id", owner: str
     place are a pair at distance 0. Works across the 180th meridian and at the poles. Empty in, empty out. The height of a
     strip (degrees) must be larger than the distance.
     """
+    kind = dict(df.dtypes)[id]
     if distance_m / DEGREE_M > height:
         height = 4 * distance_m / DEGREE_M
-    p = valid_fixes(df.where(F.col(id).isNotNull() & F.col(owner).isNotNull()), F.col(id).cast("bigint").alias("id"), F.col(owner).alias("owner"), lat=lat, lon=lon)
+    p = valid_fixes(df.where(F.col(id).isNotNull() & F.col(owner).isNotNull()), F.col(id).alias("id"), F.col(owner).alias("owner"), lat=lat, lon=lon)
     p = p.withColumnsRenamed({"latitude": "lat", "longitude": "lon"})
     p = _in_blocks(p, distance_m, height)
     count = p.groupBy("strip", "block").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("a"), F.max("owner").alias("b"))
@@ -133,7 +134,7 @@ def near_pairs(df: DataFrame, distance_m: float, id: str = "ping_id", owner: str
     p = p.join(kept, ["strip", "block"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     tile = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.concat_ws("-", F.least(q, F.col("part")).cast("string"), F.greatest(q, F.col("part")).cast("string")))
     p = p.select("id", "owner", "lat", "lon", "strip", "block", "dlon", "home", "part", F.explode(tile).alias("tile"))
-    return map_segments(p, ["strip", "block", "tile"], ["lon", "lat", "id"], lambda b: _sweep(b, distance_m), "left_id bigint, right_id bigint, distance_m double")
+    return map_segments(p, ["strip", "block", "tile"], ["lon", "lat", "id"], lambda b: _sweep(b, distance_m), f"left_id {kind}, right_id {kind}, distance_m double")
 
 
 def ring_edges(zones: DataFrame, zone: str = "zone_id", seq: str = "seq", lat: str = "latitude", lon: str = "longitude") -> DataFrame:

@@ -47,6 +47,13 @@ def test_place_with_most_points_is_cut_into_tiles(spark):
     assert len(got) == len(set(got)) and set(got) == brute(rows, 20.0)
 
 
+def test_names_as_ids(spark):
+    rows = scatter(45.0, 7.0, 80, 3)
+    d = points(spark, rows).withColumn("ping_id", F.concat(F.lit("p"), "ping_id")).withColumn("entity", F.concat(F.lit("e"), "entity"))
+    got = {(r.left_id, r.right_id) for r in near_pairs(d, 20.0).collect()}
+    assert got == {tuple(sorted((f"p{a}", f"p{b}"))) for a, b in brute(rows, 20.0)}
+
+
 def test_one_owner_and_empty(spark):
     assert near_pairs(points(spark, scatter(45.0, 7.0, 300, 3, owners=1)), 20.0).count() == 0
     assert near_pairs(points(spark, []), 20.0).count() == 0
