@@ -97,13 +97,13 @@ def automaton(tokens: list[int]) -> tuple[list[int], list[int], list[int], list[
     return length, link, occurs, path, order
 
 
-def repeated(parts: tuple, often: int) -> np.ndarray:
+def repeated(parts: tuple, often: int) -> list[int]:
     """Of an automaton: at each token the length of the longest phrase that ends there and occurs at least `often` times."""
     length, link, occurs, path, order = parts
     best = [0] * len(length)
     for s in order:
         best[s] = length[s] if occurs[s] >= often else best[link[s]]
-    return np.array([best[s] for s in path], np.int64)
+    return [best[s] for s in path]
 
 
 def keyword(parts: tuple, tokens: list[int], size: list[int], content: list[bool], allowed: list[bool], most_tokens: int = 4) -> tuple[int, float, list[int]]:
@@ -128,14 +128,14 @@ def keyword(parts: tuple, tokens: list[int], size: list[int], content: list[bool
     return best
 
 
-def covered(spans: np.ndarray) -> np.ndarray:
+def covered(spans: list[int]) -> list[bool]:
     """True for the tokens that lie in one of the phrases ending at each token."""
-    n = len(spans)
-    edge = np.zeros(n + 1, np.int64)
-    at = np.flatnonzero(spans)
-    np.add.at(edge, at - spans[at] + 1, 1)
-    np.add.at(edge, at + 1, -1)
-    return np.cumsum(edge)[:n] > 0
+    out, low = [False] * len(spans), len(spans)
+    for i in range(len(spans) - 1, -1, -1):
+        if spans[i] and i - spans[i] + 1 < low:
+            low = i - spans[i] + 1
+        out[i] = low <= i
+    return out
 
 
 def sentences(marked: str) -> list[str]:
@@ -167,74 +167,93 @@ def _fact(token: str) -> tuple[str, int, int]:
     return key, len(token) + 1, (low in FUNCTION) | (low in JOINING) << 1 | link << 2 | number << 3 | (low[0] == "#" and len(low) > 1) << 4
 
 
-def measures(text: str | None, known: dict | None = None) -> tuple[int, float, float, float]:
+class Pages:
+    """The lines and tokens of a batch of pages, side by side: what is counted by line is counted for all of them at once."""
+
+    def __init__(self) -> None:
+        self.page, self.chars, self.links, self.joints = [], [], [], []  # of each line
+        self.line, self.size, self.bits, self.cover, self.phrase, self.begins = [], [], [], [], [], []  # of each token
+        self.total, self.times = [], []  # of each page
+
+    def add(self, text: str | None, known: dict) -> None:
+        at, page = len(self.page), len(self.total)
+        self.total.append(0)
+        self.times.append(0)
+        if not text:
+            return
+        plain = unicodedata.normalize("NFKC", body(text))
+        marked = LINK.sub(lambda m: "\x01" + "\x02" * max(0, min(len(m.group()), 200) - 1), plain)
+        lines = sentences(MARKUP.sub(" ", marked))
+        facts = []
+        for k, line in enumerate(lines, at):
+            for t in TOKEN.findall(line):
+                f = known.get(t)
+                if f is None:
+                    f = known[t] = _fact(t)
+                facts.append(f)
+                self.line.append(k)
+        chars = [len(s.strip()) for s in lines]
+        self.page += [page] * len(lines)
+        self.chars += chars
+        self.links += [s.count("\x01") + s.count("\x02") for s in lines]
+        self.joints += [len(JOINT.findall(s)) for s in lines]
+        self.total[page] = sum(chars)
+        number: dict[str, int] = {}
+        ids = [number.setdefault(f[0], len(number)) for f in facts]
+        sizes, bits = [f[1] for f in facts], [f[2] for f in facts]
+        self.size += sizes
+        self.bits += bits
+        content = [not b & FUNCTION_WORD for b in bits]
+        allowed = [not b & (IS_LINK | IS_NUMBER) and (not b & FUNCTION_WORD or bool(b & JOINING_WORD)) for b in bits]
+        for a in range(0, len(ids), PAGE):  # a very long page is taken in parts, all of it
+            part = ids[a : a + PAGE]
+            states = automaton(part)
+            self.cover += covered(repeated(states, 2))
+            # the keyword is a phrase of content words, perhaps joined
+            times, _, best = keyword(states, part, sizes[a : a + PAGE], content[a : a + PAGE], allowed[a : a + PAGE])
+            self.times[page] += times
+            phrase, begins, n = [False] * len(part), [False] * len(part), len(best)
+            if times:
+                for i, t in enumerate(part):
+                    if t == best[0] and part[i : i + n] == best:
+                        begins[i] = True
+                        phrase[i : i + n] = [True] * n
+            self.phrase += phrase
+            self.begins += begins
+
+    def measures(self) -> dict[str, np.ndarray]:
+        pages, n = len(self.total), len(self.page)
+        page, chars, link_chars, joints = np.array(self.page, int), np.array(self.chars, float), np.array(self.links, float), np.array(self.joints, int)
+        of, size, bits = np.array(self.line, int), np.array(self.size, float), np.array(self.bits, int)
+        phrase = np.array(self.phrase, bool)
+        is_link, word = bits & IS_LINK > 0, bits & (IS_LINK | IS_NUMBER) == 0
+        cover = np.array(self.cover, bool) & ~is_link
+        count = lambda m: np.bincount(of, m, n)
+        words, functions, links, tags = count(word), count(bits & FUNCTION_WORD > 0), count(is_link), count(bits & IS_TAG > 0)
+        letters, held, kept = count(np.where(word, size, 0)), count(np.where(cover & word, size, 0)), count(np.where(phrase, size, 0))
+        wordy = letters >= 0.4 * (chars - link_chars)
+        jointed = (joints >= 3) & (words <= 7 * (joints + 1))  # a row of a table, or items with something between them
+        clause = (functions >= 2) & (functions >= 0.16 * words) & ~jointed
+        linked = link_chars >= 0.4 * chars
+        listed = ~clause & (linked | (tags >= 3) | (links >= 2) | (wordy & (letters > 0) & (held >= 0.4 * letters)) | (wordy & jointed))
+        # link after link, with a few words on each
+        listed |= linked & (np.bincount(page, links, pages)[page] >= 5) & (words <= 6 * links)
+        # sentences written around the keyword
+        filled = wordy & (words >= 4) & (kept >= 0.3 * letters) & (count(np.array(self.begins, bool)) >= 2) & (np.array(self.times, int)[page] >= 6)
+        stuffed = listed | filled
+        total = np.array(self.total, int)
+        share = lambda x: np.bincount(page, x, pages) / np.maximum(1, total)
+        owner = page[of]
+        covers = np.bincount(owner, np.where(cover, size, 0), pages) / np.maximum(1, np.bincount(owner, size, pages))
+        return {"chars": total, "stuffing": share(chars * stuffed), "repeated": covers, "clauses": share(chars * (clause & ~stuffed))}
+
+
+def measures(text: str | None) -> tuple[int, float, float, float]:
     """(characters of the body, share of them in stuffing, share covered by repeated phrases, share in lines with a clause)."""
-    if not text:
-        return 0, 0.0, 0.0, 0.0
-    plain = unicodedata.normalize("NFKC", body(text))
-    marked = LINK.sub(lambda m: "\x01" + "\x02" * max(0, min(len(m.group()), 200) - 1), plain)
-    marked = MARKUP.sub(" ", marked)
-    lines = sentences(marked)
-    tokens, owner = [], []
-    for k, line in enumerate(lines):
-        for t in TOKEN.findall(line):
-            tokens.append(t)
-            owner.append(k)
-    total = sum(len(s.strip()) for s in lines)
-    if not tokens:
-        return total, 0.0, 0.0, 0.0
-    known = {} if known is None else known
-    if len(known) > 200_000:  # what is known of tokens speeds up a worker's next pages
-        known.clear()
-    facts = []
-    for t in tokens:
-        f = known.get(t)
-        if f is None:
-            f = known[t] = _fact(t)
-        facts.append(f)
-    number: dict[str, int] = {}
-    tokens_of = [number.setdefault(f[0], len(number)) for f in facts]
-    sizes = [f[1] for f in facts]
-    ids, size, of = np.array(tokens_of), np.array(sizes), np.array(owner)
-    bits = np.array([f[2] for f in facts])
-    function, joining, is_link, is_number, is_tag = (bits & b > 0 for b in (FUNCTION_WORD, JOINING_WORD, IS_LINK, IS_NUMBER, IS_TAG))
-    cover, phrase, begins, phrases = np.zeros(len(ids), bool), np.zeros(len(ids), bool), np.zeros(len(ids), bool), 0
-    allowed, content = ~(is_link | is_number | (function & ~joining)), ~function
-    for a in range(0, len(ids), PAGE):  # a very long page is taken in parts, all of it
-        part = ids[a : a + PAGE]
-        states = automaton(tokens_of[a : a + PAGE])
-        cover[a : a + PAGE] = covered(repeated(states, 2))
-        # the keyword is a phrase of content words, perhaps joined
-        times, _, best = keyword(states, tokens_of[a : a + PAGE], sizes[a : a + PAGE], content[a : a + PAGE].tolist(), allowed[a : a + PAGE].tolist())
-        phrases += times
-        if times:
-            n, at = len(best), np.ones(max(0, len(part) - len(best) + 1), bool)
-            for k, t in enumerate(best):
-                at &= part[k : len(part) - n + 1 + k] == t
-            begins[a + np.flatnonzero(at)] = True
-            for k in range(n):
-                phrase[a + k + np.flatnonzero(at)] = True
-    cover &= ~is_link
-    n = len(lines)
-    count = lambda m: np.bincount(of, m, n)
-    word = ~is_link & ~is_number
-    words, functions, links, tags = count(word), count(function), count(is_link), count(is_tag)
-    letters = count(np.where(word, size, 0))
-    held, kept = count(np.where(cover & word, size, 0)), count(np.where(phrase, size, 0))
-    times_in = count(begins)
-    chars = np.array([len(s.strip()) for s in lines], float)
-    link_chars = np.array([s.count("\x01") + s.count("\x02") for s in lines], float)
-    joints = np.array([len(JOINT.findall(s)) for s in lines])
-    wordy = letters >= 0.4 * (chars - link_chars)
-    jointed = (joints >= 3) & (words <= 7 * (joints + 1))  # a row of a table, or items with something between them
-    clause = (functions >= 2) & (functions >= 0.16 * words) & ~jointed
-    linked = link_chars >= 0.4 * chars
-    listed = ~clause & (linked | (tags >= 3) | (links >= 2) | (wordy & (letters > 0) & (held >= 0.4 * letters)) | (wordy & jointed))
-    listed |= linked & (links.sum() >= 5) & (words <= 6 * links)  # link after link, with a few words on each
-    # sentences written around the keyword
-    filled = wordy & (words >= 4) & (kept >= 0.3 * letters) & (times_in >= 2) & (phrases >= 6)
-    stuffed = listed | filled
-    return total, float(chars[stuffed].sum() / max(1, total)), float(np.where(cover & ~is_link, size, 0).sum() / max(1, size.sum())), float(chars[clause & ~stuffed].sum() / max(1, total))
+    pages = Pages()
+    pages.add(text, {})
+    m = pages.measures()
+    return int(m["chars"][0]), float(m["stuffing"][0]), float(m["repeated"][0]), float(m["clauses"][0])
 
 
 def stuffed_pages(docs: DataFrame, id: str = "doc_id", text: str = "text", *, most: float = 0.5, least_chars: int = 40) -> DataFrame:
@@ -249,8 +268,15 @@ def stuffed_pages(docs: DataFrame, id: str = "doc_id", text: str = "text", *, mo
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
         for f in frames:
-            m = [measures(t, known) for t in f.text]
-            out = pd.DataFrame(m, columns=["chars", "stuffing", "repeated", "clauses"])
+            parts = []
+            for a in range(0, len(f), 500):
+                pages = Pages()
+                for t in f.text.iloc[a : a + 500]:
+                    pages.add(t, known)
+                parts.append(pd.DataFrame(pages.measures()))
+                if len(known) > 200_000:  # what is known of tokens speeds up a worker's next pages
+                    known.clear()
+            out = pd.concat(parts, ignore_index=True)
             out.insert(0, "id", f.id.to_numpy())
             out["is_stuffed"] = (out.stuffing > most) & (out.chars >= least_chars)
             yield out
