@@ -91,10 +91,11 @@ def extend(doc: list[int], item: list[int], i: int, j: int, step: int) -> tuple[
 
 
 def leaks_of(doc: list[int], hits: dict[int, list[tuple[int, int]]], index: Index, exact: int, fuzzy: int, run: float) -> list[tuple[int, int, int, int, int]]:
-    """(item, words, edits, first word, last word) of each item that leaks into a document; the longest match of each."""
+    """(item, words, edits, first word, last word) of every match of each item that leaks into a document, but for those
+    that lie inside another of the same item; the longest is always there."""
     out = []
     for item, places in hits.items():
-        text, best, seen = index.items[item], None, set()
+        text, found, seen = index.items[item], {}, set()
         for i, j in places:
             if (i, j) in seen:
                 continue
@@ -106,10 +107,15 @@ def leaks_of(doc: list[int], hits: dict[int, list[tuple[int, int]]], index: Inde
             seen.update((i + k, j + k) for k in range(first))
             total, edits = left + right, e1 + e2
             if row >= exact or (total >= fuzzy and total >= run * (edits + 1)):
-                if best is None or total > best[1]:
-                    best = (item, total, edits, start, end)
-        if best:
-            out.append(best)
+                found[start, end] = max(found.get((start, end), (0, 0)), (total, -edits))
+        if not found:
+            continue
+        longest, upto = max(found, key=lambda s: found[s][0]), -1
+        for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
+            if end > upto or (start, end) == longest:
+                total, edits = found[start, end]
+                out.append((item, total, -edits, start, end))
+                upto = max(upto, end)
     return out
 
 
@@ -144,7 +150,8 @@ def _scan(frames: Iterable[pd.DataFrame], index: Index, exact: int, fuzzy: int,
 
 def find_leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", prompt: str = "prompt", *, exact: int = 12, fuzzy: int = 30, run: float = 5.0, max_grams: int = 2_000_000) -> DataFrame:
     """(id, item_id, words, edits, first_word, last_word): each document and item of which at least `exact` words in a
-    row or `fuzzy` words in order stand in it, with the longest match and its place in words of the document.
+    row or `fuzzy` words in order stand in it, a row for every such passage with its place in words of the document.
+    Passages of an item may overlap, but none lies inside another unless it is the one with most words.
 
     NULL and empty texts hold nothing; rows without an id take no part; repeated rows give repeated rows; items that
     share a passage all count. Other columns of either input are ignored. Empty in, empty out.
@@ -171,7 +178,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str
 
 
 def remove_leaks(docs: DataFrame, leaks: DataFrame, id: str = "doc_id", text: str = "text", *, most: float = 0.5) -> DataFrame:
-    """The documents without what leaked: a document of whose words more than `most` leaked is dropped, of the others the
+    """The documents without what leaked: a document of whose words more than `most` leaked is dropped, of the others all
     spans are cut out. Adds `removed_words`. Documents without a leak stay as they are."""
     from biosignal.llm.words import WORD, plain
 

@@ -80,6 +80,18 @@ def test_removal(spark):
     assert out[0][1] == 13 and "archive" not in out[0][0] and out[0][0].startswith("good words before this") and out[0][0].endswith("for long")
 
 
+def test_removal_of_every_passage_of_an_item(spark):
+    own = "these are good words of the author that belong to nobody else and stay where they were put"
+    texts = [f"{own} {w(0, 13)} {own} {w(20, 38)} {own}", f"{w(0, 13)} so it went on and on for them {w(20, 38)} the end", f"{own} {w(2, 22)} {w(10, 30)} {own} {own}"]
+    d = docs(spark, texts)
+    leaks = find_leaks(d, items(spark).where("item_id = 2"))
+    assert {(r.first_word, r.last_word) for r in leaks.where("id = 0").collect()} == {(18, 30), (49, 66)}
+    out = {r.doc_id: (r.text, r.removed_words) for r in remove_leaks(d, leaks).collect()}
+    # of the second document more than half leaked; the spans of the third touch
+    assert out == {0: (f"{own} {own} {own}", 31), 2: (f"{own} {own} {own}", 40)}
+    assert find_leaks(docs(spark, [r[0] for r in out.values()]), items(spark)).count() == 0
+
+
 def test_words():
     assert words(None) == [] and words("") == []
     assert words("A&amp;B don't <b>st</b>op[/b] 3.5") == ["a", "b", "don", "t", "stop", "3", "5"]
