@@ -5,6 +5,8 @@ Every fix of a device gets a core distance: the radius that holds `dense_s` seco
 In order of time these values are a reachability plot: its valleys (at most `valley_m`) are runs of staying, its
 ridges runs of moving. The plot is made for chunks of a day with a margin of `window_s`, so that a device with a third
 of all pings is spread over as many tasks as it has days; a second pass joins the runs (a few dozen a day) in order.
+Fixes with too few others within `window_s` (a phone that saves power) are left to the second pass, which sees the fixes
+before and after however far away in time: 15 minutes hold two of them at most, so they are no more than 200 runs a day.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from biosignal.sources.tables import micros, valid_fixes
 DEGREE_M = 12742018.0 * np.pi / 360
 DAY_US = 86_400_000_000
 
-RUN_SCHEMA = "entity {entity}, start_us bigint, end_us bigint, staying boolean, fixes bigint, latitude double, longitude double, path_m double, gap_s double, first_lat double, first_lon double, last_lat double, last_lon double"
+RUN_SCHEMA = "entity {entity}, start_us bigint, end_us bigint, staying boolean, fixes bigint, latitude double, longitude double, path_m double, gap_s double, sparse boolean, first_lat double, first_lon double, last_lat double, last_lon double"
 OUT_SCHEMA = "entity {entity}, kind string, start_us bigint, end_us bigint, duration_s double, distance_m double, fixes bigint, latitude double, longitude double"
 
 
@@ -41,13 +43,18 @@ def _dwell(t: np.ndarray, seg: np.ndarray, most: float) -> np.ndarray:
     return out
 
 
+def _window(seg: np.ndarray, t: np.ndarray, window_s: float) -> tuple[np.ndarray, np.ndarray]:
+    """First and last row (exclusive) within `window_s` of each row of the same segment."""
+    start = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+    since = t - np.repeat(t[start], np.diff(np.r_[start, len(t)]))
+    key = seg * (since.max() + 3 * window_s + 1) + since
+    return np.searchsorted(key, key - window_s), np.searchsorted(key, key + window_s, side="right")
+
+
 def reachability(seg: np.ndarray, t: np.ndarray, lat: np.ndarray, lon: np.ndarray, window_s: float, dense_s: float) -> np.ndarray:
     """Reachability of fixes in order of (seg, t), each segment for itself."""
     n = len(t)
-    start = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-    since = t - np.repeat(t[start], np.diff(np.r_[start, n]))
-    key = seg * (since.max() + 3 * window_s + 1) + since
-    lo, hi = np.searchsorted(key, key - window_s), np.searchsorted(key, key + window_s, side="right")
+    lo, hi = _window(seg, t, window_s)
     weight = _dwell(t, seg, window_s / 4)
     core, kept, at = np.empty(n), [], 0
     while at < n:
@@ -88,7 +95,12 @@ def _runs(block: pd.DataFrame, window_s: float, dense_s: float, valley_m: float)
     seg = np.cumsum(changes(block, ["entity", "chunk"])) - 1
     us, lat, lon = block.us.to_numpy(), block.latitude.to_numpy(), block.longitude.to_numpy()
     t = (us - us.min()) / 1e6
-    stay = reachability(seg, t, lat, lon, window_s, dense_s) <= valley_m
+    reach = reachability(seg, t, lat, lon, window_s, dense_s)
+    stay = reach <= valley_m
+    # the window tells nothing of a fix alone in it or with one other, which may be wrong
+    lo, hi = _window(seg, t, window_s)
+    lone = ~stay & (hi - lo <= 2)
+    sparse = lone | np.isinf(reach)
     own = block.own.to_numpy(bool)
     # longitudes of a segment are continued over the 180th meridian
     first = np.repeat(lon[np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])], np.bincount(seg))
@@ -105,8 +117,8 @@ def _runs(block: pd.DataFrame, window_s: float, dense_s: float, valley_m: float)
     rows = np.flatnonzero(own)
     if not len(rows):
         return pd.DataFrame(columns=[c.split()[0] for c in RUN_SCHEMA.split(", ")])
-    s, v, j = seg[rows], stay[rows], jump[rows]
-    new = np.r_[True, (s[1:] != s[:-1]) | (v[1:] != v[:-1]) | (j[1:] & v[1:])]
+    s, v, j, l, p = seg[rows], stay[rows], jump[rows], lone[rows], sparse[rows]
+    new = np.r_[True, (s[1:] != s[:-1]) | (v[1:] != v[:-1]) | (j[1:] & v[1:]) | l[1:] | l[:-1] | (p[1:] != p[:-1]) | (p[1:] & (np.diff(t[rows]) > window_s))]
     run = np.cumsum(new) - 1
     start = np.flatnonzero(new)
     end = np.r_[start[1:], len(rows)] - 1
@@ -117,12 +129,29 @@ def _runs(block: pd.DataFrame, window_s: float, dense_s: float, valley_m: float)
     middle = f[["latitude", "longitude"]].median()
     out = pd.DataFrame({
         "entity": block.entity.to_numpy()[rows][start], "start_us": us[rows][start], "end_us": us[rows][end], "staying": v[start], "fixes": end - start + 1,
-        "latitude": middle.latitude.to_numpy(), "longitude": (middle.longitude.to_numpy() + 180) % 360 - 180, "path_m": f.step.sum().to_numpy(), "gap_s": f.gap.max().to_numpy(),
+        "latitude": middle.latitude.to_numpy(), "longitude": (middle.longitude.to_numpy() + 180) % 360 - 180, "path_m": f.step.sum().to_numpy(), "gap_s": f.gap.max().to_numpy(), "sparse": p[start],
         "first_lat": lat[rows][start], "first_lon": lon[rows][start], "last_lat": lat[rows][end], "last_lon": lon[rows][end],
     })
     return out
 
 
+def _settle(runs: list, radius_m: float, valley_m: float, max_wrong: int) -> list[dict]:
+    """Runs with the sparse ones staying that lie at the place of a stay, or of another sparse one, before or after them."""
+
+    def near(i: int, step: int) -> bool:
+        r, passed, at = runs[i], 0, i + step
+        while 0 <= at < len(runs) and passed <= max_wrong:
+            o = runs[at]
+            if (o["staying"] or o["sparse"]) and metres(o["latitude"], o["longitude"], r["latitude"], r["longitude"]) <= (radius_m if o["staying"] else valley_m):
+                return True
+            if o["staying"]:
+                return False
+            passed, at = passed + o["fixes"], at + step
+        return False
+
+    return [r | {"staying": True} if r["sparse"] and (near(i, -1) or near(i, 1)) else r for i, r in enumerate(runs)]
+
+
 def _join_runs(runs: list, radius_m: float, max_wrong: int) -> list[dict]:
     """Runs in order of time to valleys, each with what lies between it and the valley before it."""
     out: list[dict] = []
@@ -149,11 +178,11 @@ def _join_runs(runs: list, radius_m: float, max_wrong: int) -> list[dict]:
     return out
 
 
-def _episodes(frame: pd.DataFrame, radius_m: float, min_stop_s: float, halt_s: float, max_wrong: int, gap_s: float) -> pd.DataFrame:
+def _episodes(frame: pd.DataFrame, radius_m: float, valley_m: float, min_stop_s: float, halt_s: float, max_wrong: int, gap_s: float) -> pd.DataFrame:
     rows = []
     least = (min_stop_s + halt_s) / 2 * 1e6
     for entity, g in frame.groupby("entity", sort=False):
-        runs = g.to_dict("records")
+        runs = _settle(g.to_dict("records"), radius_m, valley_m, max_wrong)
         valleys = _join_runs(runs, radius_m, max_wrong)
         # valleys too short for a stop are halts: they become part of the way, and what is around them may join
         longer = [v for v in valleys if v["end_us"] - v["start_us"] >= least]
@@ -196,4 +225,4 @@ def stops_and_trips(df: DataFrame, entity: str = "entity", ts: str = "ts", lat:
     reach = F.explode(F.sequence(F.floor((F.col("us") - margin) / F.lit(DAY_US)).cast("bigint"), F.floor((F.col("us") + margin) / F.lit(DAY_US)).cast("bigint")))
     chunks = fixes.select("entity", "us", "latitude", "longitude", chunk.alias("home"), reach.alias("chunk")).withColumn("own", F.col("home") == F.col("chunk")).drop("home")
     runs = map_segments(chunks, ["entity", "chunk"], ["us", "latitude", "longitude"], lambda b: _runs(b, window_s, dense_s, valley_m), RUN_SCHEMA.format(entity=kind))
-    return map_segments(runs, ["entity"], ["start_us"], lambda b: _episodes(b, radius_m, min_stop_s, halt_s, max_wrong, gap_s), OUT_SCHEMA.format(entity=kind))
+    return map_segments(runs, ["entity"], ["start_us"], lambda b: _episodes(b, radius_m, valley_m, min_stop_s, halt_s, max_wrong, gap_s), OUT_SCHEMA.format(entity=kind))

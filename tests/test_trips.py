@@ -94,6 +94,50 @@ def test_round_trip_to_the_same_place(spark):
     assert [k for _, _, k, _ in out] == ["stop", "trip", "stop"]
 
 
+NIGHT = 14 * 3600
+
+
+def at_place(out, *edges, within=100):
+    assert len(out) == len(edges) and all(abs(a - b) <= within for o, e in zip(out, edges) for a, b in zip(o[:2], e)), out
+
+
+@pytest.mark.parametrize("every", [14, 40, 140])
+def test_still_phone_with_few_pings(spark, every):
+    rows = track([(NIGHT, 0, 0)])[::every]
+    out = found(spark, rows)
+    assert [k for _, _, k, _ in out] == ["stop"]
+    at_place(out, (0, (len(rows) - 1) * every * 90))
+
+
+def test_few_pings_inside_a_stay(spark):
+    rows = track([(NIGHT, 0, 0)])
+    out = found(spark, rows[:60] + rows[60:300:14] + rows[300:])
+    assert [k for _, _, k, _ in out] == ["stop"]
+    at_place(out, (0, NIGHT))
+
+
+def test_few_pings_at_two_places(spark):
+    rows = track([(6300, 0, 0), ("gap", 1260), (NIGHT, 4000, 0)])
+    rows = rows[:71:14] + rows[71::14]
+    out = found(spark, rows)
+    assert [k for _, _, k, _ in out] == ["stop", "trip", "stop"]
+    at_place(out, (0, 6300), (6300, 7560), (7560, 7560 + NIGHT), within=1300)
+
+
+def test_few_pings_and_wrong_ones(spark):
+    rows = [list(r) for r in track([(NIGHT, 0, 0)])[::14]]
+    for k in (4, 11, 12, 13):
+        rows[k][3] += 0.05 + 0.01 * k
+    # a wrong fix near a sound one in time
+    beside = [(800000 + k, 1, rows[k][2] + dt.timedelta(seconds=300), 10.3 + k / 100, 20.0) for k in (7, 8, 9, 20)]
+    out = found(spark, [tuple(r) for r in rows] + beside)
+    assert [k for _, _, k, _ in out] == ["stop"]
+
+
+def test_few_pings_on_the_way(spark):
+    assert found(spark, track([("go", NIGHT, 900000, 0)])[::42]) == []
+
+
 def test_never_staying_and_empty(spark):
     assert found(spark, track([("go", 7200, 90000, 0)])) == []
     assert found(spark, []) == []
