@@ -42,7 +42,6 @@ JOINT = re.compile(r"\s[|/•·>*-]+\s|[|;•·]|\.\.\.")
 LISTED = re.compile(r"^\s*(?:[-*•+]|\d+[.)])\s|#[^\W\d]")
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_]|[¿¡\"'])")
 TOKEN = re.compile("\x01|#[^\\W\\d]\\w*|[^\\W\\d_]+(?:['’][^\\W\\d_]+)*|\\d+(?:[.,:]\\d+)*")
-PAGE = 50_000
 
 
 def body(text: str) -> str:
@@ -205,21 +204,19 @@ class Pages:
         self.bits += bits
         content = [not b & FUNCTION_WORD for b in bits]
         allowed = [not b & (IS_LINK | IS_NUMBER) and (not b & FUNCTION_WORD or bool(b & JOINING_WORD)) for b in bits]
-        for a in range(0, len(ids), PAGE):  # a very long page is taken in parts, all of it
-            part = ids[a : a + PAGE]
-            states = automaton(part)
-            self.cover += covered(repeated(states, 2))
-            # the keyword is a phrase of content words, perhaps joined
-            times, _, best = keyword(states, part, sizes[a : a + PAGE], content[a : a + PAGE], allowed[a : a + PAGE])
-            self.times[page] += times
-            phrase, begins, n = [False] * len(part), [False] * len(part), len(best)
-            if times:
-                for i, t in enumerate(part):
-                    if t == best[0] and part[i : i + n] == best:
-                        begins[i] = True
-                        phrase[i : i + n] = [True] * n
-            self.phrase += phrase
-            self.begins += begins
+        states = automaton(ids)
+        self.cover += covered(repeated(states, 2))
+        # the keyword is a phrase of content words, perhaps joined
+        times, _, best = keyword(states, ids, sizes, content, allowed)
+        self.times[page] = times
+        phrase, begins, n = [False] * len(ids), [False] * len(ids), len(best)
+        if times:
+            for i, t in enumerate(ids):
+                if t == best[0] and ids[i : i + n] == best:
+                    begins[i] = True
+                    phrase[i : i + n] = [True] * n
+        self.phrase += phrase
+        self.begins += begins
 
     def measures(self) -> dict[str, np.ndarray]:
         pages, n = len(self.total), len(self.page)

@@ -3,8 +3,9 @@ import time
 
 from pyspark.sql import functions as F
 
-from biosignal.llm.stuffing import automaton, body, covered, measures, repeated, stuffed_pages
+from biosignal.llm.stuffing import Pages, automaton, body, covered, measures, repeated, stuffed_pages
 
+LETTERS = [f"{c}{v}" for c in "bcdfgklmnprst" for v in "aeiou"]
 TALK = "I drew a plan for the new shed, threw it away and painted the old one instead. Does anyone here know where my neighbour bought the hinges? It rained all weekend, so we had to wait. Thanks for the photos, they helped me a lot. "
 SPAM = {
     "keywords": "cheap yoga mat, best yoga mat, yoga mat sale, buy yoga mat online, yoga mat outlet, discount yoga mat, yoga mat review, cheap yoga mat deal",
@@ -80,6 +81,23 @@ def test_very_long_page_is_read_whole():
     assert time.time() - began < 120
 
 
+def test_phrases_far_apart_on_a_long_page():
+    names = " ".join(f"{a}{b}{c}" for a in LETTERS[:16] for b in LETTERS for c in LETTERS)
+    # 51,200 different names listed twice
+    names = " ".join(f"{n}{x}" for n in names.split()[:12800] for x in ("ba", "be", "bi", "bo"))
+    m = measures(names + "\n" + names)
+    assert m[1] > 0.99 and m[2] > 0.99
+
+
+def test_one_keyword_on_a_long_page():
+    # the keyword of each part recurs less than six times, the parts together have six
+    own = " ".join(f"{a}{b}{c}na" for a in LETTERS for b in LETTERS[:40] for c in LETTERS[:40])
+    line = "the best {0} shop sells a {0}. "
+    pages = Pages()
+    pages.add(line.format("lamp") * 2 + "\n" + own + "\n" + line.format("mat") * 2, {})
+    assert pages.times == [4]
+
+
 def test_body():
     assert body("> a\nb\n-- \nsig").strip() == "b"
     assert body("[quote=a]x[quote=b]y[/quote]z[/quote]own").strip() == "own"
