@@ -33,7 +33,8 @@ FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split
 JOINING = frozenset("de d' du des à a of en del para".split())
 
 QUOTES = re.compile(r"\[quote[^\]]*\]|\[/quote\]|<blockquote[^>]*>|</blockquote>", re.I)
-QUOTE_LINE = re.compile(r"^\s*(?:>|&gt;|\|\s).*$|^.{0,60}\b(?:wrote|schrieb|escribió|a écrit)\s*:\s*$", re.M | re.I)
+# a line after a pipe is a quote, but for the row of a table, with pipes between its cells
+QUOTE_LINE = re.compile(r"^\s*(?:>|&gt;).*$|^[^\S\n]*\|[^\S\n](?:[^\S\n]|[|>]|&gt;)*[^|\n]*$|^.{0,60}\b(?:wrote|schrieb|escribió|a écrit)\s*:\s*$", re.M | re.I)
 SIGNATURE = re.compile(r"\n[ \t]*(?:--|—|_{3,}|~{3,}|-{3,}|={3,})[ \t]*\r?\n(?:.*\n?){0,4}\Z")
 LINK = re.compile(r"\[(?:url|img)=?[^\]]*\]|<a\s[^>]*>|\[img\][^\[]*\[/img\]|(?:h(?:tt|xx)ps?://|www\.|www \[dot\] )\S*(?: \[dot\] \S+)*|\b[\w-]+(?:(?:\.| \[dot\] )[\w-]+)*(?:\.| \[dot\] )[a-z]{2,}(?:/\S*|\b(?=[\s,|*\]<]|$))", re.I)
 MARKUP = re.compile(r"</?[a-z][^<>]*>|\[/?[a-z*]+(?:=[^\[\]]*)?\]", re.I)
@@ -45,16 +46,25 @@ TOKEN = re.compile("\x01|#[^\\W\\d]\\w*|[^\\W\\d_]+(?:['’][^\\W\\d_]+)*|\\d+(?
 
 
 def body(text: str) -> str:
-    """The text without quotes (of any nesting) and without a signature at its end."""
+    """The text without quotes (of any nesting) and without a signature at its end. An opening tag without its closing
+    tag, or a closing one without its opening tag, makes no quote: only the tag itself is cut."""
     text = text.replace("\r\n", "\n")
     if "[quote" in text.lower() or "<blockquote" in text.lower():
+        tags = list(QUOTES.finditer(text))
+        step, open_ = [0] * len(tags), {"[": [], "<": []}
+        for k, m in enumerate(tags):
+            of = open_[m.group()[0]]
+            if m.group()[1] != "/":
+                of.append(k)
+            elif of:
+                step[of.pop()], step[k] = 1, -1
         out, depth, at = [], 0, 0
-        for m in QUOTES.finditer(text):
+        for m, s in zip(tags, step):
             if not depth:
                 out.append(text[at : m.start()])
-            depth = max(0, depth + (-1 if m.group().startswith(("[/", "</")) else 1))
+            depth += s
             at = m.end()
-        out.append(text[at:] if not depth else "")
+        out.append(text[at:])
         text = "\n".join(out)
     text = SIGNATURE.sub("", BREAK.sub("\n", text))
     return html.unescape(QUOTE_LINE.sub("", text))

@@ -101,3 +101,20 @@ def test_one_keyword_on_a_long_page():
 def test_body():
     assert body("> a\nb\n-- \nsig").strip() == "b"
     assert body("[quote=a]x[quote=b]y[/quote]z[/quote]own").strip() == "own"
+
+
+def test_tags_without_their_other_half_are_no_quotes(spark):
+    for tag in ("[quote]", "[quote=x]", "<blockquote>", "[/quote]", "</blockquote>", "[quote]a[/quote][quote]", "<blockquote>a[/quote]"):
+        assert SPAM["keywords"] in body(f"x {tag}\n{SPAM['keywords']}"), tag
+    assert body("[quote]a[quote]b[/quote]own").split() == ["a", "own"]
+    assert body("[quote]a<blockquote>b[/quote]c</blockquote>own").split() == ["own"]
+    assert body("[quote]a<blockquote>b[/quote]own").split() == ["own"]
+    texts = {k: f"{tag}\n{SPAM[k]}" for k, tag in (("keywords", "[quote=x]"), ("links", "<blockquote class='a'>"))}
+    assert all(r.is_stuffed for r in stuffed_pages(pages(spark, texts)).collect())
+
+
+def test_rows_of_a_table_are_no_quotes():
+    table = "\n".join(f"| {row} |" for row in SPAM["table"].split("\n"))
+    assert body(table) == table and measures(table)[1] > 0.5
+    assert body("| dog bed | 3 |\n| a quote\n| | of a quote\n | > of a quote\nown").split() == "| dog bed | 3 | own".split()
+    assert body("|\nown").split() == ["|", "own"]
