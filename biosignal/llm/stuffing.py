@@ -191,7 +191,7 @@ class Pages:
         if not text:
             return
         plain = unicodedata.normalize("NFKC", body(text))
-        marked = LINK.sub(lambda m: "\x01" + "\x02" * max(0, min(len(m.group()), 200) - 1), plain)
+        marked = LINK.sub(lambda m: "\x01" + "\x02" * (len(m.group()) - 1), plain)
         lines = sentences(MARKUP.sub(" ", marked))
         facts = []
         for k, line in enumerate(lines, at):

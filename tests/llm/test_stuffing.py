@@ -118,3 +118,11 @@ def test_rows_of_a_table_are_no_quotes():
     assert body(table) == table and measures(table)[1] > 0.5
     assert body("| dog bed | 3 |\n| a quote\n| | of a quote\n | > of a quote\nown").split() == "| dog bed | 3 | own".split()
     assert body("|\nown").split() == ["|", "own"]
+
+
+def test_long_links_count_whole():
+    links = "\n".join(f"http://shop{k}.example/{'a1' * 490}" for k in range(5))
+    prose = TALK * 6
+    chars, stuffing, _, clauses = measures(prose + "\n" + links)
+    whole = len(prose) + len(links)
+    assert abs(chars - whole) < 40 and abs(stuffing - len(links) / whole) < 0.02 and abs(clauses - len(prose) / whole) < 0.02
