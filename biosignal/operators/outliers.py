@@ -117,9 +117,16 @@ def _scan(block: pd.DataFrame, values: int, ratio: bool, threshold: float, max_r
             out.append((source[seg[i]], k, "impossible", chunk[seg[i]], 0, raw[i], 1, [order[i]], None, None, None))
         mid, sigma = block[f"mid{k}"].to_numpy(float)[first], block[f"sig{k}"].to_numpy(float)[first]
         good = ~np.isnan(raw) & ~bad
+        use = good
+        if not ratio:  # a level that is stuck is none to follow
+            rows = np.flatnonzero(~np.isnan(raw))
+            new = np.r_[True, (raw[rows][1:] != raw[rows][:-1]) | (seg[rows][1:] != seg[rows][:-1])][: len(rows)]
+            run = np.cumsum(new) - 1
+            use = good.copy()
+            use[rows] &= np.bincount(run)[run] < stuck if len(rows) else True
         z = np.full(shape, np.nan)
         with np.errstate(divide="ignore", invalid="ignore"):
-            z[place[good], seg[good]] = np.log(raw[good]) if ratio else raw[good]
+            z[place[use], seg[use]] = np.log(raw[use]) if ratio else raw[use]
         there = ~np.isnan(z)
         if ratio:
             # the level where the chunk starts: the median of its first readings
@@ -140,6 +147,30 @@ def _scan(block: pd.DataFrame, values: int, ratio: bool, threshold: float, max_r
             flags = _beside(flags, there, max_run - 1)
         flat = np.zeros(len(block), bool)
         flat[good] = flags[place[good], seg[good]]
+        far = np.abs(raw - mid[seg])
+        # runs of the same value, over the readings that are there
+        rows = np.flatnonzero(own & ~np.isnan(raw))
+        if not len(rows):
+            continue
+        new = np.r_[True, (raw[rows][1:] != raw[rows][:-1]) | (seg[rows][1:] != seg[rows][:-1])]
+        start = np.flatnonzero(new)
+        end = np.r_[start[1:], len(rows)]
+        owner = seg[rows][start]
+        head, tail = np.r_[True, owner[1:] != owner[:-1]], np.r_[owner[1:] != owner[:-1], True]
+        sound = np.ones(len(block), bool)  # not stuck, as far as the chunk can tell
+        for s, e, o, h, t in zip(start, end, owner, head, tail):
+            if e - s >= stuck:
+                out.append((source[o], k, "stuck", chunk[o], 0, raw[rows[s]], e - s, order[rows[s:e]].tolist(), None, None, None))
+            if h or t:
+                idx = [] if e - s >= stuck else order[rows[s:e]].tolist()
+                # its bin, distance and flagged readings, for the case that it is not stuck as a whole
+                a = far[rows[s]]
+                at = (int(np.frexp(a)[1]), a, float(flat[rows[s:e]].sum())) if not ratio and good[rows[s]] and a > 0 else (None, None, None)
+                out.append((source[o], k, "edge", chunk[o], 2 if h and t else 0 if h else 1, raw[rows[s]], e - s, idx, *at))
+            if h or t or e - s >= stuck:
+                sound[rows[s:e]] = False
+            if e - s >= stuck:
+                flat[rows[s:e]] &= ratio  # no spike on an axis
         if ratio:
             for c in np.unique(seg[flat & own]):
                 rows = np.arange(first[c], first[c] + int((seg == c).sum()))
@@ -149,32 +180,16 @@ def _scan(block: pd.DataFrame, values: int, ratio: bool, threshold: float, max_r
                     if abs(raw[i] / b - 1) > off:
                         out.append((source[c], k, "spike", chunk[c], 0, raw[i], 1, [order[i]], None, None, None))
         else:
-            far = np.abs(raw - mid[seg])
             kept = good & own
             rank = np.cumsum(kept)  # place among the chunk's readings, and how many it has
             total = np.bincount(seg[kept], minlength=len(first))
             rank = rank - np.r_[0, np.cumsum(total)[:-1]][seg] - 1
             for i in np.flatnonzero(flat & own):
                 out.append((source[seg[i]], k, "candidate", chunk[seg[i]], int(rank[i]), far[i], int(total[seg[i]]), [order[i]], None, None, None))
-            use = good & own & (far > 0)
+            use = good & own & sound & (far > 0)
             exponent = np.frexp(far[use])[1]
             bins = pd.DataFrame({"seg": seg[use], "bin": exponent, "far": far[use], "flag": flat[use].astype(int)}).groupby(["seg", "bin"]).agg(n=("far", "size"), low=("far", "min"), high=("far", "max"), flagged=("flag", "sum")).reset_index()
             out += [(source[s], k, "bin", chunk[s], int(g), 0.0, int(n), [], int(b), a, h) for s, b, n, a, h, g in bins.itertuples(index=False)]
-        # runs of the same value, over the readings that are there
-        rows = np.flatnonzero(own & ~np.isnan(raw))
-        if not len(rows):
-            continue
-        new = np.r_[True, (raw[rows][1:] != raw[rows][:-1]) | (seg[rows][1:] != seg[rows][:-1])]
-        start = np.flatnonzero(new)
-        end = np.r_[start[1:], len(rows)]
-        owner = seg[rows][start]
-        head, tail = np.r_[True, owner[1:] != owner[:-1]], np.r_[owner[1:] != owner[:-1], True]
-        for s, e, o, h, t in zip(start, end, owner, head, tail):
-            if e - s >= stuck:
-                out.append((source[o], k, "stuck", chunk[o], 0, raw[rows[s]], e - s, order[rows[s:e]].tolist(), None, None, None))
-            if h or t:
-                idx = [] if e - s >= stuck else order[rows[s:e]].tolist()
-                out.append((source[o], k, "edge", chunk[o], 2 if h and t else 0 if h else 1, raw[rows[s]], e - s, idx, None, None, None))
     return pd.DataFrame(out, columns=COLUMNS)
 
 
@@ -218,18 +233,22 @@ def implausible_readings(df: DataFrame, values: list[str], source: str = "rec_id
     closed = F.lag("pos").over(w) == 0  # the head of a chunk that goes on with other values
     edge = edge.withColumn("new", F.coalesce((~F.lag("value").over(w).eqNullSafe(F.col("value"))) | closed & (F.col("pos") == 1), F.lit(True)).cast("int"))
     edge = edge.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = edge.withColumn("total", F.sum("n").over(Window.partitionBy("source", "signal", "run"))).where(F.col("total") >= stuck)
-    out = out.unionByName(flat(edge, "stuck"))
+    edge = edge.withColumn("total", F.sum("n").over(Window.partitionBy("source", "signal", "run")))
+    out = out.unionByName(flat(edge.where(F.col("total") >= stuck), "stuck"))
     if ratio:
         out = out.unionByName(flat(found.where(F.col("kind") == "spike"), "spike"))
     else:
         # exact check: the lowest gap of a factor of two with (mostly) flagged readings above it. Inside a power of two there is none.
-        b = found.where(F.col("kind") == "bin").groupBy("source", "signal", "bin").agg(F.sum("n").alias("n"), F.sum("pos").alias("flagged"), F.min("low").alias("low"), F.max("high").alias("high"))
+        # Stuck readings are not sound: runs at the edges of chunks come into the bins only where they are not stuck as a whole.
+        loose = edge.where((F.col("total") < stuck) & F.col("bin").isNotNull()).select("source", "signal", "bin", "n", F.col("high").cast("int").alias("pos"), "low", F.col("low").alias("high"))
+        b = found.where(F.col("kind") == "bin").select("source", "signal", "bin", "n", "pos", "low", "high").unionByName(loose).groupBy("source", "signal", "bin").agg(F.sum("n").alias("n"), F.sum("pos").alias("flagged"), F.min("low").alias("low"), F.max("high").alias("high"))
         up = Window.partitionBy("source", "signal").orderBy("bin")
         down = Window.partitionBy("source", "signal").orderBy(F.desc("bin"))
         b = b.withColumn("below", F.lag("high").over(up)).withColumn("above", F.sum("n").over(down)).withColumn("above_flagged", F.sum("flagged").over(down))
         gap = b.where((F.col("low") >= 2 * F.col("below")) & (F.col("above_flagged") >= 0.7 * F.col("above"))).select("source", "signal", F.col("low").alias("least"))
-        c = found.where(F.col("kind") == "candidate").join(gap, ["source", "signal"]).where(F.col("value") >= F.col("least"))
+        c = found.where(F.col("kind") == "candidate").withColumn("ord", F.col("idx")[0])
+        c = c.join(flat(edge.where(F.col("total") >= stuck), "stuck").select("source", "signal", "ord"), ["source", "signal", "ord"], "left_anti").drop("ord")
+        c = c.join(gap, ["source", "signal"]).where(F.col("value") >= F.col("least"))
         # and what lies above it comes in runs of at most max_run readings
         each = Window.partitionBy("source", "signal", "least")
         line = each.orderBy("chunk", "pos")

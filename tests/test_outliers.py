@@ -49,6 +49,19 @@ def test_stuck_over_chunks_and_missing(spark):
         assert {g for g in flags(frame(spark, rows + rows[::4]), "x", chunk=chunk, margin=8) if g[3] == "stuck"} == want
 
 
+def test_stuck_level_far_away_hides_no_spikes(spark):
+    for level in (300.0, 40.0):  # above the spikes, and less than a factor of two below them
+        x = calm(900)
+        x[500:540] = level
+        want = {50: 60.0, 51: -70.0, 200: 65.0, 700: 61.0}
+        for k, v in want.items():
+            x[k] = v
+        rows = [(1, i, v, None) for i, v in enumerate(x)]
+        for chunk in (128, 520):  # inside a chunk, and over the edge of two
+            got = flags(frame(spark, rows), "x", chunk=chunk)
+            assert got == {("x", 1, k, "spike") for k in want} | {("x", 1, k, "stuck") for k in range(500, 540)}, (level, chunk)
+
+
 def test_impossible(spark):
     x = calm(100)
     x[10:16] = 500.0  # more than three in a row
