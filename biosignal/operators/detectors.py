@@ -1,7 +1,8 @@
 """Detectors of heart beats and pulses, and the quality of beats.
 
-The decisions depend on earlier ones, so each series is walked in order, with everything that does not (neighbourhoods,
-slopes, maxima) computed for all candidates beforehand. One series is one task.
+Filters and everything that looks a bounded number of rows around (maxima, slopes, neighbourhoods) work on chunks of a
+series with a margin. The decisions depend on earlier ones: they walk the candidates of a series in order, a few numbers
+each, or for pulses and the quality of beats the series itself, which then is one task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biosignal.operators.blocks import changes, map_segments
-from biosignal.operators.dsp import design, filtfilt
+from biosignal.operators.dsp import Sections, chunks, filter_segments, filtfilt, settling
+from biosignal.operators.frames import CHUNK
 
 
 def box_average(x: np.ndarray, window: int) -> np.ndarray:
@@ -24,7 +26,7 @@ def box_average(x: np.ndarray, window: int) -> np.ndarray:
 
 
 def _band(x: np.ndarray, fs: float, low: float, high: float) -> np.ndarray:
-    return filtfilt(*design((low, high), fs, 5, "bandpass"), x[:, None])[:, 0]
+    return filtfilt(Sections((low, high), fs, 5, "bandpass"), x[:, None])[:, 0]
 
 
 def pan_tompkins(x: np.ndarray, fs: float) -> np.ndarray:
@@ -41,52 +43,56 @@ def interior_peaks(x: np.ndarray) -> np.ndarray:
     return 1 + np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] > x[2:]))
 
 
-def accept_beats(f: np.ndarray, peaks: np.ndarray, fs: float, buffer: int = 12, share: float = 0.3125) -> np.ndarray:
-    """Peaks of the filtered signal that are beats, by the published rules of Hamilton and Tompkins.
-
-    The last accepted and rejected positions fill two rings that start at position 0; the threshold lies `share` of the
-    way from the rings' noise level to their beat level and moves after every peak.
-    """
+def peak_facts(f: np.ndarray, peaks: np.ndarray, fs: float) -> pd.DataFrame:
+    """What the decisions need to know of each peak of a filtered signal: its height, whether it is the highest of 0.2 s to
+    both sides, whether the signal rises and falls within 0.05 s of it, and the steepest rise there."""
     wide, slim, reach = int(fs * 0.2), int(fs * 0.05), fs * 0.05
     slope = np.diff(f)
-
-    def steepest(p: int) -> float:
+    highest, turns, steep = np.zeros(len(peaks), bool), np.zeros(len(peaks), bool), np.full(len(peaks), -np.inf)
+    for k, p in enumerate(peaks.tolist()):
+        highest[k] = f[p] >= f[max(0, p - wide) : p + wide].max()
+        if not highest[k]:
+            continue
+        d = slope[max(0, p - slim) : max(0, p + slim - 1)]
+        turns[k] = (d > 0).any() and (d < 0).any()
         a, b = int(max(0, p - reach)), int(p + reach)
-        return slope[a : b - 1].max(initial=-np.inf) if b - a > 1 else -np.inf
+        steep[k] = slope[a : b - 1].max(initial=-np.inf) if b - a > 1 else -np.inf
+    return pd.DataFrame({"height": f[peaks], "highest": highest, "turns": turns, "steep": steep})
 
-    def is_highest(p: int) -> bool:
-        return f[p] >= f[max(0, p - wide) : p + wide].max()
 
-    def rises_and_falls(p: int) -> bool:
-        d = slope[max(0, p - slim) : max(0, p + slim - 1)]
-        return bool((d > 0).any() and (d < 0).any())
+def accept_beats(at: np.ndarray, facts: pd.DataFrame, first: float, fs: float, buffer: int = 12, share: float = 0.3125) -> np.ndarray:
+    """Which of the peaks at these positions are beats, by the published rules of Hamilton and Tompkins.
 
-    beats, noise = [0] * buffer, [0] * buffer
-    accepted: list[int] = []
-    threshold, rejected = 0.0, 0
-    for p in peaks.tolist():
-        last = accepted[-1] if accepted else 0
+    The last accepted and rejected positions fill two rings that start at position 0, where the signal is `first`; the
+    threshold lies `share` of the way from the rings' noise level to their beat level and moves after every peak.
+    """
+    beats, beat_heights, noise_heights = [0] * buffer, [first] * buffer, [first] * buffer
+    out = np.zeros(len(at), bool)
+    threshold, accepted, rejected, last, last_steep = 0.0, 0, 0, 0, 0.0
+    for k, (p, height, highest, turns, steep) in enumerate(zip(at.tolist(), facts.height.tolist(), facts.highest.tolist(), facts.turns.tolist(), facts.steep.tolist())):
         ok = False
-        if is_highest(p):
-            if f[p] > threshold and rises_and_falls(p):
-                follows = bool(last) and p - last < 0.36 * fs and steepest(p) < 0.5 * steepest(last)
+        if highest:
+            if height > threshold and turns:
+                follows = bool(last) and p - last < 0.36 * fs and steep < 0.5 * last_steep
                 ok = not follows
-            if not ok and len(accepted) > 1 and f[p] > 0.5 * threshold:
+            if not ok and accepted > 1 and height > 0.5 * threshold:
                 ok = p - last >= 1.5 * np.diff(sorted(beats)).mean()
         if ok:
-            beats[len(accepted) % buffer] = p
-            accepted.append(p)
+            beats[accepted % buffer], beat_heights[accepted % buffer] = p, height
+            accepted, last, last_steep, out[k] = accepted + 1, p, steep, True
         else:
-            noise[rejected % buffer] = p
+            noise_heights[rejected % buffer] = height
             rejected += 1
-        floor = f[noise].mean()
-        threshold = floor + share * (f[beats].mean() - floor)
-    return np.array(accepted, np.int64)
+        floor = sum(noise_heights) / buffer
+        threshold = floor + share * (sum(beat_heights) / buffer - floor)
+    return out
 
 
 def r_peaks(x: np.ndarray, fs: float) -> np.ndarray:
+    """Positions of the beats of one series."""
     f = hamilton_tompkins(x, fs)
-    return accept_beats(f, interior_peaks(f), fs)
+    at = interior_peaks(f)
+    return at[accept_beats(at, peak_facts(f, at, fs), f[0], fs)]
 
 
 def lagged_rise(x: np.ndarray, w: int) -> np.ndarray:
@@ -98,7 +104,12 @@ def lagged_rise(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def pulse_onsets_of(slopes: np.ndarray, sr: int, backtracking: float = 0.0) -> np.ndarray:
-    """Onsets by a threshold that follows the last ten amplitudes; the last ten seconds give none."""
+    """Onsets by a threshold that follows the last ten amplitudes; the last ten seconds give none.
+
+    With backtracking, after ten seconds without an onset the walk goes back to five seconds further than it last went back
+    to (the last onset at first), and the ring of amplitudes takes the level of what follows the last onset. The threshold
+    itself moves with the next onset only.
+    """
     reach, ten = int(sr / (1000 / 150)), 10 * sr
     head = slopes[:ten]
     if not len(head):
@@ -107,28 +118,26 @@ def pulse_onsets_of(slopes: np.ndarray, sr: int, backtracking: float = 0.0) -> n
     cut = level - head.std()
     ring, turn = np.full(10, level), 0
     onsets: list[int] = []
-    i, quiet = reach, 0
+    i, last, back = reach, 0, 0
     while i < len(slopes) - ten:
         if slopes[i] > cut:
-            at = i - reach + int(np.argmax(slopes[i - reach : i + reach]))
-            onsets.append(at)
+            last = back = i - reach + int(np.argmax(slopes[i - reach : i + reach]))
+            onsets.append(last)
+            turn = (turn + 1) % len(ring)
+            ring[turn] = slopes[last]
+            cut = np.median(ring) - 2 * ring.std()
             i += 3 * reach - 1
-            turn = (turn + 1) % 10
-            ring[turn] = slopes[at]
-            level = np.median(ring)
-            cut = level - 2 * ring.std()
-            quiet = i
-        elif backtracking and i - quiet > ten:
-            later = slopes[quiet + sr : quiet + 11 * sr]
-            level = 3 * later.mean() if len(later) else level
-            i = quiet = quiet + int(backtracking * sr) + 1 if backtracking * sr >= 1 else i
         i += 1
+        if backtracking and last < i - ten:
+            ring[:] = 3 * slopes[last + sr : last + 11 * sr].mean()
+            i = back + reach
+            back += 5 * sr
     return np.array(onsets, np.int64)
 
 
-def pulse_onsets(x: np.ndarray, sr: int) -> np.ndarray:
+def pulse_onsets(x: np.ndarray, sr: int, backtracking: float = 0.0) -> np.ndarray:
     """Band 0.5-20 Hz, slope sum over 0.15 s, adaptive threshold."""
-    return pulse_onsets_of(lagged_rise(_band(x, sr, 0.5, 20), int(sr / (1000 / 150))), sr)
+    return pulse_onsets_of(lagged_rise(_band(x, sr, 0.5, 20), int(sr / (1000 / 150))), sr, backtracking)
 
 
 def correlations(rows: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -156,32 +165,43 @@ def beat_correlation(x: np.ndarray, peaks: np.ndarray, sr: int, buffer: int = 24
     for i, beat in enumerate(beats):
         full = ~np.isnan(ring[:, 0])
         out[i] = correlations(ring[full], beat).mean()
-        ring[i % buffer] = beat
+        if i:  # the first beat is scored only
+            ring[i % buffer] = beat
     return out
 
 
 def beat_correlation_bi(x: np.ndarray, peaks: np.ndarray, sr: int, buffer: int = 12) -> np.ndarray:
-    """The larger of the mean correlations with the beats before and after; the first buffer - 1 scores are 0."""
-    out = np.zeros(len(peaks))
+    """The larger of the mean correlations with the `buffer` beats before and after; the first buffer - 1 scores are 0.
+
+    Both rings start with rows of zeros, which correlate with nothing; beats 1 ... buffer - 1 stand in the ring of what
+    follows. A beat whose second reaches over an end of the signal is scored with zeros there and enters no ring; over the
+    end, with the beats before it only. A following beat in the last second leaves its place in the ring as it was.
+    """
+    out = np.full(len(peaks), np.nan)
     if len(peaks) < buffer:
         return out
-    beats = _beats(x, peaks, sr)
+    beats, half = _beats(x, peaks, sr), sr // 2
     before, after = np.zeros((buffer, beats.shape[1])), np.zeros((buffer, beats.shape[1]))
-    before[: buffer - 1] = beats[: buffer - 1]
-    after[1:] = beats[buffer : 2 * buffer - 1] if len(beats) >= 2 * buffer - 1 else np.concatenate([beats[buffer:], np.zeros((max(0, 2 * buffer - 1 - len(beats)), beats.shape[1]))])
+    after[1:] = beats[1:buffer]
+    out[: buffer - 1] = 0.0
     for i in range(buffer - 1, len(peaks)):
-        nxt = i + buffer
-        if nxt >= len(peaks):
-            after[i % buffer] = 0
-        elif peaks[nxt] < len(x) - sr:
-            after[i % buffer] = beats[nxt]
-        out[i] = max(correlations(before, beats[i]).mean(), correlations(after, beats[i]).mean())
+        back = correlations(before, beats[i]).mean()
+        if peaks[i] + half > len(x):
+            out[i] = back
+            continue
+        out[i] = max(back, correlations(after, beats[i]).mean())
+        if peaks[i] <= half:
+            continue
         before[i % buffer] = beats[i]
+        if i + buffer >= len(peaks):
+            after[i % buffer] = 0
+        elif peaks[i + buffer] < len(x) - sr:
+            after[i % buffer] = beats[i + buffer]
     return out
 
 
 def _per_series(df: DataFrame, kernel, schema: str, columns: list[str]) -> DataFrame:
-    """Run kernel(entity, frame of one series) -> dict of arrays for each series."""
+    """Run kernel(frame of one series) -> dict of arrays for each series."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         start = np.flatnonzero(changes(block, ["entity"]))
@@ -192,51 +212,89 @@ def _per_series(df: DataFrame, kernel, schema: str, columns: list[str]) -> DataF
     return map_segments(df.select("entity", "idx", *columns), ["entity"], ["idx"], run, f"entity {kind}, {schema}")
 
 
-def _filtered(df: DataFrame, function, fs: float, shortest: int = 34) -> DataFrame:
-    def kernel(g: pd.DataFrame) -> dict:
-        x = g.x.to_numpy(float)
-        y = function(x, fs) if len(x) >= shortest else np.full(len(x), np.nan)
-        return {"idx": g.idx.to_numpy(), "y": y}
+PADDING = 3 * 11  # of a band-pass filter of fifth order
+
+
+def _filtered(df: DataFrame, low: float, high: float, after, fs: float, width: int, chunk: int) -> DataFrame:
+    f = Sections((low, high), fs, 5, "bandpass")
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        y = filter_segments(block, ["x"], f)[:, 0]
+        start = np.flatnonzero(changes(block, ["entity", "chunk"]))
+        for s, e in zip(start, np.r_[start[1:], len(block)]):
+            y[s:e] = box_average(after(y[s:e] / 8), width) if e - s > max(PADDING, width - 1) else np.nan
+        return pd.DataFrame({"entity": block.entity, "idx": block.idx, "y": y})[block.own]
 
-    return _per_series(df, kernel, "idx bigint, y double", ["x"]).select("entity", "idx", F.nanvl("y", F.lit(None)).alias("y"))
+    rows = chunks(df.select("entity", "idx", F.col("x").cast("double").alias("x")), settling(f) + width, chunk)
+    out = map_segments(rows, ["entity", "chunk"], ["idx"], run, f"entity {dict(df.dtypes)['entity']}, idx bigint, y double")
+    return out.select("entity", "idx", F.nanvl("y", F.lit(None)).alias("y"))
 
 
-def filter_pan_tompkins(df: DataFrame, fs: float) -> DataFrame:
-    """(entity, idx, y); NULL for series too short to filter."""
-    return _filtered(df, pan_tompkins, fs)
+def filter_pan_tompkins(df: DataFrame, fs: float, chunk: int = CHUNK) -> DataFrame:
+    """(entity, idx, y): band 5-15 Hz, derivative, square, average over 0.2 s; NULL for series too short to filter."""
+    return _filtered(df, 5, 15, np.square, fs, int(0.2 * fs), chunk)
 
 
-def filter_hamilton_tompkins(df: DataFrame, fs: float) -> DataFrame:
-    """(entity, idx, y); NULL for series too short to filter."""
-    return _filtered(df, hamilton_tompkins, fs)
+def filter_hamilton_tompkins(df: DataFrame, fs: float, chunk: int = CHUNK) -> DataFrame:
+    """(entity, idx, y): band 3-25 Hz, absolute derivative, average over 0.08 s; NULL for series too short to filter."""
+    return _filtered(df, 3, 25, np.abs, fs, int(0.08 * fs), chunk)
 
 
-def rpeaks_hamilton_tompkins(df: DataFrame, fs: float | None = None, ts: str | None = None) -> DataFrame:
+def rpeaks_hamilton_tompkins(df: DataFrame, fs: float | None = None, ts: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """(entity, idx[, ts]): the beats of ECG series (entity, idx, x). Short series have none.
 
-    Without a rate it is taken from the first two values of ts, in microseconds, of each series.
+    Without a rate it is taken from the first two values of ts, in microseconds, of each series; a series then is one task.
+    With a rate, filter and peaks are found in chunks, and only the peaks of a series come together.
     """
     if fs is None and ts is None:
         raise ValueError("give the sampling rate or a column of times")
-
-    def kernel(g: pd.DataFrame) -> dict:
-        x = g.x.to_numpy(float)
-        at = np.zeros(0, np.int64)
-        if len(x) >= 34:
-            rate = fs or 1e6 / (g[ts].iloc[1] - g[ts].iloc[0])
-            at = r_peaks(x, rate)
-        return {"idx": g.idx.to_numpy()[at], **({"ts": g[ts].to_numpy()[at]} if ts else {})}
-
     kind = dict(df.dtypes)
-    return _per_series(df, kernel, "idx bigint" + (f", ts {kind[ts]}" if ts else ""), ["x"] + ([ts] if ts else []))
-
-
-def pulse_onset_physionet(df: DataFrame, sampling_rate: int) -> DataFrame:
+    times = [ts] if ts else []
+    schema = "idx bigint" + (f", ts {kind[ts]}" if ts else "")
+    if fs is None:
+
+        def kernel(g: pd.DataFrame) -> dict:
+            x = g.x.to_numpy(float)
+            at = np.zeros(0, np.int64)
+            if len(x) > PADDING:
+                at = r_peaks(x, 1e6 / (g[ts].iloc[1] - g[ts].iloc[0]))
+            return {"idx": g.idx.to_numpy()[at], "ts": g[ts].to_numpy()[at]}
+
+        return _per_series(df, kernel, schema, ["x", ts])
+    around = int(fs * 0.2) + 2
+    y = filter_hamilton_tompkins(df, fs, chunk).where(F.col("y").isNotNull())
+    if ts:
+        y = y.join(df.select("entity", "idx", F.col(ts).alias("__ts")), ["entity", "idx"])
+
+    def peaks(block: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        start = np.flatnonzero(changes(block, ["entity", "chunk"]))
+        for s, e in zip(start, np.r_[start[1:], len(block)]):
+            g = block.iloc[s:e]
+            f = g.y.to_numpy()
+            at = interior_peaks(f)
+            at = at[g.own.to_numpy()[at]]
+            if g.idx.iloc[0] == 0:  # the level that the rings start with
+                out.append(pd.DataFrame({"entity": g.entity.iloc[:1], "idx": [-1], "height": f[:1], "highest": False, "turns": False, "steep": 0.0, **({"ts": g["__ts"].iloc[:1]} if ts else {})}))
+            out.append(peak_facts(f, at, fs).assign(entity=g.entity.iloc[0], idx=g.idx.to_numpy()[at], **({"ts": g["__ts"].to_numpy()[at]} if ts else {})))
+        return pd.concat(out, ignore_index=True)[[*names]]
+
+    names = ["entity", "idx", "height", "highest", "turns", "steep", *(["ts"] if ts else [])]
+    found = map_segments(chunks(y, around, chunk), ["entity", "chunk"], ["idx"], peaks, f"entity {kind['entity']}, idx bigint, height double, highest boolean, turns boolean, steep double" + (f", ts {kind[ts]}" if ts else ""))
+
+    def decide(g: pd.DataFrame) -> dict:
+        ok = accept_beats(g.idx.to_numpy()[1:], g.iloc[1:], g.height.iloc[0], fs)
+        return {"idx": g.idx.to_numpy()[1:][ok], **({"ts": g["ts"].to_numpy()[1:][ok]} if ts else {})}
+
+    return _per_series(found, decide, schema, ["height", "highest", "turns", "steep", *(["ts"] if ts else [])])
+
+
+def pulse_onset_physionet(df: DataFrame, sampling_rate: int, backtracking: float = 0.0) -> DataFrame:
     """(entity, idx): the onsets of pulses of PPG series (entity, idx, x)."""
 
     def kernel(g: pd.DataFrame) -> dict:
         x = g.x.to_numpy(float)
-        at = pulse_onsets(x, sampling_rate) if len(x) >= 34 else np.zeros(0, np.int64)
+        at = pulse_onsets(x, sampling_rate, backtracking) if len(x) > PADDING else np.zeros(0, np.int64)
         return {"idx": g.idx.to_numpy()[at]}
 
     return _per_series(df, kernel, "idx bigint", ["x"])

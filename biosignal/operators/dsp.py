@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from biosignal.operators.blocks import changes, map_segments
+from biosignal.operators.frames import CHUNK, framed
 
 
-def design(cutoff: float | tuple[float, float], freq: float, order: int = 5, kind: str = "highpass") -> tuple[np.ndarray, np.ndarray]:
-    """Polynomials (b, a) of a digital Butterworth filter; kind: lowpass, highpass or bandpass."""
+def _digital(cutoff: float | tuple[float, float], freq: float, order: int, kind: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """Zeros, poles and gain of a digital Butterworth filter."""
     wn = np.atleast_1d(np.asarray(cutoff, float)) / (freq / 2)
     if ((wn <= 0) | (wn >= 1)).any():
         raise ValueError("cutoff must lie between 0 and half the sampling rate")
@@ -32,52 +33,77 @@ def design(cutoff: float | tuple[float, float], freq: float, order: int = 5, kin
         raise ValueError(f"unknown kind of filter: {kind!r}")
     gain = gain * np.real(np.prod(4 - zeros) / np.prod(4 - poles))
     z = np.r_[(4 + zeros) / (4 - zeros), -np.ones(len(poles) - len(zeros))]
-    return gain * np.real(np.poly(z)), np.real(np.poly((4 + poles) / (4 - poles)))
-
-
-def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """State of the recursion for a constant input of 1."""
-    n = len(a) - 1
-    companion = np.zeros((n, n))
-    companion[0] = -a[1:]
-    companion[1:, :-1] = np.eye(n - 1)
-    return np.linalg.solve(np.eye(n) - companion.T, b[1:] - a[1:] * b[0])
-
-
-def recursion(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Transposed direct form II of x[step, series], all series at once."""
-    y = np.empty_like(x)
-    z = state.copy()
-    bt, at = b[1:, None], a[1:, None]
-    for k in range(len(x)):
-        v = x[k]
-        out = b[0] * v + z[0]
-        z[:-1] = z[1:]
-        z[-1] = 0
-        z += bt * v - at * out
-        y[k] = out
-    return y
-
-
-def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Zero-phase filter of the columns of x[step, series], with odd extension of 3 max(len a, len b) steps."""
-    edge = 3 * max(len(a), len(b))
-    if len(x) <= edge:
-        raise ValueError(f"a series must be longer than {edge} rows")
-    zi = steady_state(b, a)[:, None]
-    ext = np.concatenate([2 * x[:1] - x[edge:0:-1], x, 2 * x[-1:] - x[-2 : -edge - 2 : -1]])
-    y = recursion(b, a, ext, zi * ext[:1])[::-1]
-    return recursion(b, a, y, zi * y[:1])[::-1][edge:-edge]
-
-
-def filtfilt_many(b: np.ndarray, a: np.ndarray, series: list[np.ndarray]) -> list[np.ndarray]:
+    return np.real(z), (4 + poles) / (4 - poles), float(gain)
+
+
+def design(cutoff: float | tuple[float, float], freq: float, order: int = 5, kind: str = "highpass") -> tuple[np.ndarray, np.ndarray]:
+    """Polynomials (b, a) of a digital Butterworth filter; kind: lowpass, highpass or bandpass."""
+    zeros, poles, gain = _digital(cutoff, freq, order, kind)
+    return gain * np.poly(zeros), np.real(np.poly(poles))
+
+
+class Sections:
+    """A filter as a chain of sections of second order, which keeps the digits that a recursion over the polynomials of a
+    narrow band loses: row (b0, b1, b2, a1, a2) a section. `edge` is the padding, three times the length of the polynomials."""
+
+    def __init__(self, cutoff: float | tuple[float, float], freq: float, order: int = 5, kind: str = "highpass"):
+        zeros, poles, gain = _digital(cutoff, freq, order, kind)
+        up = poles[poles.imag > 1e-12]
+        real = np.sort(poles.real[np.abs(poles.imag) <= 1e-12])
+        pairs = [(p, p.conj()) for p in up] + [tuple(real[k : k + 2]) for k in range(0, len(real), 2)]
+        left = sorted(zeros)  # one from each end, so that a band-pass section has a zero at both
+        rows = []
+        for pair in pairs:
+            mine = [left.pop(), left.pop(0)] if len(pair) == 2 else [left.pop()]
+            b, a = np.real(np.poly(mine)), np.real(np.poly(pair))
+            rows.append(np.r_[b, np.zeros(3 - len(b)), a[1:], np.zeros(3 - len(a))])
+        self.rows = np.array(rows)
+        self.rows[:, :3] *= gain ** (1 / len(rows))
+        self.edge = 3 * (len(poles) + 1)
+        self.radius = float(np.abs(poles).max())
+        #: output of each section for a constant input of 1 into the first
+        self.level = np.cumprod(self.rows[:, :3].sum(axis=1) / (1 + self.rows[:, 3:].sum(axis=1)))
+        self.level[np.abs(self.level) < 1e-12] = 0.0
+
+    def run(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The filtered x[step, series], all series at once, as if each had been constant at `first` before.
+
+        At a tick a section works on the output of the one before it at the tick before, so that all sections take one step
+        together; the constant past leaves their states as they are until their first row arrives.
+        """
+        count = len(self.rows)
+        b0, b1, b2, a1, a2 = (c[:, None] for c in self.rows.T)
+        level = self.level[:, None] * first
+        into = np.concatenate([first[None], level[:-1]])
+        z1 = level - b0 * into
+        z2 = b2 * into - a2 * level
+        out, y = np.empty_like(x), np.empty_like(x)
+        into = np.concatenate([first[None], level[:-1]])
+        for k in range(len(x) + count - 1):
+            into[0] = x[min(k, len(x) - 1)]
+            out = b0 * into + z1
+            z1 = b1 * into - a1 * out + z2
+            z2 = b2 * into - a2 * out
+            into[1:] = out[:-1]
+            if k >= count - 1:
+                y[k - count + 1] = out[-1]
+        return y
+
+
+def filtfilt(f: Sections, x: np.ndarray) -> np.ndarray:
+    """Zero-phase filter of the columns of x[step, series], with odd extension of `edge` steps."""
+    if len(x) <= f.edge:
+        raise ValueError(f"a series must be longer than {f.edge} rows")
+    return filtfilt_many(f, [x])[0]
+
+
+def filtfilt_many(f: Sections, series: list[np.ndarray]) -> list[np.ndarray]:
     """filtfilt of arrays [step, column] of several lengths, each as if alone: a step of the recursion serves them all.
 
     A longer neighbour's steps behind a series' end do not reach back into it, so that short ones are only padded; lengths
     within a factor of two go together.
     """
-    edge = 3 * max(len(a), len(b))
-    zi = steady_state(b, a)[:, None]
+    edge = f.edge
     out: list[np.ndarray] = [None] * len(series)
     todo = sorted(range(len(series)), key=lambda k: -len(series[k]))
     while todo:
@@ -90,39 +116,56 @@ def filtfilt_many(b: np.ndarray, a: np.ndarray, series: list[np.ndarray]) -> lis
         for k, c in zip(batch, at):
             v = series[k]
             x[: len(v) + 2 * edge, c : c + v.shape[1]] = np.concatenate([2 * v[:1] - v[edge:0:-1], v, 2 * v[-1:] - v[-2 : -edge - 2 : -1]])
-        y = recursion(b, a, x, zi * x[:1])
+        y = f.run(x, x[0])
         for k, c in zip(batch, at):
             n, w = len(series[k]) + 2 * edge, series[k].shape[1]
             x[:n, c : c + w] = y[:n, c : c + w][::-1]
-        y = recursion(b, a, x, zi * x[:1])
+        y = f.run(x, x[0])
         for k, c in zip(batch, at):
             n, w = len(series[k]) + 2 * edge, series[k].shape[1]
             out[k] = y[:n, c : c + w][::-1][edge:-edge]
     return out
 
 
-def _filter_block(block: pd.DataFrame, columns: list[str], b: np.ndarray, a: np.ndarray) -> pd.DataFrame:
-    start = np.flatnonzero(changes(block, ["entity"]))
+def settling(f: Sections, least: float = 1e-15) -> int:
+    """Rows after which a filter has forgotten its start, up to a share of `least`, and no fewer than its padding."""
+    return int(np.ceil(np.log(least) / np.log(f.radius))) + f.edge + 1
+
+
+def chunks(df: DataFrame, margin: int, chunk: int = CHUNK) -> DataFrame:
+    """Rows framed for a kernel that needs `margin` rows on both sides; a margin is a quarter of its chunk at most."""
+    return framed(df, margin, margin, chunk=max(chunk, 4 * margin))
+
+
+def filter_segments(block: pd.DataFrame, columns: list[str], f: Sections) -> np.ndarray:
+    """The filtered columns of a block of (entity, chunk) segments; NaN where a series is too short for the padding."""
+    start = np.flatnonzero(changes(block, ["entity", "chunk"]))
     end = np.r_[start[1:], len(block)]
     values = block[columns].to_numpy(float)
     out = np.full(values.shape, np.nan)
-    long = [(s, e) for s, e in zip(start, end) if e - s > 3 * max(len(a), len(b))]
-    for (s, e), y in zip(long, filtfilt_many(b, a, [values[s:e] for s, e in long])):
+    long = [(s, e) for s, e in zip(start, end) if e - s > f.edge]
+    for (s, e), y in zip(long, filtfilt_many(f, [values[s:e] for s, e in long])):
         out[s:e] = y
-    return block.assign(**{c: out[:, k] for k, c in enumerate(columns)})
+    return out
 
 
-def butterworth(df: DataFrame, cutoff: float | tuple[float, float], freq: float, order: int = 5, kind: str = "highpass", columns: list[str] | None = None) -> DataFrame:
+def butterworth(df: DataFrame, cutoff: float | tuple[float, float], freq: float, order: int = 5, kind: str = "highpass", columns: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """Filter columns of the series (entity, idx, ...); by default all numeric ones but entity and idx.
 
-    Series shorter than the padding of the filter give NULL. One series is one task.
+    Series shorter than the padding of the filter give NULL. A long series is filtered in chunks: a filter forgets its
+    start, so that a margin in which it has settled gives each chunk the values of the whole series to about 1e-15 of them.
     """
-    b, a = design(cutoff, freq, order, kind)
+    f = Sections(cutoff, freq, order, kind)
     numeric = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType)
-    columns = columns or [f.name for f in df.schema if isinstance(f.dataType, numeric) and f.name not in ("entity", "idx")]
-    rows = df.select("entity", "idx", *[F.col(c).cast("double").alias(c) for c in columns])
+    columns = columns or [c.name for c in df.schema if isinstance(c.dataType, numeric) and c.name not in ("entity", "idx")]
+    rows = chunks(df.select("entity", "idx", *[F.col(c).cast("double").alias(c) for c in columns]), settling(f), chunk)
     schema = f"entity {dict(df.dtypes)['entity']}, idx bigint, " + ", ".join(f"`{c}` double" for c in columns)
-    out = map_segments(rows, ["entity"], ["idx"], lambda block: _filter_block(block, columns, b, a), schema)
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        y = filter_segments(block, columns, f)
+        return block.assign(**{c: y[:, k] for k, c in enumerate(columns)})[block.own][["entity", "idx", *columns]]
+
+    out = map_segments(rows, ["entity", "chunk"], ["idx"], run, schema)
     return out.select("entity", "idx", *[F.nanvl(c, F.lit(None)).alias(c) for c in columns])
 
 

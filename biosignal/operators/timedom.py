@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biosignal.functions import aggregates as A
 from biosignal.functions.scalars import dead_band
-from biosignal.operators.blocks import map_segments
 from biosignal.operators.frames import CHUNK, framed, near, ordered, owned, running_sum
 
 
@@ -129,22 +127,19 @@ def dfa(df: DataFrame, windows: list[int], order: int = 1, overlap: float = 0) -
     p = p.select("entity", "idx", "profile", sizes.alias("s")).select("entity", "idx", "profile", "s.w", "s.step")
     low = F.greatest(F.ceil((F.col("idx") - F.col("w") + 1) / F.col("step")), F.lit(0)).cast("bigint")
     p = p.withColumn("k", F.explode(F.sequence(low, F.floor(F.col("idx") / F.col("step")).cast("bigint"))))
-    u = F.col("idx") - F.col("k") * F.col("step")
-    if order == 1:
-        fits = p.withColumn("u", u.cast("double")).groupBy("entity", "w", "k").agg(F.count(F.lit(1)).alias("n"), F.regr_syy("profile", "u").alias("yy"), F.regr_sxy("profile", "u").alias("xy"), F.regr_sxx("profile", "u").alias("xx"))
-        fits = fits.where(F.col("n") == F.col("w")).withColumn("ssr", F.greatest(F.col("yy") - F.try_divide(F.col("xy") * F.col("xy"), F.col("xx")), F.lit(0.0)))
-    else:
-
-        def fit(block: pd.DataFrame) -> pd.DataFrame:
-            rows = []
-            for (e, w, k), g in block.groupby(["entity", "w", "k"], sort=False):
-                if len(g) == w > order + 1:
-                    c = np.polyfit(g.u, g.profile, order)
-                    rows.append((e, w, float(((g.profile - np.polyval(c, g.u)) ** 2).sum())))
-            return pd.DataFrame(rows, columns=["entity", "w", "ssr"])
-
-        kind = dict(df.dtypes)["entity"]
-        fits = map_segments(p.select("entity", "w", "k", u.alias("u"), "profile"), ["entity", "w", "k"], ["u"], fit, f"entity {kind}, w int, ssr double")
-    f = fits.where(F.col("w") > order + 1).groupBy("entity", "w").agg(F.avg(F.sqrt(F.col("ssr") / F.col("w"))).alias("f"))
+    # residuals of the fit from orthogonal polynomials of the place in the window: their sums add up on the map side
+    w, u = F.col("w").cast("double"), (F.col("idx") - F.col("k") * F.col("step")).cast("double")
+    q, square = [F.lit(1.0), u - (w - 1) / 2], w
+    for j in range(1, order):
+        q.append(q[1] * q[j] - j * j * (w * w - j * j) / (4 * (4 * j * j - 1)) * q[j - 1])
+    p = p.withColumns({f"q{j}": q[j] for j in range(1, order + 1)})
+    fits = p.groupBy("entity", "w", "k").agg(F.count(F.lit(1)).alias("n"), F.var_pop("profile").alias("yy"), *[F.covar_pop(f"q{j}", "profile").alias(f"c{j}") for j in range(1, order + 1)])
+    fits = fits.where((F.col("n") == F.col("w")) & (F.col("w") > order + 1))
+    explained = F.lit(0.0)
+    for j in range(1, order + 1):
+        square = square * (w * w - j * j) * (j * j / (4 * (4 * j * j - 1)))  # sum of the squares of q_j
+        explained = explained + F.col(f"c{j}") * F.col(f"c{j}") * w * w / square
+    fits = fits.withColumn("ssr", F.greatest(F.col("yy") * w - explained, F.lit(0.0)))
+    f = fits.groupBy("entity", "w").agg(F.avg(F.sqrt(F.col("ssr") / F.col("w"))).alias("f"))
     whole = F.count(F.when(F.col("f") > 0, 1)) == len(windows)
     return f.groupBy("entity").agg(F.when(whole, F.regr_slope(F.when(F.col("f") > 0, F.ln("f")), F.ln("w"))).alias("dfa"))

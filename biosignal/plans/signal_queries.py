@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,13 +209,15 @@ SQL["timedom_o1fit"] = f"WITH {V_SIG} SELECT entity, round(regr_intercept(x, idx
 
 @query
 def timedom_o1fit_multi(spark, folder):
-    """One fit of each axis on the order, for every recording."""
+    """One fit of each axis on the order, for every recording. A reading takes part in the fits of the axes that it has."""
+    v = load(spark, folder, "acceleration").select("rec_id", "idx", "x", "y", "z").distinct()
+    there = lambda c: F.nanvl(c, F.lit(None))
     t = F.col("idx").cast("double")
-    a = acc(spark, folder).groupBy("rec_id").agg(*[A.o1fit(t, F.col(c)).alias(c) for c in "xyz"])
+    a = v.groupBy("rec_id").agg(*[A.o1fit(t, there(c)).alias(c) for c in "xyz"])
     return a.select("rec_id", *[significant(F.col(f"{c}.{p}")).alias(f"{c}_{p}") for c in "xyz" for p in ("intercept", "slope")])
 
 
-SQL["timedom_o1fit_multi"] = f"WITH {V_ACC}, f AS (SELECT rec_id, " + ", ".join(f"regr_intercept({c}, idx::DOUBLE) AS {c}_intercept, regr_slope({c}, idx::DOUBLE) AS {c}_slope" for c in "xyz") + " FROM acc GROUP BY rec_id) SELECT rec_id, " + ", ".join(f"{significant_sql(f'{c}_{p}')} AS {c}_{p}" for c in "xyz" for p in ("intercept", "slope")) + " FROM f"
+SQL["timedom_o1fit_multi"] = "WITH acc AS (SELECT DISTINCT rec_id, idx, " + ", ".join(f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}" for c in "xyz") + " FROM acceleration), f AS (SELECT rec_id, " + ", ".join(f"regr_intercept({c}, idx::DOUBLE) AS {c}_intercept, regr_slope({c}, idx::DOUBLE) AS {c}_slope" for c in "xyz") + " FROM acc GROUP BY rec_id) SELECT rec_id, " + ", ".join(f"{significant_sql(f'{c}_{p}')} AS {c}_{p}" for c in "xyz" for p in ("intercept", "slope")) + " FROM f"
 
 
 @query
@@ -232,6 +235,24 @@ def timedom_dfa(spark, folder):
 
 SQL["timedom_dfa"] = f"WITH {V_LONG}, m AS (SELECT *, x - avg(x) OVER (PARTITION BY entity) AS c FROM sig), p AS (SELECT entity, idx, sum(c) {W} AS y FROM m), w AS (SELECT unnest([8, 16, 32, 64]) AS w), k AS (SELECT entity, w, idx // w AS k, idx % w AS u, y FROM p CROSS JOIN w), f AS (SELECT entity, w, k, count(*) AS n, greatest(regr_syy(y, u::DOUBLE) - pow(regr_sxy(y, u::DOUBLE), 2) / regr_sxx(y, u::DOUBLE), 0) AS ssr FROM k GROUP BY ALL HAVING count(*) = w), g AS (SELECT entity, w, avg(sqrt(ssr / w)) AS f FROM f GROUP BY ALL) SELECT entity, round(regr_slope(ln(f), ln(w)), 6) AS dfa FROM g GROUP BY entity"
 
+
+@query
+def timedom_hurst_default(spark, folder):
+    """All the lags from 2 to 63."""
+    return rounded(timedom.hurst(sig_long(spark, folder)))
+
+
+SQL["timedom_hurst_default"] = SQL["timedom_hurst"].replace("range(2, 20)", "range(2, 64)")
+
+
+@query
+def timedom_dfa_second(spark, folder):
+    """Fits of second order over windows that overlap by half."""
+    return rounded(timedom.dfa(sig_long(spark, folder), [8, 16, 32, 64], order=2, overlap=50))
+
+
+SQL["timedom_dfa_second"] = f"WITH {V_LONG}, m AS (SELECT *, x - avg(x) OVER (PARTITION BY entity) AS c FROM sig), p AS (SELECT entity, idx, sum(c) {W} AS y FROM m), w AS (SELECT unnest([8, 16, 32, 64]) AS w), k AS (SELECT entity, w, unnest([idx // (w // 2) - 1, idx // (w // 2)]) AS k, idx, y FROM p CROSS JOIN w), u AS (SELECT entity, w, k, idx - k * (w // 2) - (w - 1) / 2.0 AS t, y FROM k WHERE k >= 0), f AS (SELECT entity, w, k, greatest(var_pop(y) * w - pow(covar_pop(y, t) * w, 2) / (var_pop(t) * w) - pow(covar_pop(y, t * t) * w, 2) / (var_pop(t * t) * w), 0) AS ssr FROM u GROUP BY entity, w, k HAVING count(*) = w), g AS (SELECT entity, w, avg(sqrt(ssr / w)) AS f FROM f GROUP BY ALL) SELECT entity, round(regr_slope(ln(f), ln(w)), 6) AS dfa FROM g GROUP BY entity"
+
 # ------------------------------------------------------------------ windows
 
 
@@ -311,6 +332,58 @@ def roll_time_minlen(spark, folder):
 
 SQL["roll_time_minlen"] = _time_sql(DAY, 2 * DAY, "round(CASE WHEN count(s.x) >= 2 THEN avg(s.x) END, 6) AS mean")
 
+
+
+@query
+def roll_hjorth(spark, folder):
+    """Hjorth parameters, line length and crossings of windows of ten rows: derivatives end at a window's edges."""
+    f = {
+        "activity": lambda w: A.hjorth_activity(w.x), "mobility": lambda w: A.hjorth_mobility(w.x, w.d1), "complexity": lambda w: A.hjorth_complexity(w.x, w.d1, w.d2),
+        "line": lambda w: A.line_length(w.d), "crossings": lambda w: A.crossing_count(w.crossing()),
+    }
+    return rounded(windows.rolling(centred(spark, folder), f, 10, 5))
+
+
+_IN = "OVER (PARTITION BY entity, \"window\" ORDER BY idx)"
+_IN_GRAD = _GRAD.replace(W, _IN)
+SQL["roll_hjorth"] = f"WITH {V_CEN}, n AS (SELECT entity, unnest(range(0, (count(*) - 10) // 5 + 1)) AS \"window\" FROM sig GROUP BY entity HAVING count(*) >= 10), r AS (SELECT n.entity, n.\"window\", s.idx, s.x AS v, s.x FROM n JOIN sig s ON s.entity = n.entity AND s.idx >= n.\"window\" * 5 AND s.idx < n.\"window\" * 5 + 10), a AS (SELECT *, x - lag(x) {_IN} AS d, (x > 0) <> (lag(x) {_IN} > 0) AS c, {_IN_GRAD} AS d1 FROM r), b AS (SELECT entity, \"window\", idx, v, d, c, d1 AS x FROM a), e AS (SELECT *, {_IN_GRAD} AS d2 FROM b) SELECT entity, \"window\", round(var_pop(v), 6) AS activity, round(sqrt(var_pop(x) / nullif(var_pop(v), 0)), 6) AS mobility, round(sqrt(var_pop(d2) / nullif(var_pop(x), 0)) / nullif(sqrt(var_pop(x) / nullif(var_pop(v), 0)), 0), 6) AS complexity, round(sum(abs(d)), 6) AS line, CAST(count(*) FILTER (c) AS BIGINT) AS crossings FROM e GROUP BY entity, \"window\""
+
+
+def _deviation(v: np.ndarray) -> float:
+    """Median distance from the median: a function that is no aggregate of the engine."""
+    return float(np.median(np.abs(v - np.median(v))))
+
+
+_MAD = {"mad": windows.opaque(_deviation)}
+
+
+@query
+def roll_opaque(spark, folder):
+    """A Python function over windows of time."""
+    return rounded(windows.irregular(sig(spark, folder), _MAD, 5 * DAY, 2 * DAY, min_window_len=2))
+
+
+SQL["roll_opaque"] = _time_sql(5 * DAY, 2 * DAY, "round(CASE WHEN count(s.x) >= 2 THEN mad(s.x) END, 6) AS mad")
+
+
+@query
+def roll_opaque_count(spark, folder):
+    """A Python function over count windows."""
+    return rounded(windows.rolling(sig(spark, folder), _MAD, 9, 4))
+
+
+SQL["roll_opaque_count"] = f"WITH {V_SIG}, n AS (SELECT entity, unnest(range(0, (count(*) - 9) // 4 + 1)) AS window FROM sig GROUP BY entity HAVING count(*) >= 9) SELECT n.entity, n.window, round(mad(s.x), 6) AS mad FROM n JOIN sig s ON s.entity = n.entity AND s.idx >= n.window * 4 AND s.idx < n.window * 4 + 9 GROUP BY ALL"
+
+
+@query
+def roll_opaque_bounds(spark, folder):
+    """A Python function over given bounds."""
+    s = sig(spark, folder)
+    return rounded(windows.over_bounds(s, _bounds(s), _MAD, min_window_len=2))
+
+
+SQL["roll_opaque_bounds"] = f"WITH {V_SIG}, w AS (SELECT entity, unnest(range(0, count(*) // 10 + 1)) AS window FROM sig GROUP BY entity) SELECT w.entity, w.window, round(CASE WHEN count(s.x) >= 2 THEN mad(s.x) END, 6) AS mad FROM w LEFT JOIN sig s ON s.entity = w.entity AND s.idx >= w.window * 10 AND s.idx < w.window * 11 GROUP BY ALL"
+
 # ------------------------------------------------------------------ heart-rate variability
 
 _D = f"d AS (SELECT entity, nni, nni - lag(nni) {W} AS d, nni + lag(nni) {W} AS s FROM nni)"
@@ -359,33 +432,46 @@ def hrv_sdann_sdnni(spark, folder):
 SQL["hrv_sdann_sdnni"] = f"WITH {V_NNI}, t AS (SELECT entity, nni, CAST(round(sum(nni) {W} * 1000) AS BIGINT) AS us FROM nni), g AS (SELECT entity, min(us) AS t0, max(us) AS t1 FROM t GROUP BY entity), w AS (SELECT entity, t0, unnest(range(0, CAST(ceil((t1 - t0) / 1e7) AS BIGINT))) AS k FROM g), f AS (SELECT w.entity, w.k, avg(nni) AS m, stddev_pop(nni) AS s FROM w LEFT JOIN t ON t.entity = w.entity AND t.us >= t0 + k * 10000000 AND t.us < t0 + (k + 1) * 10000000 GROUP BY ALL) SELECT entity, round(CASE WHEN count(m) = count(*) THEN stddev_pop(m) END, 6) AS sdann, round(CASE WHEN count(m) = count(*) THEN avg(s) END, 6) AS sdnni FROM f GROUP BY entity"
 
 
+@query
+def hrv_sdann_default(spark, folder):
+    """Windows of 300 s, the default, of the long series."""
+    long = frames.series(load(spark, folder, "events"), "event_type", ["ts", "event_id"], F.lit(600.0) + F.col("value"), name="nni")
+    return rounded(hrv.windowed_deviation(long, unit="ms"))
+
+
+SQL["hrv_sdann_default"] = SQL["hrv_sdann_sdnni"].replace(V_NNI, V_NNI.replace("user_id", "event_type")).replace("1e7", "3e8").replace("10000000", "300000000")
+
+
 @query
 def hrv_windowed(spark, folder):
-    """Features of windows of ten days, one every five: any feature of a series is one of a window."""
-    s = hrv.with_steps(nni(spark, folder))
-    return rounded(windows.irregular(s, {"sdnn": A.sdnn("nni"), "rmssd": A.rmssd("d"), "pnn50": A.pnn50("d"), "mcsi": A.lorenz_mcsi("d", "s")}, 10 * DAY, 5 * DAY, min_window_len=2))
+    """Features of windows of ten days, one every five: each is that of a series that is the window alone."""
+    f = {"sdnn": A.sdnn("nni"), "rmssd": lambda w: A.rmssd(w.d), "pnn50": lambda w: A.pnn50(w.d), "mcsi": lambda w: A.lorenz_mcsi(w.d, w.s)}
+    return rounded(windows.irregular(nni(spark, folder), f, 10 * DAY, 5 * DAY, min_window_len=2, x="nni"))
 
 
 SQL["hrv_windowed"] = (
-    f"WITH {V_NNI}, d AS (SELECT entity, epoch_us(ts) AS us, nni, nni - lag(nni) {W} AS d, nni + lag(nni) {W} AS s FROM nni), "
-    f"g AS (SELECT entity, min(us) AS t0, max(us) AS t1 FROM d GROUP BY entity), "
+    f"WITH {V_NNI}, r AS (SELECT entity, idx, epoch_us(ts) AS us, nni FROM nni), g AS (SELECT entity, min(us) AS t0, max(us) AS t1 FROM r GROUP BY entity), "
     f"w AS (SELECT entity, t0, unnest(range(0, CAST(ceil((t1 - t0) / {5 * DAY}::DOUBLE) AS BIGINT))) AS window FROM g), "
-    f"a AS (SELECT w.entity, w.window, t0 + w.window * {5 * DAY} AS start, count(nni) AS n, stddev_pop(nni) AS sdnn, sqrt(avg(d * d)) AS rmssd, avg(CASE WHEN d IS NOT NULL THEN CAST(abs(d) > 50 AS INTEGER) END) AS pnn50, stddev_pop(d) / sqrt(2) AS sd1, stddev_pop(s) / sqrt(2) AS sd2 "
-    f"FROM w LEFT JOIN d ON d.entity = w.entity AND us >= t0 + w.window * {5 * DAY} AND us < t0 + w.window * {5 * DAY} + {10 * DAY} GROUP BY ALL) "
+    f"i AS (SELECT w.entity, w.window, t0 + w.window * {5 * DAY} AS start, nni, nni - lag(nni) OVER v AS d, nni + lag(nni) OVER v AS s "
+    f"FROM w LEFT JOIN r ON r.entity = w.entity AND us >= t0 + w.window * {5 * DAY} AND us < t0 + w.window * {5 * DAY} + {10 * DAY} WINDOW v AS (PARTITION BY w.entity, w.window ORDER BY idx)), "
+    "a AS (SELECT i.entity, i.window, i.start, count(nni) AS n, stddev_pop(nni) AS sdnn, sqrt(avg(d * d)) AS rmssd, avg(CASE WHEN d IS NOT NULL THEN CAST(abs(d) > 50 AS INTEGER) END) AS pnn50, stddev_pop(d) / sqrt(2) AS sd1, stddev_pop(s) / sqrt(2) AS sd2 FROM i GROUP BY ALL) "
     "SELECT a.entity, a.window, a.start, round(CASE WHEN n >= 2 THEN sdnn END, 6) AS sdnn, round(CASE WHEN n >= 2 THEN rmssd END, 6) AS rmssd, round(CASE WHEN n >= 2 THEN pnn50 END, 6) AS pnn50, round(CASE WHEN n >= 2 THEN sd1 * sd1 / nullif(sd2, 0) END, 6) AS mcsi FROM a"
 )
 
 
 @query
 def hrv_recordings(spark, folder):
-    """Time-domain variability of the beat recordings, in milliseconds, over their positive intervals in order."""
+    """Time-domain variability of the beat recordings, in milliseconds, over their positive intervals in order. A row without
+    a unit has that of its recording."""
     unit = F.coalesce(*[F.when(F.col("unit") == u, F.lit(n / 1e6)) for u, n in S.UNIT_NS.items()])
-    b = load(spark, folder, "intervals").where(F.col("unit").isNotNull() & (F.col("nni") > 0)).select("rec_id", "idx", (F.col("nni") * unit).alias("nni")).distinct()
-    b = b.where(F.col("nni").between(200.0, 3000.0)).select(F.col("rec_id").alias("entity"), "idx", "nni")
+    rows = load(spark, folder, "intervals").select("rec_id", "idx", "nni", "unit")
+    usual = rows.groupBy(F.col("rec_id").alias("entity")).agg(F.min("unit").alias("usual"))
+    b = rows.withColumnRenamed("rec_id", "entity").where(F.col("nni") > 0).join(usual, "entity").withColumn("unit", F.coalesce("unit", "usual"))
+    b = b.select("entity", "idx", (F.col("nni") * unit).alias("nni")).distinct().where(F.col("nni").between(200.0, 3000.0))
     return rounded(b.groupBy("entity").agg(A.std("nni").alias("sdnn"), A.mean("nni").alias("mean"), F.count("nni").alias("beats")), 4)
 
 
-SQL["hrv_recordings"] = "WITH b AS (SELECT DISTINCT rec_id AS entity, idx, nni * CASE unit WHEN 'ns' THEN 1e-6 WHEN 'us' THEN 1e-3 WHEN 'ms' THEN 1e0 WHEN 's' THEN 1e3 END AS nni FROM intervals WHERE unit IS NOT NULL AND nni > 0) SELECT entity, round(stddev_pop(nni), 4) AS sdnn, round(avg(nni), 4) AS mean, count(*) AS beats FROM b WHERE nni BETWEEN 200 AND 3000 GROUP BY entity"
+SQL["hrv_recordings"] = "WITH u AS (SELECT *, coalesce(unit, min(unit) OVER (PARTITION BY rec_id)) AS known FROM intervals), b AS (SELECT DISTINCT rec_id AS entity, idx, nni * CASE known WHEN 'ns' THEN 1e-6 WHEN 'us' THEN 1e-3 WHEN 'ms' THEN 1e0 WHEN 's' THEN 1e3 END AS nni FROM u WHERE nni > 0) SELECT entity, round(stddev_pop(nni), 4) AS sdnn, round(avg(nni), 4) AS mean, count(*) AS beats FROM b WHERE nni BETWEEN 200 AND 3000 GROUP BY entity"
 
 # ------------------------------------------------------------------ information, recurrence
 
@@ -731,6 +817,24 @@ def dsp_find_peaks(spark, folder):
 SQL["dsp_find_peaks"] = f"WITH {V_SIG}, p AS (SELECT entity, idx, x, lag(x) {W} AS a, lead(x) {W} AS b FROM sig) SELECT entity, idx FROM p WHERE x > a AND x > b"
 
 
+@query
+def dsp_slope_sum_rising(spark, folder):
+    """The rectified variant: rising steps only."""
+    return rounded(timedom.slope_sum(sig(spark, folder), 4, rectify=True).select("entity", "idx", "slope_sum"))
+
+
+SQL["dsp_slope_sum_rising"] = f"WITH {V_SIG}, n AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n, greatest(x - lag(x) {W}, 0) AS up FROM sig), s AS (SELECT *, sum(up) OVER (PARTITION BY entity ORDER BY idx ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS s FROM n) SELECT entity, idx, round(CASE WHEN idx >= 4 AND idx <= n - 2 THEN s ELSE 0 END, 6) AS slope_sum FROM s"
+
+
+@query
+def dsp_find_valleys(spark, folder):
+    """Peaks by another comparison: rows that are no higher than both neighbours."""
+    return timedom.find_peaks(sig(spark, folder), comp=lambda a, b: a <= b).select("entity", "idx")
+
+
+SQL["dsp_find_valleys"] = f"WITH {V_SIG}, p AS (SELECT entity, idx, x, lag(x) {W} AS a, lead(x) {W} AS b FROM sig) SELECT entity, idx FROM p WHERE x <= a AND x <= b"
+
+
 @query
 def dsp_pairwise(spark, folder):
     """Consecutive pairs, with a counter from 10 in steps of 3."""
@@ -752,20 +856,57 @@ def dsp_compose(spark, folder):
 SQL["dsp_compose"] = f"WITH {V_SIG} SELECT entity, idx, round((x - 1) * 2, 6) AS x, round(x * 2 - 1, 6) AS y FROM sig"
 
 
+def filtfilt_sql(view: str, table: str, columns: str, f: dsp.Sections, name: str = "done") -> str:
+    """CTEs that end in `name` (entity, idx, columns): zero-phase filtering of table (entity, idx, columns).
+
+    Not the recursion of the operator but sums with the impulse response h: with the state of a constant input e_0, a pass
+    over e is H(1) e_0 + sum_k h_k (e_(i-k) - e_0).
+    """
+    number = lambda v: f"({float(v)!r}::DOUBLE)"
+    edge, count, gain = f.edge, len(f.rows), number(f.level[-1])
+    step, held = ["CASE WHEN k = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS u0"], []
+    for s, (b0, b1, b2, a1, a2) in enumerate(f.rows):
+        step += [f"{number(b0)} * u{s} + p{s} AS u{s + 1}", f"{number(b1)} * u{s} - {number(a1)} * u{s + 1} + q{s} AS np{s}", f"{number(b2)} * u{s} - {number(a2)} * u{s + 1} AS nq{s}"]
+        held += [f"p{s}", f"q{s}"]
+    parts = [
+        view,
+        "h AS (SELECT -1 AS k, 0::DOUBLE AS h, " + ", ".join(f"0::DOUBLE AS {c}" for c in held) + f" UNION ALL SELECT k, u{count}, " + ", ".join(f"n{c}" for c in held) + f" FROM (SELECT k, {', '.join(step)} FROM (SELECT k + 1 AS k, {', '.join(held)} FROM h WHERE k < {dsp.settling(f, 1e-17)})))",
+        "response AS (SELECT list(h ORDER BY k DESC) AS r, count(*) AS m FROM h WHERE k >= 0)",
+        "long AS (" + " UNION ALL ".join(f"SELECT entity, idx, '{c}' AS axis, {c} AS x FROM {table}" for c in columns) + ")",
+        f"s AS (SELECT entity, axis, list(x ORDER BY idx) AS v, count(*) AS n FROM long GROUP BY ALL HAVING count(*) > {edge})",
+        f"e0 AS (SELECT entity, axis, n, list_concat(list_transform(range({edge}, 0, -1), lambda i: 2 * v[1] - v[i + 1]), v, list_transform(range(1, {edge + 1}), lambda i: 2 * v[n] - v[n - i])) AS e FROM s)",
+    ]
+    for k in (0, 1):
+        parts.append(f"c{k} AS (SELECT entity, axis, n, e[1] AS first, list_transform(e, lambda q: q - e[1]) AS c, unnest(range(1, n + {2 * edge + 1})) AS j FROM e{k})")
+        parts.append(f"e{k + 1} AS (SELECT entity, axis, n, list({gain} * first + list_dot_product(c[greatest(1, j - m + 1):j], r[m - least(j, m) + 1:m]) ORDER BY j DESC) AS e FROM c{k}, response GROUP BY ALL)")
+    parts.append(f"f AS (SELECT entity, axis, unnest(range(0, n)) AS idx, unnest(e[{edge + 1}:n + {edge}]) AS y FROM e2)")
+    parts.append(f"{name} AS (SELECT t.entity, t.idx, " + ", ".join(f"max(f.y) FILTER (f.axis = '{c}') AS {c}" for c in columns) + f" FROM {table} t LEFT JOIN f ON t.entity = f.entity AND t.idx = f.idx GROUP BY t.entity, t.idx)")
+    return "WITH RECURSIVE " + ", ".join(parts)
+
+
 @query
 def dsp_butterworth(spark, folder):
     return rounded(dsp.butterworth(sig_long(spark, folder), 5.0, 50.0, kind="lowpass", columns=["x"]))
 
 
+SQL["dsp_butterworth"] = filtfilt_sql(V_LONG, "sig", "x", dsp.Sections(5.0, 50.0, 5, "lowpass")) + " SELECT entity, idx, round(x, 6) AS x FROM done"
+
+
 def _axes(spark, folder) -> DataFrame:
     """Readings of each recording in order, as series of three axes."""
     a = acc(spark, folder)
     return frames.series(a, "rec_id", ["ts", "idx"], "x", keep={"y": F.col("y"), "z": F.col("z")})
 
 
+V_AXES = V_ACC + ", axes AS (SELECT rec_id AS entity, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY ts, idx, x) - 1 AS BIGINT) AS idx, x, y, z FROM acc WHERE ts IS NOT NULL AND rec_id IS NOT NULL)"
+
+
 @query
 def dsp_linear(spark, folder):
-    return rounded(dsp.linear_filter(_axes(spark, folder), 50.0, columns=["x", "y", "z"]), 3)
+    return rounded(dsp.linear_filter(_axes(spark, folder), 50.0, columns=["x", "y", "z"]), 2)
+
+
+SQL["dsp_linear"] = filtfilt_sql(V_AXES, "axes", "xyz", dsp.Sections(0.5, 50.0, 5, "highpass")) + " SELECT entity, idx, round(x, 2) AS x, round(y, 2) AS y, round(z, 2) AS z FROM done"
 
 
 @query
@@ -773,41 +914,122 @@ def dsp_gravity(spark, folder):
     return rounded(dsp.gravity_filter(_axes(spark, folder), 50.0, columns=["x", "y", "z"]), 3)
 
 
+SQL["dsp_gravity"] = filtfilt_sql(V_AXES, "axes", "xyz", dsp.Sections(0.5, 50.0, 5, "lowpass")) + " SELECT entity, idx, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM done"
+
+
 @query
 def dsp_bandpass(spark, folder):
     return rounded(dsp.bandpass(sig_long(spark, folder), 250.0))
 
 
+SQL["dsp_bandpass"] = filtfilt_sql(V_LONG, "sig", "x", dsp.Sections((5, 15), 250.0, 5, "bandpass")) + " SELECT entity, idx, round(x, 6) AS x FROM done"
+
+
+def _box(x: str, width: int) -> str:
+    return f"sum({x}) OVER (PARTITION BY entity ORDER BY idx ROWS BETWEEN {width // 2} PRECEDING AND {(width - 1) // 2} FOLLOWING) / {width}"
+
+
 @query
 def ecg_pan_tompkins(spark, folder):
     return rounded(detectors.filter_pan_tompkins(sig_long(spark, folder), 250.0))
 
 
+SQL["ecg_pan_tompkins"] = filtfilt_sql(V_LONG, "sig", "x", dsp.Sections((5, 15), 250.0, 5, "bandpass")) + f" SELECT entity, idx, round({_box('pow(x / 8, 2)', 50)}, 6) AS y FROM done"
+
+
 @query
 def ecg_hamilton_filter(spark, folder):
     return rounded(detectors.filter_hamilton_tompkins(sig_long(spark, folder), 250.0))
 
 
+SQL["ecg_hamilton_filter"] = filtfilt_sql(V_LONG, "sig", "x", dsp.Sections((3, 25), 250.0, 5, "bandpass")) + f" SELECT entity, idx, round({_box('abs(x / 8)', 20)}, 6) AS y FROM done"
+
+
 @query
 def ecg_rpeaks(spark, folder):
     return detectors.rpeaks_hamilton_tompkins(sig_long(spark, folder), 250.0, ts="ts_us")
 
 
+def _over(before: int, after: int) -> str:
+    return f"OVER (PARTITION BY entity ORDER BY idx ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING)"
+
+
+# the rule walks the peaks; both rings start with the level of position 0
+_RING = "[" + ", ".join(["first"] * 12) + "]"
+SQL["ecg_rpeaks"] = (
+    filtfilt_sql(V_LONG.replace("value AS x", "value AS x, epoch_us(ts) AS us"), "sig", "x", dsp.Sections((3, 25), 250.0, 5, "bandpass"))
+    + f", y AS (SELECT entity, idx, {_box('abs(x / 8)', 20)} AS f FROM done), s AS (SELECT *, f - lag(f) {W} AS d, lag(f) {W} AS a, lead(f) {W} AS b FROM y)".replace(", s AS", ", slopes AS")
+    + f", facts AS (SELECT entity, idx, f, a, b, f >= max(f) {_over(50, 49)} AS highest, max(d) {_over(11, 11)} > 0 AND min(d) {_over(11, 11)} < 0 AS turns, max(d) {_over(12, 11)} AS steep FROM slopes)"
+    + f", peaks AS (SELECT *, row_number() {W} AS n FROM facts WHERE f > a AND f > b)"
+    + f", walk AS (SELECT entity, 0 AS n, 0::BIGINT AS p, false AS ok, 0::BIGINT AS accepted, 0::BIGINT AS rejected, 0::BIGINT AS prior, 0::DOUBLE AS rise, 0::DOUBLE AS level, list_transform(range(0, 12), lambda i: 0::BIGINT) AS places, {_RING} AS high, {_RING} AS low FROM (SELECT entity, f AS first FROM y WHERE idx = 0)"
+    + " UNION ALL SELECT entity, n, p, ok, accepted + ok::BIGINT, rejected + (NOT ok)::BIGINT, CASE WHEN ok THEN p ELSE prior END, CASE WHEN ok THEN steep ELSE rise END, list_avg(low2) + 0.3125 * (list_avg(high2) - list_avg(low2)), places2, high2, low2 FROM"
+    + " (SELECT *, CASE WHEN ok THEN list_transform(places, lambda v, i: CASE WHEN i = accepted % 12 + 1 THEN p ELSE v END) ELSE places END AS places2, CASE WHEN ok THEN list_transform(high, lambda v, i: CASE WHEN i = accepted % 12 + 1 THEN f ELSE v END) ELSE high END AS high2, CASE WHEN NOT ok THEN list_transform(low, lambda v, i: CASE WHEN i = rejected % 12 + 1 THEN f ELSE v END) ELSE low END AS low2 FROM"
+    + " (SELECT w.entity, k.n, k.idx AS p, k.f, k.steep, accepted, rejected, prior, rise, places, high, low, k.highest AND ((k.f > level AND k.turns AND NOT (prior <> 0 AND k.idx - prior < 90 AND k.steep < 0.5 * rise)) OR (accepted > 1 AND k.f > 0.5 * level AND k.idx - prior >= 1.5 * (list_max(places) - list_min(places)) / 11.0)) AS ok FROM walk w JOIN peaks k ON k.entity = w.entity AND k.n = w.n + 1)))"
+    + " SELECT w.entity, w.p AS idx, s.us AS ts FROM walk w JOIN sig s ON s.entity = w.entity AND s.idx = w.p WHERE w.ok"
+)
+
+
 @query
 def ppg_onsets(spark, folder):
     return detectors.pulse_onset_physionet(sig_long(spark, folder), 50)
 
 
+# the rule goes from onset to onset: the next row above the threshold, the highest within 7 rows of it, 21 rows on
+SQL["ppg_onsets"] = (
+    filtfilt_sql(V_LONG, "sig", "x", dsp.Sections((0.5, 20), 50, 5, "bandpass"))
+    + f", n AS (SELECT entity, idx, x, count(*) OVER (PARTITION BY entity) AS n, lag(x, 7) {W} AS back FROM done), y AS (SELECT entity, idx, n, CASE WHEN idx >= 7 AND idx <= n - 2 THEN x - back ELSE 0 END AS f FROM n)"
+    + ", start AS (SELECT entity, avg(f) + 2 * stddev_pop(f) AS level, stddev_pop(f) AS sd FROM y WHERE idx < 500 GROUP BY entity)"
+    + ", walk AS (SELECT entity, 7::BIGINT AS i, NULL::BIGINT AS onset, 0::BIGINT AS turn, list_transform(range(0, 10), lambda q: level) AS ring, level - sd AS cut FROM start"
+    + " UNION ALL SELECT entity, i2 + 21, p, turn2, ring2, list_median(ring2) - 2 * list_stddev_pop(ring2) FROM"
+    + " (SELECT *, list_transform(ring, lambda v, q: CASE WHEN q = turn2 + 1 THEN f ELSE v END) AS ring2 FROM"
+    + " (SELECT w.entity, w.i2, (w.turn + 1) % 10 AS turn2, w.ring, arg_max(y.idx, (y.f, -y.idx)) AS p, max(y.f) AS f FROM"
+    + " (SELECT w.entity, w.turn, w.ring, min(y.idx) AS i2 FROM walk w JOIN y ON y.entity = w.entity AND y.idx >= w.i AND y.idx < y.n - 500 AND y.f > w.cut GROUP BY ALL) w"
+    + " JOIN y ON y.entity = w.entity AND y.idx >= w.i2 - 7 AND y.idx < w.i2 + 7 GROUP BY ALL)))"
+    + " SELECT entity, onset AS idx FROM walk WHERE onset IS NOT NULL"
+)
+SQL["ppg_onsets"] = SQL["ppg_onsets"].replace("list_stddev_pop(ring2)", "list_aggregate(ring2, 'stddev_pop')")
+
+
+def _beats(spark, folder, **more) -> DataFrame:
+    """Scores of all interior maxima of the long series, taken for beats: the second around one has 20 rows."""
+    s = sig_long(spark, folder)
+    return rounded(detectors.beat_quality(s, timedom.find_peaks(s), 20, **more))
+
+
+V_BEATS = (
+    f"WITH {V_LONG}, e AS (SELECT entity, list_concat(list_transform(range(0, 10), lambda i: 0::DOUBLE), list(x ORDER BY idx), list_transform(range(0, 10), lambda i: 0::DOUBLE)) AS e, count(*) AS len FROM sig GROUP BY entity), "
+    f"k AS (SELECT entity, idx, x, lag(x) {W} AS a, lead(x) {W} AS b FROM sig), "
+    f"p AS (SELECT k.entity, k.idx, row_number() OVER (PARTITION BY k.entity ORDER BY k.idx) - 1 AS i, e.len, e.e[k.idx + 1:k.idx + 20] AS v FROM k JOIN e USING (entity) WHERE x > a AND x > b), "
+    "c AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n, list_transform(v, lambda q: q - list_avg(v)) AS d FROM p), "
+    "beat AS (SELECT *, CASE WHEN list_dot_product(d, d) > 0 THEN list_transform(d, lambda q: q / sqrt(list_dot_product(d, d))) ELSE list_transform(d, lambda q: 0::DOUBLE) END AS z FROM c)"
+)
+
+
 @query
 def beat_quality(spark, folder):
-    s = sig_long(spark, folder)
-    return rounded(detectors.beat_quality(s, detectors.rpeaks_hamilton_tompkins(s, 250.0), 250))
+    return _beats(spark, folder)
+
+
+# a ring of 24 that starts with beats 1 to 23 and takes beats from 1 on: those before, and at first beats 1 to 23
+SQL["beat_quality"] = V_BEATS + " SELECT b.entity, b.idx, round(CASE WHEN b.n >= 24 THEN avg(list_dot_product(b.z, o.z)) END, 6) AS quality FROM beat b LEFT JOIN beat o ON o.entity = b.entity AND o.i BETWEEN CASE WHEN b.i <= 24 THEN 1 ELSE b.i - 24 END AND CASE WHEN b.i <= 24 THEN 23 ELSE b.i - 1 END GROUP BY b.entity, b.idx, b.n"
 
 
 @query
 def beat_quality_bi(spark, folder):
-    s = sig_long(spark, folder)
-    return rounded(detectors.beat_quality(s, detectors.rpeaks_hamilton_tompkins(s, 250.0), 250, both_sides=True))
+    return _beats(spark, folder, both_sides=True)
+
+
+# row r of the ring of what follows holds beat r at first, and after beat q, q % 12 = r, beat q + 12, unless that lies in the
+# last second (then the last one before it) or there is none (then nothing)
+SQL["beat_quality_bi"] = (
+    V_BEATS
+    + ", whole AS (SELECT *, count(*) FILTER (idx < len - 20) OVER (PARTITION BY entity) AS good, count(*) FILTER (idx + 10 <= len) OVER (PARTITION BY entity) AS entered FROM beat), r AS (SELECT unnest(range(0, 12)) AS r)"
+    + ", back AS (SELECT b.entity, b.i, sum(list_dot_product(b.z, o.z)) / 12 AS s FROM whole b JOIN whole o ON o.entity = b.entity AND o.i >= 11 AND o.i BETWEEN least(b.i, b.entered) - 12 AND least(b.i, b.entered) - 1 GROUP BY ALL)"
+    + ", held AS (SELECT b.*, r, b.i - 1 - (b.i + 11 - r) % 12 AS q FROM whole b CROSS JOIN r WHERE b.i >= 11 AND b.idx + 10 <= b.len)"
+    + ", places AS (SELECT *, CASE WHEN q < 11 THEN nullif(r, 0) WHEN q + 12 >= n THEN NULL WHEN q + 12 < good THEN q + 12 ELSE nullif(nullif(good - 1 - (good - 1 - r) % 12, 0), 12) END AS j FROM held)"
+    + ", ahead AS (SELECT a.entity, a.i, sum(list_dot_product(a.z, o.z)) / 12 AS s FROM places a JOIN whole o ON o.entity = a.entity AND o.i = a.j GROUP BY ALL)"
+    + " SELECT b.entity, b.idx, round(CASE WHEN b.n < 12 THEN NULL WHEN b.i < 11 THEN 0 WHEN b.idx + 10 > b.len THEN coalesce(back.s, 0) ELSE greatest(coalesce(back.s, 0), coalesce(ahead.s, 0)) END, 6) AS quality FROM whole b LEFT JOIN back ON back.entity = b.entity AND back.i = b.i LEFT JOIN ahead ON ahead.entity = b.entity AND ahead.i = b.i"
+)
 
 
 SQL = {name: sql.replace(", 6)", f" + {NUDGE}, 6)") for name, sql in SQL.items()}

@@ -222,15 +222,15 @@ def test_butterworth(spark, kind, cutoff, edges):
     assert y == pytest.approx([3.0 if kind == "lowpass" else 0.0] * 400, abs=1e-4)
     if kind == "lowpass":
         slow, fast = np.sin(2 * np.pi * 1 * t), np.sin(2 * np.pi * 20 * t)
-        assert dsp.filtfilt(b, a, (slow + fast)[:, None])[50:350, 0] == pytest.approx(slow[50:350], abs=1e-2)
+        assert dsp.filtfilt(dsp.Sections(cutoff, 50.0, 5, kind), (slow + fast)[:, None])[50:350, 0] == pytest.approx(slow[50:350], abs=1e-2)
 
 
 def test_filters_together_are_as_alone():
     rng = np.random.default_rng(2)
-    b, a = dsp.design((3.0, 12.0), 50.0, 5, "bandpass")
+    f = dsp.Sections((3.0, 12.0), 50.0, 5, "bandpass")
     x = [rng.normal(size=(n, 2)) for n in (40, 300, 41, 90, 150)]
-    for one, y in zip(x, dsp.filtfilt_many(b, a, x)):
-        assert y == pytest.approx(dsp.filtfilt(b, a, one), abs=1e-9)
+    for one, y in zip(x, dsp.filtfilt_many(f, x)):
+        assert y == pytest.approx(dsp.filtfilt(f, one), abs=1e-9)
 
 
 def test_filters_of_acceleration(spark):
@@ -307,3 +307,81 @@ def test_compose(spark):
     double, less = (lambda x: x.select((F.col("id") * 2).alias("id"))), (lambda x: x.select((F.col("id") - 1).alias("id")))
     assert sorted(r.id for r in compose([double, less])(d).collect()) == [-2, 0, 2]
     assert sorted(r.id for r in rcompose([double, less])(d).collect()) == [-1, 1, 3]
+
+
+def test_features_end_at_the_edges_of_windows(spark):
+    x = [800.0, 810.0, 790.0, 805.0, 900.0, 700.0, 820.0, 815.0]
+    f = {"rmssd": lambda w: A.rmssd(w.d), "activity": lambda w: A.hjorth_activity(w.x), "mobility": lambda w: A.hjorth_mobility(w.x, w.d1), "complexity": lambda w: A.hjorth_complexity(w.x, w.d1, w.d2)}
+    d = series(spark, x).withColumn("ts_us", F.col("idx"))
+    bounds = spark.createDataFrame([(0, 0, 0, 4), (0, 1, 4, 8)], "entity bigint, window bigint, lo bigint, hi bigint")
+
+    def plain(v):
+        d1 = np.gradient(v)
+        mobility = np.sqrt(d1.var() / v.var())
+        return [np.sqrt((np.diff(v) ** 2).mean()), v.var(), mobility, np.sqrt(np.gradient(d1).var() / d1.var()) / mobility]
+
+    want = [plain(np.array(x[:4])), plain(np.array(x[4:]))]
+    assert want[1][0] == pytest.approx(134.69, abs=0.01)
+    for out in (windows.rolling(d, f, 4, 4), windows.over_bounds(d, bounds, f, block=3), windows.irregular(d, f, 4, 4)):
+        got = [[r[n] for n in f] for r in out.orderBy("window").collect()]
+        assert np.array(got) == pytest.approx(np.array(want))
+
+
+def test_opaque_functions_in_all_windows(spark):
+    x = np.random.default_rng(5).normal(size=23)
+    d = series(spark, x).withColumn("ts_us", F.col("idx") * 10).repartition(4)
+    f = {"last": windows.opaque(lambda v: float(v[-1] - v[0])), "m": F.avg("x")}
+    bounds = spark.createDataFrame([(0, k, k, k + 7) for k in range(10)] + [(0, 10, 3, 3)], "entity bigint, window bigint, lo bigint, hi bigint")
+    for out, step in ((windows.rolling(d, f, 7, 2), 2), (windows.over_bounds(d, bounds, f, block=4), 1), (windows.irregular(d, f, 70, 20), 2)):
+        for r in out.where("window < 8").collect():
+            v = x[r.window * step :][:7]
+            assert (r.last, r.m) == pytest.approx((v[-1] - v[0], v.mean()))
+    assert windows.over_bounds(d, bounds, f).where("window = 10").collect()[0].last is None
+    udaf = F.pandas_udf(lambda v: float(v.max()), "double", F.PandasUDFType.GROUPED_AGG)
+    assert [r.top for r in windows.irregular(d, {"top": udaf("x")}, 70, 70).orderBy("window").collect()][0] == pytest.approx(x[:7].max())
+
+
+def test_filters_and_beats_in_chunks_are_those_of_the_series(spark):
+    rng = np.random.default_rng(9)
+    t = np.arange(12000) / 250
+    x = sum(np.exp(-((t - c) ** 2) / (2 * 0.01**2)) for c in np.arange(0.8, 47.5, 0.8)) + rng.normal(0, 0.05, len(t))
+    d = series(spark, x, x[:3000], x[:20])
+    for k, v in enumerate((x, x[:3000])):
+        assert column(dsp.butterworth(d, (5, 15), 250.0, kind="bandpass", columns=["x"], chunk=1000), "x", k) == pytest.approx(dsp.filtfilt(dsp.Sections((5, 15), 250.0, 5, "bandpass"), v[:, None])[:, 0], abs=1e-12)
+        got = column(detectors.rpeaks_hamilton_tompkins(d, 250.0, chunk=1000), "idx", k)
+        assert got == detectors.r_peaks(v, 250.0).tolist() and len(got) > 10
+    assert column(dsp.butterworth(d, (5, 15), 250.0, kind="bandpass", columns=["x"], chunk=1000), "x", 2) == [None] * 20
+
+
+def test_sections_are_the_polynomials():
+    for cutoff, kind in ((5.0, "lowpass"), (0.5, "highpass"), ((3.0, 12.0), "bandpass"), ((0.5, 20.0), "bandpass")):
+        for order in (2, 5):
+            f, (b, a) = dsp.Sections(cutoff, 50.0, order, kind), dsp.design(cutoff, 50.0, order, kind)
+            z = np.exp(-2j * np.pi * np.linspace(0.01, 0.49, 50))
+            whole = np.prod([(r[0] + r[1] * z + r[2] * z**2) / (1 + r[3] * z + r[4] * z**2) for r in f.rows], axis=0)
+            assert whole == pytest.approx(np.polyval(b[::-1], z) / np.polyval(a[::-1], z), rel=1e-4, abs=1e-9)
+
+
+def test_pulse_backtracking_by_the_plain_rule():
+    """After ten quiet seconds the ring takes the level of what follows the last onset; the threshold moves with an onset."""
+    sr = 20
+    x = np.random.default_rng(3).uniform(0, 0.2, 90 * sr)
+    for k in [*range(20, 600, 20), *range(1100, 1500, 20)]:
+        x[k : k + 3] = [0.5, 1.0, 0.6] if k < 600 else [0.3, 0.55, 0.3]
+    for backtracking in (0.0, 1.0):
+        level = x[: 10 * sr].mean() + 2 * x[: 10 * sr].std()
+        cut, w, ring, turn, onsets = level - x[: 10 * sr].std(), int(sr / (1000 / 150)), [level] * 10, 0, []
+        i, j, back = w, 0, 0
+        while i < len(x) - 10 * sr:
+            if x[i] > cut:
+                j = max(range(i - w, i + w), key=lambda q: (x[q], -q))
+                onsets.append(j)
+                turn = (turn + 1) % 10
+                ring[turn] = x[j]
+                cut = np.median(ring) - 2 * np.std(ring)
+                i, back = i + 3 * w - 1, j
+            i += 1
+            if backtracking and j < i - 10 * sr:
+                ring = [3 * x[j + sr : j + 11 * sr].mean()] * 10
+                i, back = back + w, back + 5 * sr
+        assert detectors.pulse_onsets_of(x, sr, backtracking).tolist() == onsets and len(onsets) >= 10
