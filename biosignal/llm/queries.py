@@ -1,16 +1,31 @@
-"""The pN_ queries of the text problems, and their SQL where SQL can say it."""
+"""The pN_ queries of the problems tagged llm, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from biosignal.llm.clusters import describe_clusters, place_clusters
 from biosignal.llm.leaks import find_leaks, remove_leaks
 from biosignal.llm.mixing import mixture
 from biosignal.llm.stuffing import stuffed_pages
 from biosignal.sources.tables import load
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of probe fixes that belong to the same cluster."""
+    member = place_clusters(load(spark, folder, "android_phone_location")).select("id", "cluster_id")
+    probes = load(spark, folder, "probe_fixes").select(F.col("ping_id").alias("id")).distinct()
+    own = member.join(probes, "id")
+    a, b = own.select(F.col("id").alias("ping_a"), "cluster_id"), own.select(F.col("id").alias("ping_b"), "cluster_id")
+    return a.join(b, "cluster_id").where(F.col("ping_a") < F.col("ping_b")).select("ping_a", "ping_b")
+
+
+def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Size and most typical fixes of every cluster of places."""
+    return describe_clusters(place_clusters(load(spark, folder, "android_phone_location")))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold the wording of an evaluation item, with the item."""
     return find_leaks(load(spark, folder, "documents"), load(spark, folder, "eval_items")).select(F.col("id").alias("doc_id"), "item_id").distinct()
@@ -55,7 +70,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffed_pages(load(spark, folder, "documents")).where("is_stuffed").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_report": p6_report, "p6_clean": p6_clean, "p7_found": p7_found, "p7_shares": p7_shares, "p7_uses": p7_uses, "p8_found": p8_found, "p8_measures": p8_measures}
+QUERIES = {"p4_found": p4_found, "p4_clusters": p4_clusters, "p6_found": p6_found, "p6_report": p6_report, "p6_clean": p6_clean, "p7_found": p7_found, "p7_shares": p7_shares, "p7_uses": p7_uses, "p8_found": p8_found, "p8_measures": p8_measures}
 
 SQL = {
     # words and single signs stand for tokens: any tokenizer gives the same sources
