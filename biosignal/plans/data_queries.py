@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biosignal.operators.groups import describe_clusters, place_clusters
 from biosignal.operators.nearby import containing_regions, near_pairs
 from biosignal.operators.outliers import implausible_readings
 from biosignal.operators.regrid import missing_cells, regular_grid
 from biosignal.operators.trips import stops_and_trips
-from biosignal.session import materialise
 from biosignal.sources.tables import load
 
 SLOT_US = 900_000_000
@@ -60,20 +58,6 @@ def p3_near_distances(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("left_id", "right_id", F.floor(F.col("distance_m") * 10).cast("bigint").alias("decimetres"))
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of probe fixes that belong to the same cluster."""
-    member = place_clusters(load(spark, folder, "android_phone_location")).select("id", "cluster_id")
-    probes = load(spark, folder, "probe_fixes").select(F.col("ping_id").alias("id")).distinct()
-    own = member.join(probes, "id")
-    a, b = own.select(F.col("id").alias("ping_a"), "cluster_id"), own.select(F.col("id").alias("ping_b"), "cluster_id")
-    return a.join(b, "cluster_id").where(F.col("ping_a") < F.col("ping_b")).select("ping_a", "ping_b")
-
-
-def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Size and most typical fixes of every cluster of places."""
-    return describe_clusters(materialise(place_clusters(load(spark, folder, "android_phone_location"))))
-
-
 #: Milliseconds of each unit, and what an interval between heart beats can be.
 UNIT_MS = {"ns": 1e-6, "us": 1e-3, "ms": 1.0, "s": 1e3}
 HEART_MS = (200.0, 3000.0)
@@ -109,7 +93,7 @@ def p5_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return both.groupBy("signal", "rec_id", "kind").agg(F.count(F.lit(1)).alias("readings"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_episodes": p1_episodes, "p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p3_near_distances": p3_near_distances, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p5_kinds": p5_kinds}
+QUERIES = {"p1_found": p1_found, "p1_episodes": p1_episodes, "p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p3_near_distances": p3_near_distances, "p5_found": p5_found, "p5_kinds": p5_kinds}
 
 _GRID = """
 rec AS (SELECT rec_id, epoch_us(started) AS t0, epoch_us(ended) AS t1, step_ms * 1000 AS step FROM recordings

@@ -44,4 +44,4 @@ def test_registry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert {f"p{n}_found" for n in range(1, 6)} <= set(entry.queries())
+    assert {f"p{n}_found" for n in (1, 2, 3, 5)} <= set(entry.queries())
