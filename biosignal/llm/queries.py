@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from biosignal.llm.clusters import describe_clusters, place_clusters
 from biosignal.llm.leaks import find_leaks, remove_leaks
-from biosignal.llm.mixing import mixture
+from biosignal.llm.mixing import mixture, plan_of
 from biosignal.llm.stuffing import stuffed_pages
 from biosignal.sources.tables import load
 
@@ -46,7 +46,7 @@ def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sources that cannot reach their target share of the tokens."""
-    return mixture(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))[1].where(~F.col("reached")).select("source")
+    return plan_of(load(spark, folder, "documents"), load(spark, folder, "mix_targets")).where(~F.col("reached")).select("source")
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from biosignal.llm.mixing import count_tokens, mixture, thresholds
+from biosignal.llm.mixing import count_tokens, mixture, plan_of, thresholds
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -26,7 +26,7 @@ def corpus():
 
 def test_shares_and_uses(spark):
     rows = corpus()
-    uses, report = mixture(docs(spark, rows), targets(spark, [("big", 0.5, 1), ("Mid", 0.3, 2), ("small", 0.2, 3), ("none", 0.0, 1)]))
+    uses, report = mixture(docs(spark, rows), targets(spark, [("big", 0.5, 1), ("Mid", 0.3, 2), ("small", 0.2, 3), ("none", 0.0, 1)]), fit="total")
     rep = {r.source: r for r in report.collect()}
     size = {r[0]: (r[2] or "").count("word") for r in rows if r[0] is not None}
     u = uses.collect()
@@ -45,6 +45,24 @@ def test_shares_and_uses(spark):
     assert abs(sum(r.actual_share for r in rep.values()) - 1) < 1e-9
 
 
+def test_every_source_makes_up_its_share(spark):
+    rng = random.Random(5)
+    rows = [(k, s, "word " * rng.randint(1, 9)) for k, s in enumerate(["big"] * 3000 + ["mid"] * 800 + ["small"] * 300)]
+    want = {"big": (0.5, 1), "mid": (0.3, 2), "small": (0.2, 1), "none": (0.0, 4)}
+    t = targets(spark, [(s, *v) for s, v in want.items()])
+    uses, report = mixture(docs(spark, rows), t)
+    rep = {r.source: r for r in report.collect()}
+    assert all(abs(rep[s].actual_share - want[s][0]) < 0.005 for s in want)
+    assert rep["small"].used_tokens == rep["small"].own_tokens  # no larger total would do
+    assert [rep[s].reached for s in want] == [True, True, False, True]
+    used: dict = {}
+    for r in uses.collect():
+        used[r.source] = used.get(r.source, 0) + r.tokens * r.uses
+        assert 1 <= r.uses <= want[r.source][1]
+    assert used == {s: rep[s].used_tokens for s in used}
+    assert {(r.source, r.reached) for r in plan_of(docs(spark, rows), t).collect()} == {(s, rep[s].reached) for s in want}
+
+
 def test_larger_budgets_take_supersets(spark):
     rows, got = corpus(), []
     for share in (0.1, 0.4, 0.7):
