@@ -5,8 +5,11 @@ word numbers, looks all its windows up at once, and only documents with hits are
 extended along the item to both sides, over single words that are altered, dropped or added, and verified: at least
 `exact` words in a row, or at least `fuzzy` words in order with at least `run` words on average between edits.
 
+Windows are as long as a passage allows: of words with `run` on average between edits, some `run` stand in a row.
+
 The set is broadcast only up to `max_grams` n-grams. More items are scanned in blocks of items of that size, each a
-pass of its own over the documents: a stated query set against all rows. The corpus itself is never moved.
+pass of its own over the documents: a stated query set against all rows. The corpus itself is never moved: spans are cut
+where they are found.
 """
 
 from __future__ import annotations
@@ -19,23 +22,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biosignal.llm.words import words
+from biosignal.llm.words import word_spans, words
 
-GRAM = 3
+#: Words of a window, at most.
+GRAM = 5
 
 
 class Index:
     """The n-grams of a block of items as sorted numbers, with the places where each occurs."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[tuple[int, str]], gram: int = GRAM):
+        self.ids, self.gram = [i for i, _ in items], gram
         texts = [words(t) for _, t in items]
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
-        self.size = len(self.vocabulary) + 1
         self.items = [[self.vocabulary[w] for w in t] for t in texts]
-        codes, item, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        codes, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, t in enumerate(self.items):
-            c = self.codes(np.array(t, np.int64))
+            c = self.codes(np.array(t, np.int64))[0]
             codes.append(c)
             item.append(np.full(len(c), k))
             place.append(np.arange(len(c)))
@@ -50,17 +53,18 @@ class Index:
         index.__dict__.update(parts)
         return index
 
-    def codes(self, numbers: np.ndarray) -> np.ndarray:
-        """A number for each window of GRAM words; words outside the vocabulary are -1 and make a negative number."""
-        if len(numbers) < GRAM:
-            return np.zeros(0, np.int64)
-        out = np.zeros(len(numbers) - GRAM + 1, np.int64)
-        for k in range(GRAM):
-            out = out * self.size + numbers[k : len(numbers) - GRAM + 1 + k]
-        known = np.ones(len(out), bool)
-        for k in range(GRAM):
-            known &= numbers[k : len(numbers) - GRAM + 1 + k] >= 0
-        return np.where(known, out, -1)
+    def codes(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A hash for each window of words, and whether all its words are in the vocabulary; others have the number -1. What
+        has the same hash is compared word by word when the hit is extended."""
+        n = len(numbers) - self.gram + 1
+        if n < 1:
+            return np.zeros(0, np.uint64), np.zeros(0, bool)
+        out, known = np.zeros(n, np.uint64), np.ones(n, bool)
+        for k in range(self.gram):
+            part = numbers[k : n + k]
+            out = (out + (part + 1).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            known &= part >= 0
+        return out, known
 
 
 def extend(doc: list[int], item: list[int], i: int, j: int, step: int) -> tuple[int, int, int, int]:
@@ -119,33 +123,47 @@ def leaks_of(doc: list[int], hits: dict[int, list[tuple[int, int]]], index: Inde
     return out
 
 
-def _scan(frames: Iterable[pd.DataFrame], index: Index, exact: int, fuzzy: int, run: float) -> Iterator[pd.DataFrame]:
-    lookup, grams = index.vocabulary, np.unique(index.code)
-    for frame in frames:
-        docs = [[lookup.get(w, -1) for w in words(t)] for t in frame.text]
-        length = np.array([len(d) for d in docs], np.int64)
-        if not length.sum() or not len(grams):
-            continue
-        codes = index.codes(np.fromiter((w for d in docs for w in [*d, -1]), np.int64, int(length.sum()) + len(docs)))
-        at = np.searchsorted(grams, codes)
-        hit = np.flatnonzero((codes >= 0) & (grams[np.minimum(at, len(grams) - 1)] == codes))
-        first = np.cumsum(length + 1) - (length + 1)
-        owner = np.searchsorted(first, hit, side="right") - 1
-        rows = []
-        for d, own in pd.Series(hit).groupby(owner):
-            own = own.to_numpy()
-            hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            lo, hi = np.searchsorted(index.code, codes[own]), np.searchsorted(index.code, codes[own], side="right")
-            for p, a, b in zip((own - first[d]).tolist(), lo.tolist(), hi.tolist()):
-                for k in range(a, b):
-                    hits[int(index.item[k])].append((p, int(index.place[k])))
-            # a run of `exact` words has exact - 2 windows; `fuzzy` words with edits have at least a third as many
-            least = min(exact - GRAM + 1, fuzzy // 4)
-            hits = {i: p for i, p in hits.items() if len(p) >= least}
-            for item, total, edits, start, end in leaks_of(docs[d], hits, index, exact, fuzzy, run):
-                rows.append((frame.id.iloc[d], index.ids[item], total, edits, start, end))
-        if rows:
-            yield pd.DataFrame(rows, columns=["id", "item_id", "words", "edits", "first_word", "last_word"])
+def _scan(texts: list[str], index: Index, exact: int, fuzzy: int, run: float) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(document, item, words, edits, first word, last word) of every passage in a batch of texts; items by their number."""
+    lookup, grams, gram = index.vocabulary, np.unique(index.code), index.gram
+    docs = [[lookup.get(w, -1) for w in words(t)] for t in texts]
+    length = np.array([len(d) for d in docs], np.int64)
+    if not length.sum() or not len(grams):
+        return
+    codes, known = index.codes(np.fromiter((w for d in docs for w in [*d, -1]), np.int64, int(length.sum()) + len(docs)))
+    at = np.searchsorted(grams, codes)
+    hit = np.flatnonzero(known & (grams[np.minimum(at, len(grams) - 1)] == codes))
+    first = np.cumsum(length + 1) - (length + 1)
+    owner = np.searchsorted(first, hit, side="right") - 1
+    # windows that a passage has: of `exact` words in a row, and of `fuzzy` words in runs of `run` on average
+    least = max(1, min(exact - gram + 1, int(np.ceil(fuzzy * (1 - (gram - 1) / run)))))
+    for d, own in pd.Series(hit).groupby(owner):
+        own = own.to_numpy()
+        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        lo, hi = np.searchsorted(index.code, codes[own]), np.searchsorted(index.code, codes[own], side="right")
+        for p, a, b in zip((own - first[d]).tolist(), lo.tolist(), hi.tolist()):
+            for k in range(a, b):
+                hits[int(index.item[k])].append((p, int(index.place[k])))
+        hits = {i: p for i, p in hits.items() if len(p) >= least}
+        for item, total, edits, start, end in leaks_of(docs[d], hits, index, exact, fuzzy, run):
+            yield d, item, total, edits, start, end
+
+
+def _blocks(docs: DataFrame, items: DataFrame, item: str, prompt: str, exact: int, run: float, max_grams: int) -> list:
+    """Broadcast indexes of the items, which are a stated query set, each of a bounded number of words."""
+    rows = items.where(F.col(item).isNotNull() & F.col(prompt).isNotNull()).select(F.col(item).alias("i"), F.col(prompt).alias("p")).distinct()
+    gram = max(1, min(GRAM, exact, int(run)))
+    out, block, held = [], [], 0
+    share = lambda b: out.append(docs.sparkSession.sparkContext.broadcast(vars(Index(b, gram))))
+    for r in rows.orderBy("i").toLocalIterator():
+        grams = len(r.p.split()) * 2
+        if held and held + grams > max_grams:
+            share(block)
+            block, held = [], 0
+        block.append((r.i, r.p))
+        held += grams
+    share(block)
+    return out
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", prompt: str = "prompt", *, exact: int = 12, fuzzy: int = 30, run: float = 5.0, max_grams: int = 2_000_000) -> DataFrame:
@@ -157,52 +175,73 @@ def find_leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str
     share a passage all count. Other columns of either input are ignored. Empty in, empty out.
     """
     kinds = dict(docs.dtypes)[id], dict(items.dtypes)[item]
-    # the items are a stated query set: they are read in blocks, each of a bounded number of words
-    rows = items.where(F.col(item).isNotNull() & F.col(prompt).isNotNull()).select(F.col(item).alias("i"), F.col(prompt).alias("p")).distinct()
-    blocks: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for r in rows.orderBy("i").toLocalIterator():
-        grams = len(r.p.split()) * 2
-        if held and held + grams > max_grams:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r.i, r.p))
-        held += grams
     d = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
+
+    def run_over(shared):
+        def scan(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = Index.of(shared.value)
+            for f in frames:
+                rows = [(f.id.iloc[d], index.ids[i], *rest) for d, i, *rest in _scan(list(f.text), index, exact, fuzzy, run)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["id", "item_id", "words", "edits", "first_word", "last_word"])
+
+        return d.mapInPandas(scan, f"id {kinds[0]}, item_id {kinds[1]}, words int, edits int, first_word int, last_word int")
+
     out = None
-    for block in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(vars(Index(block)))
-        found = d.mapInPandas(lambda frames, shared=shared: _scan(frames, Index.of(shared.value), exact, fuzzy, run), f"id {kinds[0]}, item_id {kinds[1]}, words int, edits int, first_word int, last_word int")
-        out = found if out is None else out.unionByName(found)
+    for shared in _blocks(docs, items, item, prompt, exact, run, max_grams):
+        out = run_over(shared) if out is None else out.unionByName(run_over(shared))
     return out
 
 
-def remove_leaks(docs: DataFrame, leaks: DataFrame, id: str = "doc_id", text: str = "text", *, most: float = 0.5) -> DataFrame:
+def cut_words(text: str, spans: Iterable[tuple[int, int]], most: float) -> tuple[str, int, bool]:
+    """(text, words cut, keep) without the spans (first and last word): from the first character of a span's first word to
+    the last one of its last word; all other characters stay as they are. keep: not more than `most` of the words are cut."""
+    at = word_spans(text)
+    gone = np.zeros(len(at), bool)
+    for a, b in spans:
+        gone[a : b + 1] = True
+    out, kept, k = [], 0, 0
+    while k < len(at):
+        if gone[k]:
+            e = k
+            while e + 1 < len(at) and gone[e + 1]:
+                e += 1
+            out.append(text[kept : at[k][0]])
+            kept, k = at[e][1], e
+        k += 1
+    return "".join(out) + text[kept:], int(gone.sum()), bool(gone.sum() <= most * len(at))
+
+
+def remove_leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", prompt: str = "prompt", *, most: float = 0.5, exact: int = 12, fuzzy: int = 30, run: float = 5.0, max_grams: int = 2_000_000) -> DataFrame:
     """The documents without what leaked: a document of whose words more than `most` leaked is dropped, of the others all
-    spans are cut out. Adds `removed_words`. Documents without a leak stay as they are."""
-    from biosignal.llm.words import WORD, plain
-
-    spans = leaks.groupBy(F.col("id").alias("__leak_id")).agg(F.collect_set(F.struct("first_word", "last_word")).alias("__spans"))
+    passages that find_leaks reports are cut out of the text as it is written. Adds `removed_words`.
 
-    def cut(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts, removed, keep = [], [], []
-            for t, s in zip(f[text], f["__spans"]):
-                if s is None or t is None:
-                    texts.append(t), removed.append(0), keep.append(True)
-                    continue
-                body = plain(t)
-                at = [m.span() for m in WORD.finditer(body)]
-                gone = sorted({k for a in s for k in range(a["first_word"], a["last_word"] + 1)})
-                drop = np.zeros(len(body), bool)
-                for k in gone:
-                    drop[at[k][0] : at[k + 1][0] if k + 1 < len(at) else len(body)] = True
-                texts.append("".join(c for c, d in zip(body, drop) if not d).strip())
-                removed.append(len(gone))
-                keep.append(len(gone) <= most * len(at))
-            f = f.drop(columns="__spans").assign(**{text: texts, "removed_words": removed})
-            yield f[np.array(keep, bool)] if len(f) else f
-
-    whole = docs.join(spans, F.col(id) == F.col("__leak_id"), "left").drop("__leak_id")
+    Documents without a leak and NULL and empty texts stay as they are; rows without an id are cleaned, too. Nothing is
+    shuffled: every block of items adds its spans to the documents it scans, and the last one cuts.
+    """
+    spans = "__spans"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return whole.mapInPandas(cut, f"{fields}, removed_words int")
+    shares = _blocks(docs, items, item, prompt, exact, run, max_grams)
+
+    def pass_over(shared, first: bool, last: bool):
+        def scan(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = Index.of(shared.value)
+            for f in frames:
+                own = [[] if first else [tuple(s) for s in held] for held in (f[text] if first else f[spans])]
+                texts = list(f[text])
+                for d, _, _, _, start, end in _scan(texts, index, exact, fuzzy, run):
+                    own[d].append((start, end))
+                if not last:
+                    yield f.assign(**{spans: [[list(s) for s in o] for o in own]})
+                    continue
+                cut = [cut_words(t, o, most) if o else (t, 0, True) for t, o in zip(texts, own)]
+                f = f.drop(columns=[] if first else [spans]).assign(**{text: [c[0] for c in cut], "removed_words": [c[1] for c in cut]})
+                yield f[np.array([c[2] for c in cut], bool)]
+
+        return scan
+
+    out = docs
+    for k, shared in enumerate(shares):
+        last = k == len(shares) - 1
+        out = out.mapInPandas(pass_over(shared, k == 0, last), f"{fields}, " + ("removed_words int" if last else f"{spans} array<array<int>>"))
+    return out

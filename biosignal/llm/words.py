@@ -35,3 +35,43 @@ def plain(text: str) -> str:
 def words(text: str | None) -> list[str]:
     """Runs of letters and digits of the plain text."""
     return WORD.findall(plain(text)) if text else []
+
+
+#: What html.unescape takes for a character reference.
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+
+
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where each of words(text) begins and ends in the text as it is written."""
+    chars, start, end = list(text), list(range(len(text))), list(range(1, len(text) + 1))
+
+    def replaced(pattern: re.Pattern, by) -> None:
+        """Put by(match) in the place of every match; each of its characters stands for the whole match."""
+        nonlocal chars, start, end
+        whole, at = "".join(chars), 0
+        c, s, e = [], [], []
+        for m in pattern.finditer(whole):
+            new = by(m.group())
+            c += chars[at : m.start()] + list(new)
+            s += start[at : m.start()] + [start[m.start()]] * len(new)
+            e += end[at : m.start()] + [end[m.end() - 1]] * len(new)
+            at = m.end()
+        chars, start, end = c + chars[at:], s + start[at:], e + end[at:]
+
+    if "&" in text:
+        replaced(REFERENCE, html.unescape)
+    if "<" in chars or "[" in chars:
+        replaced(BLOCK, lambda _: " ")
+        replaced(INLINE, lambda _: "")
+    out, s, e = [], [], []
+    for c, a, b in zip(chars, start, end):
+        if c.isascii():
+            new = c.lower()
+        else:
+            new = "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) not in ("Mn", "Cf")).casefold().translate(LOOKALIKES)
+        if not new and e:  # a mark belongs to the character before it
+            e[-1] = max(e[-1], b)
+        out.append(new)
+        s += [a] * len(new)
+        e += [b] * len(new)
+    return [(s[m.start()], e[m.end() - 1]) for m in WORD.finditer("".join(out))]

@@ -1,7 +1,9 @@
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from biosignal.llm.leaks import find_leaks, remove_leaks
-from biosignal.llm.words import plain, words
+from biosignal.llm.words import plain, word_spans, words
 
 PASSAGE = "the archive of the old harbour keeps four hundred letters in which a surveyor complains about the mayor and praises the bakers while their ferry waits near that stone bridge until every traveller has paid two silver coins for bread"
 OTHER = "during one winter nobody sold blankets to our garrison because its captain refused any offer from merchants who promised acres beside rivers"
@@ -73,11 +75,9 @@ def test_null_ids_and_empty_tables(spark):
 
 
 def test_removal(spark):
-    texts = [f"good words before this {w(0, 13)} and many more good words that stay after it for long", PASSAGE, "clean", None]
-    d = docs(spark, texts)
-    out = {r.doc_id: (r.text, r.removed_words) for r in remove_leaks(d, find_leaks(d, items(spark))).collect()}
-    assert out.keys() == {0, 2, 3} and out[2] == ("clean", 0) and out[3] == (None, 0)
-    assert out[0][1] == 13 and "archive" not in out[0][0] and out[0][0].startswith("good words before this") and out[0][0].endswith("for long")
+    texts = [f"Good words, before <b>this</b>: {w(0, 13)}! And many more GÖÖD words that stay after it for long", PASSAGE, "clean", None, ""]
+    out = {r.doc_id: (r.text, r.removed_words) for r in remove_leaks(docs(spark, texts), items(spark)).collect()}
+    assert out == {0: ("Good words, before <b>this</b>: ! And many more GÖÖD words that stay after it for long", 13), 2: ("clean", 0), 3: (None, 0), 4: ("", 0)}
 
 
 def test_removal_of_every_passage_of_an_item(spark):
@@ -86,12 +86,39 @@ def test_removal_of_every_passage_of_an_item(spark):
     d = docs(spark, texts)
     leaks = find_leaks(d, items(spark).where("item_id = 2"))
     assert {(r.first_word, r.last_word) for r in leaks.where("id = 0").collect()} == {(18, 30), (49, 66)}
-    out = {r.doc_id: (r.text, r.removed_words) for r in remove_leaks(d, leaks).collect()}
-    # of the second document more than half leaked; the spans of the third touch
-    assert out == {0: (f"{own} {own} {own}", 31), 2: (f"{own} {own} {own}", 40)}
+    for most in (2_000_000, 10):  # in one block of items, and in several
+        out = {r.doc_id: (r.text, r.removed_words) for r in remove_leaks(d, items(spark).where("item_id <= 3"), max_grams=most).collect()}
+        # of the second document more than half leaked; the spans of the third touch
+        assert out == {0: (f"{own}  {own}  {own}", 31), 2: (f"{own}  {own} {own}", 40)}
     assert find_leaks(docs(spark, [r[0] for r in out.values()]), items(spark)).count() == 0
 
 
+def test_removal_keeps_all_other_characters(spark):
+    before, after = "Café Müller in Zürich &amp; <i>mehr</i>,\r\n\tÅ ﬁne ", " (e\u0301tait) – das Ende&nbsp;… <b>today</b> ẞ"
+    forms = [w(0, 14), w(0, 14).upper().replace(" ", "&nbsp;<br>\n"), "\u00ad".join(w(0, 14)), w(0, 14).replace("a", "a\u0301"), " ".join(f"<i>{x}</i>," for x in w(0, 14).split())]
+    texts = [before * 5 + f + after * 5 for f in forms]
+    out = {r.doc_id: r.text for r in remove_leaks(docs(spark, texts), items(spark)).collect()}
+    assert all(out[k] == before * 5 + after * 5 for k in range(4))
+    assert out[4] == before * 5 + "<i></i>," + after * 5
+
+
+@given(st.text(alphabet="aBß 1&;<>[]/bi#xnpqm\u0301\u00adéﬁ가각。'\n", max_size=40))
+def test_spans_are_those_of_the_words(text):
+    spans = word_spans(text)
+    assert len(spans) == len(words(text)) and all(0 <= a < b <= len(text) for a, b in spans)
+    assert all(p[1] <= q[1] and p[0] <= q[0] for p, q in zip(spans, spans[1:]))
+
+
+def test_shortest_runs_that_are_found(spark):
+    """Five words between edits are seeds enough; with fewer, and whatever the parameters, windows are shorter."""
+    t = PASSAGE.split()
+    fives = [x if k % 6 < 5 else "so" for k, x in enumerate(t[:35])]
+    assert found(spark, [" ".join(fives)]) == {(0, 1), (0, 2)}
+    assert found(spark, [" ".join(t[:4]) + " but"], exact=4, fuzzy=30) == {(0, 1), (0, 2)}
+    threes = [x if k % 4 < 3 else "so" for k, x in enumerate(t)]
+    assert found(spark, [" ".join(threes)], fuzzy=20, run=3.0) == {(0, 1), (0, 2)}
+
+
 def test_words():
     assert words(None) == [] and words("") == []
     assert words("A&amp;B don't <b>st</b>op[/b] 3.5") == ["a", "b", "don", "t", "stop", "3", "5"]
