@@ -1,11 +1,14 @@
 """Pages of repeated keywords, lists of links and product tags instead of sentences.
 
-The body of a page (without quotes and signature) is cut into tokens, and a suffix automaton of the tokens is built.
-Walking the page through it gives, at each token, the longest phrase ending there that occurs at least `often` times:
-the characters covered by repeated maximal phrases. Coverage alone also finds talk in set phrases, so it is combined
-with what a sentence has and a list has not: a line counts as a clause by its share of function words. Characters of a
-line count as stuffing when it has no clause and is made of links, tags or repeated phrases, or when, clause or not,
-phrases of content words that recur all over the page fill it.
+The body of a page (without quotes and signature) is cut into tokens: words, numbers, links, and single characters of scripts
+that write no spaces. The repeated substrings of a page are the classes of its suffix automaton that occur more than once.
+They are taken from sorted suffixes with common prefixes, which hold the same classes as the automaton and, unlike it, are
+built for a whole batch of pages at once in array operations. What repeated maximal substrings cover is one measure.
+
+Coverage alone also finds talk in set phrases, so it is combined with what a sentence has and a list has not. No list of words
+is needed for that, and no language: a clause ends with a stop, its words are joined by few commas and signs, and it says
+something that is not said again on the page. Characters of a line count as stuffing when it is no clause and is made of links,
+tags or repeated phrases, or when, clause or not, a phrase that recurs all over the page fills it.
 """
 
 from __future__ import annotations
@@ -20,18 +23,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Common function words of the languages handled.
-FUNCTION_WORDS = {
-    "en": "a about after all an and any are as at be before been but by can could did do does for from had has have he her here his how i if in into is it its just me more most my no nobody not of off on once one or our out over she so some than that the their them then there they this to too was we were what when where which while who whom why will with without would you your",
-    "de": "aber als am an auch auf aus bei beim bin bis da daneben das dass dem den der des die dir doch du ein eine einem einen einer es finde für früher habe haben hat hatte ich im in ist jemand man mehr mein meine mich mir mit nach neben nicht nichts noch nur ob oder ohne schon sehr sich sie sind so und uns unter vom von vor war was weil wenn wer wie wieder wir wird wo zu zum zur",
-    "fr": "à ai au aux avec ce ces cette chez dans de des du elle en encore entre est et eu il ils je la le les leur lui ma mais me moi mon ne nous on ou où par pas plus pour puis qu quand que qui s sa sans se ses si son sont sur te toi très tu un une vos votre vous y",
-    "es": "al algo alguien antes aunque ayer bien cada como con cuando de del desde después donde el ella en era es esa ese esta este esto está fue ha hasta hay la las le les lo los más me mi mis muy nada ni no nos para pero por porque que qué se según ser si sin sirve sobre son su sus también te tengo un una unos ya yo",
-}
-FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
-
-#: The words that may join the parts of a name.
-JOINING = frozenset("de d' du des à a of en del para".split())
-
 QUOTES = re.compile(r"\[quote[^\]]*\]|\[/quote\]|<blockquote[^>]*>|</blockquote>", re.I)
 # a line after a pipe is a quote, but for the row of a table, with pipes between its cells
 QUOTE_LINE = re.compile(r"^\s*(?:>|&gt;).*$|^[^\S\n]*\|[^\S\n](?:[^\S\n]|[|>]|&gt;)*[^|\n]*$|^.{0,60}\b(?:wrote|schrieb|escribió|a écrit)\s*:\s*$", re.M | re.I)
@@ -41,8 +32,15 @@ MARKUP = re.compile(r"</?[a-z][^<>]*>|\[/?[a-z*]+(?:=[^\[\]]*)?\]", re.I)
 BREAK = re.compile(r"<\s*(?:br|/?p|/?div|/?li|/?tr)\b[^>]*>[ \t]*\n?", re.I)
 JOINT = re.compile(r"\s[|/•·>*-]+\s|[|;•·]|\.\.\.")
 LISTED = re.compile(r"^\s*(?:[-*•+]|\d+[.)])\s|#[^\W\d]")
-SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_]|[¿¡\"'])")
-TOKEN = re.compile("\x01|#[^\\W\\d]\\w*|[^\\W\\d_]+(?:['’][^\\W\\d_]+)*|\\d+(?:[.,:]\\d+)*")
+SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\W\d_]|[¿¡\"'\x01])|(?<=[。！？｡؟।])\s*(?=\S)")
+#: Scripts without spaces between words: Thai to Burmese, Khmer, kana, Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+LETTER = rf"[^\W\d_{UNSPACED}]"
+TOKEN = re.compile(rf"\x01|#[^\W\d]\w*|[{UNSPACED}]|{LETTER}+(?:['’]{LETTER}+)*|\d+(?:[.,:]\d+)*")
+STOP = re.compile(r"[.!?…。！？｡؟।][\s\"'’”»)\]*]*$")
+COMMA = re.compile("[,;:、，；،]")
+#: Letters of a run that is cut into single ones: no word is that long.
+LONGEST = 40
 
 
 def body(text: str) -> str:
@@ -70,83 +68,100 @@ def body(text: str) -> str:
     return html.unescape(QUOTE_LINE.sub("", text))
 
 
-def automaton(tokens: list[int]) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
-    """Suffix automaton: (length, link, occurrences of each state; state after each token; states from short to long)."""
-    length, link, follow, occurs, path = [0], [-1], [{}], [0], []
-    last = 0
-    for c in tokens:
-        now = len(length)
-        length.append(length[last] + 1)
-        link.append(0)
-        follow.append({})
-        occurs.append(1)
-        p = last
-        while p != -1 and c not in follow[p]:
-            follow[p][c] = now
-            p = link[p]
-        if p != -1:
-            q = follow[p][c]
-            if length[p] + 1 == length[q]:
-                link[now] = q
-            else:
-                copy = len(length)
-                length.append(length[p] + 1)
-                link.append(link[q])
-                follow.append(follow[q].copy())
-                occurs.append(0)
-                while p != -1 and follow[p].get(c) == q:
-                    follow[p][c] = copy
-                    p = link[p]
-                link[q] = link[now] = copy
-        last = now
-        path.append(now)
-    order = sorted(range(1, len(length)), key=length.__getitem__)
-    for s in reversed(order):
-        occurs[link[s]] += occurs[s]
-    return length, link, occurs, path, order
-
-
-def repeated(parts: tuple, often: int) -> list[int]:
-    """Of an automaton: at each token the length of the longest phrase that ends there and occurs at least `often` times."""
-    length, link, occurs, path, order = parts
-    best = [0] * len(length)
-    for s in order:
-        best[s] = length[s] if occurs[s] >= often else best[link[s]]
-    return [best[s] for s in path]
-
-
-def keyword(parts: tuple, tokens: list[int], size: list[int], content: list[bool], allowed: list[bool], most_tokens: int = 4) -> tuple[int, float, list[int]]:
-    """Of an automaton: (occurrences, characters, tokens) of the phrase whose occurrences cover most characters.
-
-    It begins and ends with a content word and holds allowed words only.
-    """
-    length, link, occurs, path, _ = parts
-    best = (0, 0.0, [])
-    seen = set()
-    for i, s in enumerate(path):
-        while s > 0 and s not in seen:
-            seen.add(s)
-            if occurs[s] >= 3 and content[i]:
-                for n in range(min(length[s], most_tokens), length[link[s]], -1):
-                    if content[i - n + 1] and all(allowed[i - n + 1 : i + 1]):
-                        chars = float(sum(size[i - n + 1 : i + 1]))
-                        if occurs[s] * chars > best[0] * best[1]:
-                            best = (occurs[s], chars, tokens[i - n + 1 : i + 1])
-                        break
-            s = link[s]
-    return best
-
-
-def covered(spans: list[int]) -> list[bool]:
-    """True for the tokens that lie in one of the phrases ending at each token."""
-    out, low = [False] * len(spans), len(spans)
-    for i in range(len(spans) - 1, -1, -1):
-        if spans[i] and i - spans[i] + 1 < low:
-            low = i - spans[i] + 1
-        out[i] = low <= i
+def suffix_classes(page: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
+    """Of tokens in order of page the class of the substring of 1, 2, 4, ... tokens that begins at each, as far as any
+    substring of that length recurs in its page; one that reaches over the end of its page is in a class of its own kind."""
+    n = len(token)
+    _, rank = np.unique(page * (int(token.max(initial=0)) + 1) + token, return_inverse=True)
+    out, k = [rank], 1
+    while len(rank) and np.bincount(rank).max() > 1:
+        second = np.full(n, -1)
+        same = np.flatnonzero(page[k:] == page[: max(0, n - k)])
+        second[same] = rank[same + k]
+        _, rank = np.unique(rank * (n + 1) + second + 1, return_inverse=True)
+        out.append(rank)
+        k *= 2
+    return out
+
+
+def longest_repeats(page: np.ndarray, classes: list[np.ndarray]) -> np.ndarray:
+    """At each token the length of the longest substring that begins there and occurs elsewhere in its page: the longer of the
+    common prefixes with its neighbours among the sorted suffixes."""
+    n = len(page)
+    if n < 2:
+        return np.zeros(n, int)
+    order = np.argsort(classes[-1], kind="stable")
+    a, b = order[:-1].copy(), order[1:].copy()
+    left = np.r_[np.flatnonzero(page[1:] != page[:-1]) + 1, n][np.cumsum(np.r_[0, page[1:] != page[:-1]])]  # where each page ends
+    end_a, end_b, common = left[a], left[b], np.zeros(n - 1, int)
+    for level in range(len(classes) - 1, -1, -1):
+        step = 1 << level
+        fits = (a + step <= end_a) & (b + step <= end_b)
+        equal = np.zeros(n - 1, bool)
+        equal[fits] = classes[level][a[fits]] == classes[level][b[fits]]
+        common += equal * step
+        a, b = np.where(equal, a + step, a), np.where(equal, b + step, b)
+    out = np.zeros(n, int)
+    np.maximum.at(out, order[:-1], common)
+    np.maximum.at(out, order[1:], common)
     return out
 
 
+def covered(length: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """True for the tokens in one of the substrings that begin at each token, of those that are ok."""
+    n = len(length)
+    step = np.zeros(n + 1, int)
+    at = np.flatnonzero(ok & (length > 0))
+    np.add.at(step, at, 1)
+    np.add.at(step, at + length[at], -1)
+    return np.cumsum(step)[:n] > 0
+
+
+def keywords(page: np.ndarray, pages: int, size: np.ndarray, allowed: np.ndarray, edge: np.ndarray, classes: list[np.ndarray], often: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begins, phrase, times): of each page the substring of up to four tokens whose occurrences cover most characters, at
+    least `often` of them: where it begins, the tokens it covers, and how often it occurs. It holds allowed tokens only, and
+    edge ones at both ends."""
+    n = len(page)
+    begins, phrase, times = np.zeros(n, bool), np.zeros(n, bool), np.zeros(pages, int)
+    upto, blocked = np.r_[0.0, np.cumsum(size)], np.r_[0, np.cumsum(~allowed)]
+    best = np.zeros(pages)
+    chosen: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in (1, 2, 3, 4):
+        if k > n or (k > 1 and len(classes) < 2) or (k == 4 and len(classes) < 3):
+            break
+        at = np.arange(n - k + 1)
+        at = at[(page[at] == page[at + k - 1]) & (blocked[at + k] == blocked[at]) & edge[at] & edge[at + k - 1]]
+        if k == 3:
+            _, of = np.unique(classes[1][at] * (n + 1) + classes[0][at + 2], return_inverse=True)
+        else:
+            of = classes[{1: 0, 2: 1, 4: 2}[k]][at]
+        if not len(at):
+            continue
+        count = np.bincount(of)[of]
+        gain = np.where(count >= often, count * (upto[at + k] - upto[at]), 0.0)
+        top = np.zeros(pages)
+        np.maximum.at(top, page[at], gain)
+        better = top > best
+        # one class a page: that of the first of equal ones
+        mine = np.flatnonzero(better[page[at]] & (gain > 0) & (gain == top[page[at]]))
+        _, first = np.unique(page[at][mine], return_index=True)
+        wanted = np.full(pages, -1)
+        wanted[page[at][mine[first]]] = of[mine[first]]
+        own = at[(of == wanted[page[at]])]
+        times[page[at][mine[first]]] = count[mine[first]]
+        best = np.maximum(best, top)
+        chosen.append((better, own, k))
+    for rank, (better, own, k) in enumerate(chosen):
+        later = np.zeros(pages, bool)
+        for other, _, _ in chosen[rank + 1 :]:
+            later |= other
+        own = own[~later[page[own]]]
+        begins[own] = True
+        for j in range(k):
+            phrase[own + j] = True
+    return begins, phrase, times
+
+
 def sentences(marked: str) -> list[str]:
     """Lines and sentences of a text in which links are \\x01. Lines of plain words that end without a stop go on in the next."""
     out: list[str] = []
@@ -164,95 +179,91 @@ def sentences(marked: str) -> list[str]:
     return [s for s in out + (SENTENCE.split(held) if held else []) if s and not s.isspace()]
 
 
-FUNCTION_WORD, JOINING_WORD, IS_LINK, IS_NUMBER, IS_TAG = 1, 2, 4, 8, 16
+IS_LINK, IS_NUMBER, IS_TAG = 1, 2, 4
 
 
 def _fact(token: str) -> tuple[str, int, int]:
-    """(key, characters, bits of FUNCTION_WORD ... IS_TAG) of a token. Spellings of a tag with and without
-    a joint have one key, and all numbers."""
+    """(key, characters, bits of IS_LINK ... IS_TAG) of a token. Spellings of a tag with and without a joint have one key,
+    and all numbers."""
     low = token.lower()
     link, number = low == "\x01", low[0].isdigit()
     key = low if link else "0" if number else low.replace("_", "").replace("#", "")
-    return key, len(token) + 1, (low in FUNCTION) | (low in JOINING) << 1 | link << 2 | number << 3 | (low[0] == "#" and len(low) > 1) << 4
+    spaced = not (len(low) == 1 and UNSPACED_SIGN.match(low))
+    return key, len(token) + spaced, link | number << 1 | (low[0] == "#" and len(low) > 1) << 2
+
+
+UNSPACED_SIGN = re.compile(f"[{UNSPACED}]")
 
 
 class Pages:
-    """The lines and tokens of a batch of pages, side by side: what is counted by line is counted for all of them at once."""
+    """The lines and tokens of a batch of pages, side by side: what is counted is counted for all of them at once."""
 
     def __init__(self) -> None:
-        self.page, self.chars, self.links, self.joints = [], [], [], []  # of each line
-        self.line, self.size, self.bits, self.cover, self.phrase, self.begins = [], [], [], [], [], []  # of each token
-        self.total, self.times = [], []  # of each page
+        self.page, self.chars, self.links, self.joints, self.commas, self.stops = [], [], [], [], [], []  # of each line
+        self.line, self.key, self.size, self.bits = [], [], [], []  # of each token
+        self.total, self.number = [], {}  # of each page; of each key
 
     def add(self, text: str | None, known: dict) -> None:
-        at, page = len(self.page), len(self.total)
+        page, number = len(self.total), self.number
         self.total.append(0)
-        self.times.append(0)
         if not text:
             return
         plain = unicodedata.normalize("NFKC", body(text))
         marked = LINK.sub(lambda m: "\x01" + "\x02" * (len(m.group()) - 1), plain)
         lines = sentences(MARKUP.sub(" ", marked))
-        facts = []
-        for k, line in enumerate(lines, at):
+        for k, line in enumerate(lines, len(self.page)):
             for t in TOKEN.findall(line):
-                f = known.get(t)
-                if f is None:
-                    f = known[t] = _fact(t)
-                facts.append(f)
-                self.line.append(k)
+                for t in (t,) if len(t) <= LONGEST or t[0] == "#" or t[0].isdigit() else t:
+                    f = known.get(t)
+                    if f is None:
+                        f = known[t] = _fact(t)
+                    self.key.append(number.setdefault(f[0], len(number)))
+                    self.size.append(f[1])
+                    self.bits.append(f[2])
+                    self.line.append(k)
         chars = [len(s.strip()) for s in lines]
         self.page += [page] * len(lines)
         self.chars += chars
         self.links += [s.count("\x01") + s.count("\x02") for s in lines]
         self.joints += [len(JOINT.findall(s)) for s in lines]
+        self.commas += [len(COMMA.findall(s)) for s in lines]
+        self.stops += [STOP.search(s) is not None for s in lines]
         self.total[page] = sum(chars)
-        number: dict[str, int] = {}
-        ids = [number.setdefault(f[0], len(number)) for f in facts]
-        sizes, bits = [f[1] for f in facts], [f[2] for f in facts]
-        self.size += sizes
-        self.bits += bits
-        content = [not b & FUNCTION_WORD for b in bits]
-        allowed = [not b & (IS_LINK | IS_NUMBER) and (not b & FUNCTION_WORD or bool(b & JOINING_WORD)) for b in bits]
-        states = automaton(ids)
-        self.cover += covered(repeated(states, 2))
-        # the keyword is a phrase of content words, perhaps joined
-        times, _, best = keyword(states, ids, sizes, content, allowed)
-        self.times[page] = times
-        phrase, begins, n = [False] * len(ids), [False] * len(ids), len(best)
-        if times:
-            for i, t in enumerate(ids):
-                if t == best[0] and ids[i : i + n] == best:
-                    begins[i] = True
-                    phrase[i : i + n] = [True] * n
-        self.phrase += phrase
-        self.begins += begins
 
     def measures(self) -> dict[str, np.ndarray]:
         pages, n = len(self.total), len(self.page)
         page, chars, link_chars, joints = np.array(self.page, int), np.array(self.chars, float), np.array(self.links, float), np.array(self.joints, int)
-        of, size, bits = np.array(self.line, int), np.array(self.size, float), np.array(self.bits, int)
-        phrase = np.array(self.phrase, bool)
+        of, size, bits, key = np.array(self.line, int), np.array(self.size, float), np.array(self.bits, int), np.array(self.key, int)
+        owner = page[of]
         is_link, word = bits & IS_LINK > 0, bits & (IS_LINK | IS_NUMBER) == 0
-        cover = np.array(self.cover, bool) & ~is_link
+        classes = suffix_classes(owner, key)
+        length = longest_repeats(owner, classes)
+        begins, phrase, times = keywords(owner, pages, size, word, word & (size > 2), classes)
+        cover = covered(length, np.ones(len(length), bool)) & ~is_link
+        # said again: phrases of words, and words that come a third time
+        others, at = np.r_[0, np.cumsum(~word)], np.arange(len(length))
+        phrases = (length >= 2) & (others[at + length] == others[at])
+        often = np.bincount(classes[0])[classes[0]] if len(key) else np.zeros(0, int)
+        again = covered(np.where(phrases, length, 1), phrases | (often >= 3) & word & (size > 4))
         count = lambda m: np.bincount(of, m, n)
-        words, functions, links, tags = count(word), count(bits & FUNCTION_WORD > 0), count(is_link), count(bits & IS_TAG > 0)
-        letters, held, kept = count(np.where(word, size, 0)), count(np.where(cover & word, size, 0)), count(np.where(phrase, size, 0))
+        words, links, tags = count(word), count(is_link), count(bits & IS_TAG > 0)
+        letters, held, kept = count(np.where(word, size, 0)), count(np.where(again & word, size, 0)), count(np.where(phrase, size, 0))
         wordy = letters >= 0.4 * (chars - link_chars)
         jointed = (joints >= 3) & (words <= 7 * (joints + 1))  # a row of a table, or items with something between them
-        clause = (functions >= 2) & (functions >= 0.16 * words) & ~jointed
+        breaks = np.array(self.commas, int) + joints
+        clause = np.array(self.stops, bool) & (words >= 4) & (words >= 2.5 * (breaks + 1)) & ~jointed & ((times[page] < 6) | (kept < 0.5 * letters))
         linked = link_chars >= 0.4 * chars
-        listed = ~clause & (linked | (tags >= 3) | (links >= 2) | (wordy & (letters > 0) & (held >= 0.4 * letters)) | (wordy & jointed))
+        listed = ~clause & (linked | (tags >= 3) | (links >= 2) | (wordy & (letters > 0) & (held >= 0.5 * letters)) | (wordy & jointed))
         # link after link, with a few words on each
         listed |= linked & (np.bincount(page, links, pages)[page] >= 5) & (words <= 6 * links)
         # sentences written around the keyword
-        filled = wordy & (words >= 4) & (kept >= 0.3 * letters) & (count(np.array(self.begins, bool)) >= 2) & (np.array(self.times, int)[page] >= 6)
+        filled = wordy & (words >= 4) & (kept >= 0.3 * letters) & (count(begins) >= 2) & (times[page] >= 6)
         stuffed = listed | filled
         total = np.array(self.total, int)
         share = lambda x: np.bincount(page, x, pages) / np.maximum(1, total)
-        owner = page[of]
         covers = np.bincount(owner, np.where(cover, size, 0), pages) / np.maximum(1, np.bincount(owner, size, pages))
-        return {"chars": total, "stuffing": share(chars * stuffed), "repeated": covers, "clauses": share(chars * (clause & ~stuffed))}
+        tokens = np.bincount(owner, minlength=pages)
+        return {"chars": total, "tokens": tokens, "stuffing": share(chars * stuffed), "repeated": covers, "clauses": share(chars * (clause & ~stuffed))}
 
 
 def measures(text: str | None) -> tuple[int, float, float, float]:
@@ -263,11 +274,12 @@ def measures(text: str | None) -> tuple[int, float, float, float]:
     return int(m["chars"][0]), float(m["stuffing"][0]), float(m["repeated"][0]), float(m["clauses"][0])
 
 
-def stuffed_pages(docs: DataFrame, id: str = "doc_id", text: str = "text", *, most: float = 0.5, least_chars: int = 40) -> DataFrame:
+def stuffed_pages(docs: DataFrame, id: str = "doc_id", text: str = "text", *, most: float = 0.5, least_chars: int = 40, least_tokens: int = 5) -> DataFrame:
     """(id, chars, stuffing, repeated, clauses, is_stuffed): the measures of each page, and whether more than `most` of its
     body is stuffing.
 
-    NULL and empty texts, and bodies of fewer than `least_chars` characters, are not stuffed; rows without an id take no
+    NULL and empty texts, and bodies of fewer than `least_chars` characters and fewer than `least_tokens` tokens, are not
+    stuffed; rows without an id take no
     part; repeated rows give repeated rows; whole texts are read, however long. Other columns are ignored.
     """
     kind = dict(docs.dtypes)[id]
@@ -276,17 +288,22 @@ def stuffed_pages(docs: DataFrame, id: str = "doc_id", text: str = "text", *, mo
         known: dict = {}
         for f in frames:
             parts = []
-            for a in range(0, len(f), 500):
+            chars = np.cumsum([len(t) if t else 0 for t in f.text])
+            a = 0
+            while a < len(f):  # some hundred pages at once, and of long ones fewer
+                end = max(a + 1, min(a + 500, int(np.searchsorted(chars, (chars[a - 1] if a else 0) + 1_000_000))))
                 pages = Pages()
-                for t in f.text.iloc[a : a + 500]:
+                for t in f.text.iloc[a:end]:
                     pages.add(t, known)
                 parts.append(pd.DataFrame(pages.measures()))
+                a = end
                 if len(known) > 200_000:  # what is known of tokens speeds up a worker's next pages
                     known.clear()
-            out = pd.concat(parts, ignore_index=True)
-            out.insert(0, "id", f.id.to_numpy())
-            out["is_stuffed"] = (out.stuffing > most) & (out.chars >= least_chars)
-            yield out
+            if parts:
+                out = pd.concat(parts, ignore_index=True)
+                out.insert(0, "id", f.id.to_numpy())
+                out["is_stuffed"] = (out.stuffing > most) & ((out.chars >= least_chars) | (out.tokens >= least_tokens))
+                yield out.drop(columns="tokens")
 
     d = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
     return d.mapInPandas(run, f"id {kind}, chars bigint, stuffing double, repeated double, clauses double, is_stuffed boolean")

@@ -1,9 +1,11 @@
 import random
 import time
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from biosignal.llm.stuffing import Pages, automaton, body, covered, measures, repeated, stuffed_pages
+from biosignal.llm.stuffing import Pages, body, covered, keywords, longest_repeats, measures, stuffed_pages, suffix_classes
 
 LETTERS = [f"{c}{v}" for c in "bcdfgklmnprst" for v in "aeiou"]
 TALK = "I drew a plan for the new shed, threw it away and painted the old one instead. Does anyone here know where my neighbour bought the hinges? It rained all weekend, so we had to wait. Thanks for the photos, they helped me a lot. "
@@ -46,30 +48,74 @@ def test_nulls_empty_and_repeats(spark):
     assert stuffed_pages(d.withColumn("doc_id", F.lit(None).cast("string"))).count() == 0
 
 
-def naive(tokens, often):
+def naive(tokens):
     n, out = len(tokens), []
     for i in range(n):
         best = 0
-        for k in range(1, i + 2):
-            p = tokens[i - k + 1 : i + 1]
-            if sum(tokens[a : a + k] == p for a in range(n - k + 1)) >= often:
+        for k in range(1, n - i + 1):
+            if sum(tokens[a : a + k] == tokens[i : i + k] for a in range(n - k + 1)) >= 2:
                 best = k
         out.append(best)
     return out
 
 
-def test_automaton_against_brute_force():
+def test_repeats_against_brute_force():
     rng = random.Random(2)
-    for _ in range(60):
-        t = [rng.randrange(rng.choice([1, 2, 4])) for _ in range(rng.randrange(1, 25))]
-        for often in (2, 3):
-            assert repeated(automaton(t), often) == naive(t, often)
-        length, link, occurs, path, order = automaton(t)
-        assert all(length[link[s]] < length[s] for s in range(1, len(length)))
+    for _ in range(40):
+        texts = [[rng.randrange(rng.choice([1, 2, 4])) for _ in range(rng.randrange(0, 25))] for _ in range(rng.randrange(1, 6))]
+        page = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        token = np.array([x for t in texts for x in t], int)
+        got = longest_repeats(page, suffix_classes(page, token))
+        assert got.tolist() == [x for t in texts for x in naive(t)]
+
+
+def test_keywords_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(40):
+        texts = [[rng.randrange(5) for _ in range(rng.randrange(0, 30))] for _ in range(4)]
+        page, token = np.repeat(np.arange(4), [len(t) for t in texts]), np.array([x for t in texts for x in t], int)
+        size, allowed, edge = 3.0 + token, token != 4, token != 3
+        begins, phrase, times = keywords(page, 4, size, allowed, edge, suffix_classes(page, token))
+        at = 0
+        for p, t in enumerate(texts):
+            best = max([0.0, *(n * (sum(g) + 3 * len(g)) for k in (1, 2, 3, 4) for g in {tuple(t[i : i + k]) for i in range(len(t) - k + 1)} if 4 not in g and 3 not in (g[0], g[-1]) for n in [sum(tuple(t[i : i + k]) == g for i in range(len(t) - k + 1))] if n >= 3)])
+            own = slice(at, at + len(t))
+            at += len(t)
+            if not best:
+                assert times[p] == 0 and not phrase[own].any()
+                continue
+            first = int(np.flatnonzero(begins[own])[0])
+            k = 1
+            while sum(tuple(t[i : i + k]) == tuple(t[first : first + k]) for i in range(len(t) - k + 1)) * (sum(t[first : first + k]) + 3 * k) != best:
+                k += 1
+            assert begins[own].tolist() == [tuple(t[i : i + k]) == tuple(t[first : first + k]) for i in range(len(t))] and times[p] == begins[own].sum()
 
 
 def test_cover():
-    assert covered([0, 0, 2, 0, 1]) == [False, True, True, False, True]
+    assert covered(np.array([0, 0, 2, 0, 1, 3]), np.array([True] * 5 + [False])).tolist() == [False, False, True, True, True, False]
+
+
+OTHER_TALK = {
+    "russian": "Вчера мы ходили в парк и долго гуляли там, потому что погода была хорошая. Потом мы зашли в кафе и выпили чаю с пирогами, а потом пошли в кино и смотрели фильм о море. Мой брат рассказал, как он ездил на море в прошлом году, и мы долго смеялись над его рассказом о море. Если завтра не будет дождя, то мы снова пойдём гулять, только возьмём с собой собаку. Собака у брата большая, но добрая, и она любит гулять в парке.",
+    "polish": "Wczoraj byliśmy w parku i długo tam spacerowaliśmy, bo pogoda była ładna. Potem poszliśmy do kawiarni i wypiliśmy herbatę. Mój brat opowiadał, jak był nad morzem w zeszłym roku, i długo się śmialiśmy. Jeśli jutro nie będzie padać, to znowu pójdziemy na spacer.",
+    "dutch": "Gisteren waren we in het park en we hebben daar lang gewandeld, want het weer was mooi. Daarna gingen we naar het café en dronken we thee. Mijn broer vertelde hoe hij vorig jaar naar zee ging, en we hebben lang gelachen. Als het morgen niet regent, gaan we weer wandelen.",
+    "chinese": "昨天我们去了公园，在那里走了很久，因为天气很好。后来我们去咖啡馆喝了茶。我哥哥讲了他去年去海边的事，我们笑了很久。如果明天不下雨，我们还会去散步，并且带上狗。",
+    "japanese": "昨日は公園に行って、天気がよかったので長いあいだ散歩しました。そのあと喫茶店でお茶を飲みました。兄は去年海に行った話をして、みんなで笑いました。",
+}
+OTHER_SPAM = {
+    "six tags": "#buy #now #cheap #sale #best #price",
+    "chinese without spaces": "便宜手机便宜手机壳便宜手机膜" * 4,
+    "thai": "รองเท้าราคาถูกรองเท้าวิ่งราคาถูกรองเท้าผ้าใบราคาถูกรองเท้าแตะราคาถูก",
+    "run together": "cheapshoescheapshoesonlinecheapshoessalecheapshoesbuycheapshoescheapshoesoutletcheapshoesbest",
+    "russian": "купить лампу, лампа дешево, лампа отзывы, лампа цена, купить лампу онлайн, лампа скидка, лампа купить дешево",
+}
+
+
+@pytest.mark.parametrize("stops", [True, False])
+def test_languages_without_a_list_of_words(spark, stops):
+    talk = OTHER_TALK if stops else {k: t.lower().translate({ord(c): None for c in ".,!?，。、"}) for k, t in OTHER_TALK.items()}
+    out = {(r.id, r.chars > 0): r.is_stuffed for r in stuffed_pages(pages(spark, {f"t{k}": v for k, v in talk.items()} | {f"s{k}": v for k, v in OTHER_SPAM.items()})).collect()}
+    assert {k[0] for k, v in out.items() if v} == {f"s{k}" for k in OTHER_SPAM}
 
 
 def test_very_long_page_is_read_whole():
@@ -95,7 +141,8 @@ def test_one_keyword_on_a_long_page():
     line = "the best {0} shop sells a {0}. "
     pages = Pages()
     pages.add(line.format("lamp") * 2 + "\n" + own + "\n" + line.format("mat") * 2, {})
-    assert pages.times == [4]
+    key, page = np.array(pages.key), np.zeros(len(pages.key), int)
+    assert keywords(page, 1, np.array(pages.size, float), key >= 0, np.array(pages.size) > 2, suffix_classes(page, key))[2].tolist() == [4]
 
 
 def test_body():
