@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 QUOTES = re.compile(r"\[quote[^\]]*\]|\[/quote\]|<blockquote[^>]*>|</blockquote>", re.I)
 # a line after a pipe is a quote, but for the row of a table, with pipes between its cells
 QUOTE_LINE = re.compile(r"^\s*(?:>|&gt;).*$|^[^\S\n]*\|[^\S\n](?:[^\S\n]|[|>]|&gt;)*[^|\n]*$|^.{0,60}\b(?:wrote|schrieb|escribió|a écrit)\s*:\s*$", re.M | re.I)
+#: What every such line has, and what every link has.
+QUOTE_SIGN = re.compile(r"[>|]|&gt;|:[^\S\n]*$", re.M | re.I)
+LINK_SIGN = re.compile(r"\[(?:url|img)|<a\s|://|www|\.[^\W\d_]{2}| \[dot\] ", re.I)
 SIGNATURE = re.compile(r"\n[ \t]*(?:--|—|_{3,}|~{3,}|-{3,}|={3,})[ \t]*\r?\n(?:.*\n?){0,4}\Z")
 LINK = re.compile(r"\[(?:url|img)=?[^\]]*\]|<a\s[^>]*>|\[img\][^\[]*\[/img\]|(?:h(?:tt|xx)ps?://|www\.|www \[dot\] )\S*(?: \[dot\] \S+)*|\b[\w-]+(?:(?:\.| \[dot\] )[\w-]+)*(?:\.| \[dot\] )[a-z]{2,}(?:/\S*|\b(?=[\s,|*\]<]|$))", re.I)
 MARKUP = re.compile(r"</?[a-z][^<>]*>|\[/?[a-z*]+(?:=[^\[\]]*)?\]", re.I)
@@ -37,7 +40,7 @@ SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\W\d_]|[¿¡\"'\x01])|(?<=[。！
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 LETTER = rf"[^\W\d_{UNSPACED}]"
 TOKEN = re.compile(rf"\x01|#[^\W\d]\w*|[{UNSPACED}]|{LETTER}+(?:['’]{LETTER}+)*|\d+(?:[.,:]\d+)*")
-STOP = re.compile(r"[.!?…。！？｡؟।][\s\"'’”»)\]*]*$")
+STOPS, CLOSING = frozenset(".!?…。！？｡؟।"), " \t\r\n\"'’”»)]*"
 COMMA = re.compile("[,;:、，；،]")
 #: Letters of a run that is cut into single ones: no word is that long.
 LONGEST = 40
@@ -64,8 +67,9 @@ def body(text: str) -> str:
             at = m.end()
         out.append(text[at:])
         text = "\n".join(out)
-    text = SIGNATURE.sub("", BREAK.sub("\n", text))
-    return html.unescape(QUOTE_LINE.sub("", text))
+    text = SIGNATURE.sub("", BREAK.sub("\n", text) if "<" in text else text)
+    text = QUOTE_LINE.sub("", text) if QUOTE_SIGN.search(text) else text
+    return html.unescape(text) if "&" in text else text
 
 
 def suffix_classes(page: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
@@ -179,61 +183,77 @@ def sentences(marked: str) -> list[str]:
     return [s for s in out + (SENTENCE.split(held) if held else []) if s and not s.isspace()]
 
 
-IS_LINK, IS_NUMBER, IS_TAG = 1, 2, 4
+IS_LINK, IS_NUMBER, IS_TAG, IS_LONG = 1, 2, 4, 8
+UNSPACED_SIGN = re.compile(f"[{UNSPACED}]")
 
 
-def _fact(token: str) -> tuple[str, int, int]:
-    """(key, characters, bits of IS_LINK ... IS_TAG) of a token. Spellings of a tag with and without a joint have one key,
-    and all numbers."""
-    low = token.lower()
-    link, number = low == "\x01", low[0].isdigit()
-    key = low if link else "0" if number else low.replace("_", "").replace("#", "")
-    spaced = not (len(low) == 1 and UNSPACED_SIGN.match(low))
-    return key, len(token) + spaced, link | number << 1 | (low[0] == "#" and len(low) > 1) << 2
+class Facts(dict):
+    """What a worker knows of the tokens it has seen: the place of each in lists of (key, characters, bits of IS_LINK ...).
 
+    Spellings of a tag with and without a joint have one key, and all numbers.
+    """
 
-UNSPACED_SIGN = re.compile(f"[{UNSPACED}]")
+    def __init__(self) -> None:
+        super().__init__()
+        self.key, self.size, self.bits, self.number = [], [], [], {}
+
+    def __missing__(self, token: str) -> int:
+        low = token.lower()
+        link, number, tag = low == "\x01", low[0].isdigit(), low[0] == "#" and len(low) > 1
+        key = low if link else "0" if number else low.replace("_", "").replace("#", "")
+        spaced = not (len(low) == 1 and UNSPACED_SIGN.match(low))
+        self[token] = len(self.key)
+        self.key.append(self.number.setdefault(key, len(self.number)))
+        self.size.append(len(token) + spaced)
+        self.bits.append(link | number << 1 | tag << 2 | (len(token) > LONGEST and not number and not tag) << 3)
+        return self[token]
 
 
 class Pages:
     """The lines and tokens of a batch of pages, side by side: what is counted is counted for all of them at once."""
 
     def __init__(self) -> None:
-        self.page, self.chars, self.links, self.joints, self.commas, self.stops = [], [], [], [], [], []  # of each line
-        self.line, self.key, self.size, self.bits = [], [], [], []  # of each token
-        self.total, self.number = [], {}  # of each page; of each key
+        self.page, self.chars, self.links, self.joints, self.commas, self.stops, self.count = [], [], [], [], [], [], []  # of each line
+        self.tokens, self.total = [], []  # of each token; of each page
 
-    def add(self, text: str | None, known: dict) -> None:
-        page, number = len(self.total), self.number
+    def add(self, text: str | None) -> None:
+        page = len(self.total)
         self.total.append(0)
         if not text:
             return
-        plain = unicodedata.normalize("NFKC", body(text))
-        marked = LINK.sub(lambda m: "\x01" + "\x02" * (len(m.group()) - 1), plain)
-        lines = sentences(MARKUP.sub(" ", marked))
-        for k, line in enumerate(lines, len(self.page)):
-            for t in TOKEN.findall(line):
-                for t in (t,) if len(t) <= LONGEST or t[0] == "#" or t[0].isdigit() else t:
-                    f = known.get(t)
-                    if f is None:
-                        f = known[t] = _fact(t)
-                    self.key.append(number.setdefault(f[0], len(number)))
-                    self.size.append(f[1])
-                    self.bits.append(f[2])
-                    self.line.append(k)
+        marked = unicodedata.normalize("NFKC", body(text))
+        if LINK_SIGN.search(marked):
+            marked = LINK.sub(lambda m: "\x01" + "\x02" * (len(m.group()) - 1), marked)
+        lines = sentences(MARKUP.sub(" ", marked) if "<" in marked or "[" in marked else marked)
+        found = [TOKEN.findall(line) for line in lines]
+        for f in found:
+            self.tokens += f
+        self.count += [len(f) for f in found]
         chars = [len(s.strip()) for s in lines]
         self.page += [page] * len(lines)
         self.chars += chars
         self.links += [s.count("\x01") + s.count("\x02") for s in lines]
         self.joints += [len(JOINT.findall(s)) for s in lines]
         self.commas += [len(COMMA.findall(s)) for s in lines]
-        self.stops += [STOP.search(s) is not None for s in lines]
+        self.stops += [s.rstrip(CLOSING)[-1:] in STOPS for s in lines]
         self.total[page] = sum(chars)
 
-    def measures(self) -> dict[str, np.ndarray]:
+    def numbered(self, known: Facts) -> tuple[np.ndarray, ...]:
+        """(line, key, characters, bits) of every token; runs of letters that are too long for a word letter by letter."""
+        line = np.repeat(np.arange(len(self.page)), self.count)
+        at = np.fromiter(map(known.__getitem__, self.tokens), int, len(self.tokens))
+        long = np.flatnonzero(np.array(known.bits, int)[at] & IS_LONG) if len(at) else []
+        if len(long):
+            whole = set(long.tolist())
+            parts = [list(t) if k in whole else [t] for k, t in enumerate(self.tokens)]
+            line = np.repeat(line, [len(p) for p in parts])
+            at = np.array([known[c] for p in parts for c in p], int)
+        return line, np.array(known.key, int)[at], np.array(known.size, float)[at], np.array(known.bits, int)[at]
+
+    def measures(self, known: Facts) -> dict[str, np.ndarray]:
         pages, n = len(self.total), len(self.page)
         page, chars, link_chars, joints = np.array(self.page, int), np.array(self.chars, float), np.array(self.links, float), np.array(self.joints, int)
-        of, size, bits, key = np.array(self.line, int), np.array(self.size, float), np.array(self.bits, int), np.array(self.key, int)
+        of, key, size, bits = self.numbered(known)
         owner = page[of]
         is_link, word = bits & IS_LINK > 0, bits & (IS_LINK | IS_NUMBER) == 0
         classes = suffix_classes(owner, key)
@@ -269,8 +289,8 @@ class Pages:
 def measures(text: str | None) -> tuple[int, float, float, float]:
     """(characters of the body, share of them in stuffing, share covered by repeated phrases, share in lines with a clause)."""
     pages = Pages()
-    pages.add(text, {})
-    m = pages.measures()
+    pages.add(text)
+    m = pages.measures(Facts())
     return int(m["chars"][0]), float(m["stuffing"][0]), float(m["repeated"][0]), float(m["clauses"][0])
 
 
@@ -285,7 +305,7 @@ def stuffed_pages(docs: DataFrame, id: str = "doc_id", text: str = "text", *, mo
     kind = dict(docs.dtypes)[id]
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
+        known = Facts()
         for f in frames:
             parts = []
             chars = np.cumsum([len(t) if t else 0 for t in f.text])
@@ -294,11 +314,11 @@ def stuffed_pages(docs: DataFrame, id: str = "doc_id", text: str = "text", *, mo
                 end = max(a + 1, min(a + 500, int(np.searchsorted(chars, (chars[a - 1] if a else 0) + 1_000_000))))
                 pages = Pages()
                 for t in f.text.iloc[a:end]:
-                    pages.add(t, known)
-                parts.append(pd.DataFrame(pages.measures()))
+                    pages.add(t)
+                parts.append(pd.DataFrame(pages.measures(known)))
                 a = end
                 if len(known) > 200_000:  # what is known of tokens speeds up a worker's next pages
-                    known.clear()
+                    known = Facts()
             if parts:
                 out = pd.concat(parts, ignore_index=True)
                 out.insert(0, "id", f.id.to_numpy())

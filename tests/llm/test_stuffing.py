@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from biosignal.llm.stuffing import Pages, body, covered, keywords, longest_repeats, measures, stuffed_pages, suffix_classes
+from biosignal.llm.stuffing import Facts, Pages, body, covered, keywords, longest_repeats, measures, stuffed_pages, suffix_classes
 
 LETTERS = [f"{c}{v}" for c in "bcdfgklmnprst" for v in "aeiou"]
 TALK = "I drew a plan for the new shed, threw it away and painted the old one instead. Does anyone here know where my neighbour bought the hinges? It rained all weekend, so we had to wait. Thanks for the photos, they helped me a lot. "
@@ -140,9 +140,10 @@ def test_one_keyword_on_a_long_page():
     own = " ".join(f"{a}{b}{c}na" for a in LETTERS for b in LETTERS[:40] for c in LETTERS[:40])
     line = "the best {0} shop sells a {0}. "
     pages = Pages()
-    pages.add(line.format("lamp") * 2 + "\n" + own + "\n" + line.format("mat") * 2, {})
-    key, page = np.array(pages.key), np.zeros(len(pages.key), int)
-    assert keywords(page, 1, np.array(pages.size, float), key >= 0, np.array(pages.size) > 2, suffix_classes(page, key))[2].tolist() == [4]
+    pages.add(line.format("lamp") * 2 + "\n" + own + "\n" + line.format("mat") * 2)
+    _, key, size, _ = pages.numbered(Facts())
+    page = np.zeros(len(key), int)
+    assert keywords(page, 1, size, key >= 0, size > 2, suffix_classes(page, key))[2].tolist() == [4]
 
 
 def test_body():
