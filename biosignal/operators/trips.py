@@ -1,9 +1,10 @@
 """Stops and trips from location pings, by ordered density reachability.
 
-Every fix of a device gets a core distance: the radius that holds `dense_s` seconds of the device's time within
-`window_s` seconds of the fix. Its reachability is the smallest max(core distance of a neighbour, distance to it).
-In order of time these values are a reachability plot: its valleys (at most `valley_m`) are runs of staying, its
-ridges runs of moving. The plot is made for chunks of a day with a margin of `window_s`, so that a device with a third
+The distance of two fixes of a device is aware of time: the larger of the metres between them and of the seconds between
+them, at `valley_m` metres for `window_s` seconds. A fix's core distance is the radius that holds `dense_s` seconds of the
+device's time; its reachability is the smallest max(core distance of a neighbour, distance to it). In order of time these
+values are a reachability plot: its valleys (at most `valley_m`) are runs of staying, its ridges runs of moving. Fixes more
+than `window_s` seconds apart are farther from each other than any valley is deep, so that the plot need not look at them. The plot is made for chunks of a day with a margin of `window_s`, so that a device with a third
 of all pings is spread over as many tasks as it has days; a second pass joins the runs (a few dozen a day) in order.
 Fixes with too few others within `window_s` (a phone that saves power) are left to the second pass, which sees the fixes
 before and after however far away in time: 15 minutes hold two of them at most, so they are no more than 200 runs a day.
@@ -51,35 +52,43 @@ def _window(seg: np.ndarray, t: np.ndarray, window_s: float) -> tuple[np.ndarray
     return np.searchsorted(key, key - window_s), np.searchsorted(key, key + window_s, side="right")
 
 
-def reachability(seg: np.ndarray, t: np.ndarray, lat: np.ndarray, lon: np.ndarray, window_s: float, dense_s: float) -> np.ndarray:
-    """Reachability of fixes in order of (seg, t), each segment for itself."""
+CELLS = 1_500_000
+
+
+def reachability(seg: np.ndarray, t: np.ndarray, lat: np.ndarray, lon: np.ndarray, window_s: float, dense_s: float, valley_m: float = 110.0) -> np.ndarray:
+    """Reachability of fixes in order of (seg, t), each segment for itself.
+
+    Distances to all neighbours are held for slices of rows, of CELLS distances each, and only as long as a core distance that
+    they wait for may come: two or three slices, whatever the rate of pings and the length of the segments.
+    """
     n = len(t)
     lo, hi = _window(seg, t, window_s)
     weight = _dwell(t, seg, window_s / 4)
-    core, kept, at = np.empty(n), [], 0
+    core, out, waiting, at = np.empty(n), np.empty(n), [], 0
     while at < n:
         end = min(n, at + 2048)
         width = int((hi[at:end] - lo[at:end]).max())
-        if width * (end - at) > 4_000_000:  # dense pings: fewer rows at once
-            end = at + max(1, 4_000_000 // width)
+        if width * (end - at) > CELLS:  # dense pings: fewer rows at once
+            end = at + max(1, CELLS // width)
             width = int((hi[at:end] - lo[at:end]).max())
-        near = lo[at:end, None] + np.arange(width)
+        near = (lo[at:end, None] + np.arange(width)).astype(np.int32)
         real = near < hi[at:end, None]
         near = np.minimum(near, n - 1)
-        d = np.where(real, metres(lat[at:end, None], lon[at:end, None], lat[near], lon[near]), np.inf).astype(np.float32)
+        d = np.maximum(metres(lat[at:end, None], lon[at:end, None], lat[near], lon[near]), np.abs(t[at:end, None] - t[near]) * (valley_m / window_s)).astype(np.float32)
+        d[~real] = np.inf
         order = np.argsort(d, axis=1)
-        held = np.cumsum(np.take_along_axis(np.where(real, weight[near], 0), order, 1), axis=1)
+        held = np.cumsum(np.take_along_axis(np.where(real, weight[near], 0).astype(np.float32), order, 1), axis=1, dtype=np.float64)
         need = np.minimum(dense_s, 0.6 * held[:, -1])
-        first = np.argmax(held >= need[:, None] - 1e-9, axis=1)
+        first = np.argmax(held >= need[:, None] - 1e-4, axis=1)
         core[at:end] = np.take_along_axis(d, np.take_along_axis(order, first[:, None], 1), 1)[:, 0]
         core[at:end] = np.where(held[:, -1] < 60, np.inf, core[at:end])
-        kept.append((at, end, near, d))
+        waiting.append((at, end, near, d))
         at = end
-    out = np.empty(n)
-    for at, end, near, d in kept:
-        by = np.maximum(core[near], d)
-        by[np.arange(end - at), np.arange(at, end) - lo[at:end]] = np.inf  # not from itself
-        out[at:end] = np.minimum(by.min(axis=1, initial=np.inf), np.inf)
+        while waiting and int(hi[waiting[0][0] : waiting[0][1]].max()) <= at:
+            a, e, near, d = waiting.pop(0)
+            by = np.maximum(core[near], d)
+            by[np.arange(e - a), np.arange(a, e) - lo[a:e]] = np.inf  # not from itself
+            out[a:e] = by.min(axis=1, initial=np.inf)
     return out
 
 
@@ -95,7 +104,7 @@ def _runs(block: pd.DataFrame, window_s: float, dense_s: float, valley_m: float)
     seg = np.cumsum(changes(block, ["entity", "chunk"])) - 1
     us, lat, lon = block.us.to_numpy(), block.latitude.to_numpy(), block.longitude.to_numpy()
     t = (us - us.min()) / 1e6
-    reach = reachability(seg, t, lat, lon, window_s, dense_s)
+    reach = reachability(seg, t, lat, lon, window_s, dense_s, valley_m)
     stay = reach <= valley_m
     # the window tells nothing of a fix alone in it or with one other, which may be wrong
     lo, hi = _window(seg, t, window_s)

@@ -156,4 +156,30 @@ def test_reachability_is_low_where_a_device_stays():
     t = np.arange(0, 3600, 60.0)
     lat = np.where(t < 2400, 10.0, 10.0 + (t - 2400) * 10 * M)
     r = reachability(np.zeros(len(t), int), t, lat, np.full(len(t), 20.0), 900, 600)
-    assert r[t < 1800].max() < 1 and r[t > 2700].min() > 500
+    # ten minutes of dwell reach five minutes to both sides, 110 m for 900 s
+    assert r[t < 1800].max() < 37 and r[t > 2700].min() > 500
+
+
+def test_plot_of_dense_pings_holds_a_few_slices(monkeypatch):
+    """The same values whatever the size of the slices, over a day's end of one device and another one."""
+    from biosignal.operators import trips
+
+    rng = np.random.default_rng(6)
+    t = np.sort(rng.uniform(0, 6000, 700))
+    seg = np.repeat([0, 1], [500, 200])
+    t = np.r_[np.sort(t[:500]), np.sort(t[500:])]
+    lat, lon = 10 + np.cumsum(rng.normal(0, 5, 700)) * M, 20 + rng.normal(0, 10, 700) * M
+    whole = reachability(seg, t, lat, lon, 900, 600)
+    for cells in (1, 5_000, 40_000):
+        monkeypatch.setattr(trips, "CELLS", cells)
+        assert reachability(seg, t, lat, lon, 900, 600) == pytest.approx(whole)
+    d = np.maximum(trips.metres(lat[:500, None], lon[:500, None], lat[:500], lon[:500]), np.abs(t[:500, None] - t[:500]) * 110 / 900)
+    d[np.abs(t[:500, None] - t[:500]) > 900] = np.inf
+    weight = trips._dwell(t[:500], seg[:500], 225)
+    core = np.empty(500)
+    for i in range(500):
+        order = np.argsort(d[i])
+        held = np.cumsum(np.where(np.isinf(d[i][order]), 0, weight[order]))
+        core[i] = d[i][order][np.argmax(held >= min(600, 0.6 * held[-1]) - 1e-4)]
+    np.fill_diagonal(d, np.inf)
+    assert np.maximum(core, d).min(axis=1) == pytest.approx(whole[:500], rel=1e-4)
