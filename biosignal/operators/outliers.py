@@ -7,24 +7,30 @@ variance that vanishes, that is a run of steps of exactly zero, marks stuck read
 
 Sources are cut into chunks of `chunk` readings with a margin on both sides, and a worker runs the recursion over all
 chunks and values of a block at once, one vector operation a step: a source with a third of all rows is spread over
-many tasks. What a chunk cannot decide alone is decided from summaries: runs that touch its edges (two a chunk), and,
-for values judged against the whole source, a histogram of distances from the source's median by powers of two.
+many tasks. What a chunk cannot decide alone is decided from summaries: runs that touch its edges (two a chunk), which join
+inside groups of `GROUP` chunks and then over groups (two a group), and, for values judged against the whole source, a
+histogram of distances from the source's median by powers of two. No window or task holds a source's readings.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biosignal.operators.blocks import changes, map_segments
 from biosignal.session import materialise
 
-SCHEMA = "source {source}, signal int, kind string, chunk bigint, pos int, value double, n bigint, idx array<{order}>, bin int, low double, high double"
+SCHEMA = "source {source}, signal int, kind string, chunk bigint, pos int, value double, n bigint, idx array<bigint>, bin int, low double, high double, flagged bigint, long bigint"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+#: Chunks of a group: two million readings.
+GROUP = 4096
+#: Ranks of the sketch of a source's quantiles: exact for sources of fewer readings, else within one in so many.
+RANKS = 10_000
 
 
 def kalman_flags(z: np.ndarray, level: np.ndarray, sigma: np.ndarray, drift: float, threshold: float, max_run: int, adapt: bool) -> np.ndarray:
@@ -97,6 +103,27 @@ def _around(v: np.ndarray, sound: np.ndarray, at: np.ndarray, each: int) -> np.n
     return out
 
 
+def _rows(kind: str, count: int, **columns) -> pd.DataFrame:
+    """Rows of SCHEMA: columns that are not given are empty."""
+    usual = {"chunk": 0, "pos": 0, "value": 0.0, "n": 0, "bin": None, "low": np.nan, "high": np.nan, "flagged": 0, "long": 0}
+    f = pd.DataFrame({"kind": [kind] * count, **usual, **columns}, index=range(count))
+    f["idx"] = columns.get("idx") if "idx" in columns else pd.Series([[] for _ in range(count)], index=f.index, dtype=object)
+    return f[COLUMNS].astype({"bin": "Int32"})
+
+
+def _long_level(far: np.ndarray, seg: np.ndarray, length: int) -> np.ndarray:
+    """Of each reading the largest distance of which a run of `length` readings around it all have at least as much."""
+    n, k = len(far), length - 1
+    out = np.full(n, -np.inf)
+    if n < length:
+        return out
+    least = np.min([far[j : n - k + j] for j in range(length)], axis=0)
+    least = np.where(seg[k:] == seg[: n - k], least, -np.inf)
+    for j in range(length):
+        out[j : n - k + j] = np.maximum(out[j : n - k + j], least)
+    return out
+
+
 def _scan(block: pd.DataFrame, values: int, ratio: bool, threshold: float, max_run: int, stuck: int, off: float) -> pd.DataFrame:
     block = block[changes(block, ["source", "chunk", "ord"])].reset_index(drop=True)
     seg = np.cumsum(changes(block, ["source", "chunk"])) - 1
@@ -105,7 +132,12 @@ def _scan(block: pd.DataFrame, values: int, ratio: bool, threshold: float, max_r
     shape = (int(place.max()) + 1, len(first))
     own, order = block.own.to_numpy(bool), block.ord.to_numpy()
     source, chunk = block.source.to_numpy()[first], block.chunk.to_numpy()[first]
-    out: list[tuple] = []
+    parts: list[pd.DataFrame] = []
+
+    def single(kind: str, k: int, at: np.ndarray, value: np.ndarray) -> None:
+        if len(at):
+            parts.append(_rows(kind, len(at), source=source[seg[at]], signal=k, chunk=chunk[seg[at]], value=value[at], n=1, idx=order[at][:, None].tolist()))
+
     for k in range(values):
         raw = block[f"v{k}"].to_numpy(float)
         low, high = block[f"low{k}"].to_numpy(float), block[f"high{k}"].to_numpy(float)
@@ -113,8 +145,7 @@ def _scan(block: pd.DataFrame, values: int, ratio: bool, threshold: float, max_r
             bad = ~np.isnan(raw) & ((raw < low) | (raw > high) | np.isinf(raw))
             if ratio:
                 bad |= raw <= 0
-        for i in np.flatnonzero(bad & own):
-            out.append((source[seg[i]], k, "impossible", chunk[seg[i]], 0, raw[i], 1, [order[i]], None, None, None))
+        single("impossible", k, np.flatnonzero(bad & own), raw)
         mid, sigma = block[f"mid{k}"].to_numpy(float)[first], block[f"sig{k}"].to_numpy(float)[first]
         good = ~np.isnan(raw) & ~bad
         use = good
@@ -134,7 +165,7 @@ def _scan(block: pd.DataFrame, values: int, ratio: bool, threshold: float, max_r
             with np.errstate(all="ignore"):
                 some = there.any(axis=0)
                 level = np.where(some, np.nanmedian(np.where(some, head, 0), axis=0), 0.0)
-            sigma = np.full(len(first), 0.06)
+            sigma = _step_sigma(z)
         else:
             level = np.where(np.isnan(mid), 0.0, mid)
             sigma = np.maximum(np.where(np.isnan(sigma), 0.0, sigma), 1e-12 + 1e-9 * np.abs(level))
@@ -148,6 +179,8 @@ def _scan(block: pd.DataFrame, values: int, ratio: bool, threshold: float, max_r
         flat = np.zeros(len(block), bool)
         flat[good] = flags[place[good], seg[good]]
         far = np.abs(raw - mid[seg])
+        level_long = np.full(len(block), -np.inf)
+        level_long[good] = _long_level(far[good], seg[good], max_run + 1)
         # runs of the same value, over the readings that are there
         rows = np.flatnonzero(own & ~np.isnan(raw))
         if not len(rows):
@@ -157,40 +190,115 @@ def _scan(block: pd.DataFrame, values: int, ratio: bool, threshold: float, max_r
         end = np.r_[start[1:], len(rows)]
         owner = seg[rows][start]
         head, tail = np.r_[True, owner[1:] != owner[:-1]], np.r_[owner[1:] != owner[:-1], True]
-        sound = np.ones(len(block), bool)  # not stuck, as far as the chunk can tell
-        for s, e, o, h, t in zip(start, end, owner, head, tail):
-            if e - s >= stuck:
-                out.append((source[o], k, "stuck", chunk[o], 0, raw[rows[s]], e - s, order[rows[s:e]].tolist(), None, None, None))
-            if h or t:
-                idx = [] if e - s >= stuck else order[rows[s:e]].tolist()
-                # its bin, distance and flagged readings, for the case that it is not stuck as a whole
-                a = far[rows[s]]
-                at = (int(np.frexp(a)[1]), a, float(flat[rows[s:e]].sum())) if not ratio and good[rows[s]] and a > 0 else (None, None, None)
-                out.append((source[o], k, "edge", chunk[o], 2 if h and t else 0 if h else 1, raw[rows[s]], e - s, idx, *at))
-            if h or t or e - s >= stuck:
-                sound[rows[s:e]] = False
-            if e - s >= stuck:
-                flat[rows[s:e]] &= ratio  # no spike on an axis
+        long, edge = end - start >= stuck, head | tail
+        of = np.repeat(np.arange(len(start)), end - start)  # the run of each row
+        fixed = np.zeros(len(block), bool)
+        fixed[rows[long[of]]] = True
+        loose = np.zeros(len(block), bool)  # in a run that the chunk cannot judge
+        loose[rows[edge[of]]] = True
+        s = np.flatnonzero(long)
+        if len(s):
+            parts.append(_rows("stuck", len(s), source=source[owner[s]], signal=k, chunk=chunk[owner[s]], value=raw[rows[start[s]]], n=end[s] - start[s], idx=[order[rows[start[i] : end[i]]].tolist() for i in s]))
+        s = np.flatnonzero(edge)
+        at = rows[start[s]]
+        counted = (not ratio) & good[at] & (far[at] > 0) & ~long[s]  # it has a distance, for the case that it is not stuck as a whole
+        parts.append(_rows(
+            "edge", len(s), source=source[owner[s]], signal=k, chunk=chunk[owner[s]], pos=np.where(head[s] & tail[s], 2, np.where(head[s], 0, 1)), value=raw[at], n=end[s] - start[s],
+            idx=[[] if long[i] else order[rows[start[i] : end[i]]].tolist() for i in s], bin=pd.array(np.frexp(far[at])[1], "Int32").astype("Int32"), low=np.where(counted, far[at], np.nan), high=level_long[at],
+            flagged=[int(flat[rows[start[i] : end[i]]].sum()) for i in s],
+        ))
         if ratio:
-            for c in np.unique(seg[flat & own]):
+            flagged = flat & own
+            for c in np.unique(seg[flagged]):
                 rows = np.arange(first[c], first[c] + int((seg == c).sum()))
-                at = np.flatnonzero(flat[rows] & own[rows])
+                at = np.flatnonzero(flagged[rows])
                 base = _around(raw[rows], good[rows] & ~flat[rows], at, 4)
-                for i, b in zip(rows[at], base):
-                    if abs(raw[i] / b - 1) > off:
-                        out.append((source[c], k, "spike", chunk[c], 0, raw[i], 1, [order[i]], None, None, None))
-        else:
-            kept = good & own
-            rank = np.cumsum(kept)  # place among the chunk's readings, and how many it has
-            total = np.bincount(seg[kept], minlength=len(first))
-            rank = rank - np.r_[0, np.cumsum(total)[:-1]][seg] - 1
-            for i in np.flatnonzero(flat & own):
-                out.append((source[seg[i]], k, "candidate", chunk[seg[i]], int(rank[i]), far[i], int(total[seg[i]]), [order[i]], None, None, None))
-            use = good & own & sound & (far > 0)
-            exponent = np.frexp(far[use])[1]
-            bins = pd.DataFrame({"seg": seg[use], "bin": exponent, "far": far[use], "flag": flat[use].astype(int)}).groupby(["seg", "bin"]).agg(n=("far", "size"), low=("far", "min"), high=("far", "max"), flagged=("flag", "sum")).reset_index()
-            out += [(source[s], k, "bin", chunk[s], int(g), 0.0, int(n), [], int(b), a, h) for s, b, n, a, h, g in bins.itertuples(index=False)]
-    return pd.DataFrame(out, columns=COLUMNS)
+                with np.errstate(invalid="ignore"):
+                    at = at[np.abs(raw[rows[at]] / base - 1) > off]
+                single("spike", k, rows[at], raw)
+            continue
+        single("candidate", k, np.flatnonzero(flat & own & good & ~fixed & ~loose), far)
+        use = good & own & ~fixed & ~loose & (far > 0)
+        exponent = np.frexp(far[use])[1]
+        bins = pd.DataFrame({"seg": seg[use], "bin": exponent, "far": far[use], "flag": flat[use].astype(int)}).groupby(["seg", "bin"]).agg(n=("far", "size"), low=("far", "min"), high=("far", "max"), flagged=("flag", "sum")).reset_index()
+        if len(bins):
+            parts.append(_rows("bin", len(bins), source=source[bins.seg], signal=k, bin=bins.bin, n=bins.n, low=bins.low, high=bins.high, flagged=bins.flagged))
+        some = use & (level_long > 0)
+        if some.any():
+            bins = pd.DataFrame({"seg": seg[some], "bin": np.frexp(level_long[some])[1]}).groupby(["seg", "bin"]).size().reset_index(name="long")
+            parts.append(_rows("bin", len(bins), source=source[bins.seg], signal=k, bin=bins.bin, long=bins.long))
+    return pd.concat(parts, ignore_index=True) if parts else _rows("bin", 0, source=source[:0], signal=0)
+
+
+def _step_sigma(z: np.ndarray) -> np.ndarray:
+    """Standard deviation of each column's sound steps, from their median size: beats differ, and so do hearts. Bounded, so
+    that neither a stretch of equal intervals nor one full of wrong ones is taken for what is normal."""
+    with np.errstate(all="ignore"), warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
+        size = np.nanmedian(np.abs(np.diff(z, axis=0)), axis=0) if len(z) > 1 else np.full(z.shape[1], np.nan)
+    return np.clip(np.where(np.isnan(size), 0.06, 1.4826 * size / math.sqrt(2)), 0.05, 0.1)
+
+
+def _joined(g: pd.DataFrame, keys: list[str], stuck: int, last: bool) -> list[pd.DataFrame]:
+    """Edge runs in order, equal values that follow each other with nothing between as one: those that are stuck, those that
+    are not, as bins and candidates, and, but for the last time, those at the ends of a segment as edges again."""
+    value, pos, n = g.value.to_numpy(), g.pos.to_numpy(), g.n.to_numpy()
+    begins = changes(g, keys)
+    new = begins.copy()
+    # the head of a chunk that goes on with other values is over when its tail comes
+    new[1:] |= (value[1:] != value[:-1]) | ((pos[:-1] == 0) & (pos[1:] == 1))
+    run = np.cumsum(new) - 1
+    start = np.flatnonzero(new)
+    end = np.r_[start[1:], len(g)]
+    total = np.bincount(run, n).astype(np.int64)
+    opens = begins[start] & np.isin(pos[start], (0, 2))
+    closes = np.r_[begins[1:], True][end - 1] & np.isin(pos[end - 1], (1, 2))
+    lists = g.idx.tolist()
+    idx = [[i for x in lists[a:b] for i in x] for a, b in zip(start, end)]
+    low, high, flagged = g.low.to_numpy()[start], np.maximum.reduceat(g.high.to_numpy(), start), np.add.reduceat(g.flagged.to_numpy(), start)
+    low = np.where(np.logical_or.reduceat(np.isnan(g.low.to_numpy()), start), np.nan, low)
+    facts = {"source": g.source.to_numpy()[start], "signal": g.signal.to_numpy()[start], "chunk": g.chunk.to_numpy()[start]}
+    pick = lambda m: {c: v[m] for c, v in facts.items()}
+    own = lambda m: pd.Series([idx[i] for i in np.flatnonzero(m)], dtype=object)
+    out = []
+    still = (opens | closes) & (not last)
+    if still.any():
+        out.append(_rows("edge", int(still.sum()), **pick(still), pos=np.where(opens & closes, 2, np.where(opens, 0, 1))[still], value=value[start][still], n=total[still], idx=own(still), bin=g.bin.array[start][still], low=low[still], high=high[still], flagged=flagged[still]))
+    fixed = ~still & (total >= stuck)
+    if fixed.any():
+        out.append(_rows("stuck", int(fixed.sum()), **pick(fixed), n=total[fixed], idx=own(fixed)))
+    loose = ~still & (total < stuck) & ~np.isnan(low)
+    if loose.any():
+        out.append(_rows("bin", int(loose.sum()), **pick(loose), bin=g.bin.array[start][loose], n=total[loose], low=low[loose], high=low[loose], flagged=flagged[loose]))
+        long = loose & (high > 0)
+        out.append(_rows("bin", int(long.sum()), **pick(long), bin=pd.array(np.frexp(high[long])[1], "Int32"), long=total[long]))
+        hit = loose & (flagged > 0)
+        out.append(_rows("candidate", int(hit.sum()), **pick(hit), value=low[hit], n=total[hit], idx=own(hit)))
+    return out
+
+
+def _gaps(b: pd.DataFrame) -> list[pd.DataFrame]:
+    """Of the bins of whole (source, signal) segments the lowest gap of a factor of two above which lie spikes: readings that
+    the filter flagged (seven of ten), and that come in short runs (eight of ten). Inside a power of two there is none."""
+    b = b.groupby(["source", "signal", "bin"], sort=True, dropna=False).agg(n=("n", "sum"), low=("low", "min"), high=("high", "max"), flagged=("flagged", "sum"), long=("long", "sum")).reset_index()
+    if not len(b):
+        return []
+    by = b.groupby(["source", "signal"], sort=False)
+    above = by[["n", "flagged", "long"]].transform(lambda x: x[::-1].cumsum()[::-1])
+    below = by["high"].transform(lambda x: x.cummax().shift())
+    ok = (b.n > 0) & (b.low >= 2 * below) & (above.flagged >= 0.7 * above.n) & (above.long <= 0.2 * above.n)
+    g = b[ok].groupby(["source", "signal"], sort=False).low.min().reset_index()
+    return [_rows("gap", len(g), source=g.source, signal=g.signal, low=g.low)] if len(g) else []
+
+
+def _settled(block: pd.DataFrame, stuck: int, ratio: bool) -> pd.DataFrame:
+    """What is decided over whole (source, signal) segments, from edges of groups and bins."""
+    edges = block[block.kind == "edge"].reset_index(drop=True)
+    parts = _joined(edges, ["source", "signal"], stuck, True) if len(edges) else []
+    if not ratio:
+        parts += _gaps(pd.concat([block[block.kind == "bin"], *[p[p.kind == "bin"] for p in parts]], ignore_index=True))
+    parts = [p[p.kind != "bin"] for p in parts] + [block[block.kind.isin(["stuck", "candidate"])]]
+    return pd.concat(parts, ignore_index=True)[COLUMNS]
 
 
 def implausible_readings(df: DataFrame, values: list[str], source: str = "rec_id", order: str = "idx", *, limits: dict[str, tuple[Column | float | None, Column | float | None]] | None = None, ratio: bool = False, stuck: int = 15, max_run: int = 3, threshold: float = 2.0, off: float = 0.4, chunk: int = 512, margin: int = 32) -> DataFrame:
@@ -215,49 +323,34 @@ def implausible_readings(df: DataFrame, values: list[str], source: str = "rec_id
     else:
         # what is normal in the source: mergeable quantile sketches of bounded size
         inside = {k: F.when(~F.isnan(f"v{k}") & (F.col(f"v{k}") >= F.coalesce(F.col(f"low{k}"), F.lit(-math.inf))) & (F.col(f"v{k}") <= F.coalesce(F.col(f"high{k}"), F.lit(math.inf))), F.col(f"v{k}")) for k in range(len(values))}
-        q = x.groupBy("source").agg(*[F.percentile_approx(inside[k], F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]), 2000).alias(f"q{k}") for k in range(len(values))])
+        q = x.groupBy("source").agg(*[F.percentile_approx(inside[k], F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]), RANKS).alias(f"q{k}") for k in range(len(values))])
         sig = lambda k: F.greatest((F.col(f"q{k}")[3] - F.col(f"q{k}")[1]) / 1.349, (F.col(f"q{k}")[4] - F.col(f"q{k}")[0]) / 3.29)
         q = q.select("source", *[F.col(f"q{k}")[2].alias(f"mid{k}") for k in range(len(values))], *[sig(k).alias(f"sig{k}") for k in range(len(values))])
         x = x.join(q, "source")
     at = F.floor(F.col("ord") / chunk).cast("bigint")
     reach = F.sequence(F.floor((F.col("ord") - margin) / chunk).cast("bigint"), F.floor((F.col("ord") + margin) / chunk).cast("bigint"))
     x = x.withColumn("home", at).withColumn("chunk", F.explode(reach)).withColumn("own", F.col("home") == F.col("chunk")).drop("home")
-    schema = SCHEMA.format(source=types[source], order="bigint")
+    schema = SCHEMA.format(source=types[source])
     found = materialise(map_segments(x, ["source", "chunk"], ["ord"], lambda b: _scan(b, len(values), ratio, threshold, max_run, stuck, off), schema))
-    flat = lambda d, kind: d.select("source", "signal", F.explode("idx").alias("ord"), F.lit(kind).alias("kind"))
-    out = flat(found.where(F.col("kind").isin("impossible")), "impossible").unionByName(flat(found.where(F.col("kind") == "stuck"), "stuck"))
-
-    # runs over the edges of chunks: equal values that follow each other, with nothing between
-    w = Window.partitionBy("source", "signal").orderBy("chunk", "pos")
-    edge = found.where(F.col("kind") == "edge")
-    closed = F.lag("pos").over(w) == 0  # the head of a chunk that goes on with other values
-    edge = edge.withColumn("new", F.coalesce((~F.lag("value").over(w).eqNullSafe(F.col("value"))) | closed & (F.col("pos") == 1), F.lit(True)).cast("int"))
-    edge = edge.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = edge.withColumn("total", F.sum("n").over(Window.partitionBy("source", "signal", "run")))
-    out = out.unionByName(flat(edge.where(F.col("total") >= stuck), "stuck"))
-    if ratio:
-        out = out.unionByName(flat(found.where(F.col("kind") == "spike"), "spike"))
-    else:
-        # exact check: the lowest gap of a factor of two with (mostly) flagged readings above it. Inside a power of two there is none.
-        # Stuck readings are not sound: runs at the edges of chunks come into the bins only where they are not stuck as a whole.
-        loose = edge.where((F.col("total") < stuck) & F.col("bin").isNotNull()).select("source", "signal", "bin", "n", F.col("high").cast("int").alias("pos"), "low", F.col("low").alias("high"))
-        b = found.where(F.col("kind") == "bin").select("source", "signal", "bin", "n", "pos", "low", "high").unionByName(loose).groupBy("source", "signal", "bin").agg(F.sum("n").alias("n"), F.sum("pos").alias("flagged"), F.min("low").alias("low"), F.max("high").alias("high"))
-        up = Window.partitionBy("source", "signal").orderBy("bin")
-        down = Window.partitionBy("source", "signal").orderBy(F.desc("bin"))
-        b = b.withColumn("below", F.lag("high").over(up)).withColumn("above", F.sum("n").over(down)).withColumn("above_flagged", F.sum("flagged").over(down))
-        gap = b.where((F.col("low") >= 2 * F.col("below")) & (F.col("above_flagged") >= 0.7 * F.col("above"))).select("source", "signal", F.col("low").alias("least"))
-        c = found.where(F.col("kind") == "candidate").withColumn("ord", F.col("idx")[0])
-        c = c.join(flat(edge.where(F.col("total") >= stuck), "stuck").select("source", "signal", "ord"), ["source", "signal", "ord"], "left_anti").drop("ord")
-        c = c.join(gap, ["source", "signal"]).where(F.col("value") >= F.col("least"))
-        # and what lies above it comes in runs of at most max_run readings
-        each = Window.partitionBy("source", "signal", "least")
-        line = each.orderBy("chunk", "pos")
-        before = (F.lag("chunk").over(line) == F.col("chunk")) & (F.lag("pos").over(line) == F.col("pos") - 1)
-        before = before | (F.lag("chunk").over(line) == F.col("chunk") - 1) & (F.col("pos") == 0) & (F.lag("pos").over(line) == F.lag("n").over(line) - 1)
-        c = c.withColumn("new", F.when(F.coalesce(before, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(line))
-        c = c.withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("source", "signal", "least", "run")))
-        c = c.withColumn("short", F.avg((F.col("length") <= max_run).cast("double")).over(each)).where(F.col("short") >= 0.8)
-        c = c.withColumn("lowest", F.min("least").over(Window.partitionBy("source", "signal"))).where(F.col("least") == F.col("lowest"))
-        out = out.unionByName(flat(c, "spike"))
+    flat = lambda d, *kinds: d.where(F.col("kind").isin(*kinds)).select("source", "signal", F.explode("idx").alias("ord"), "kind")
+    # edges join inside groups of chunks, then over groups; bins add up on the map side
+    keys = ["source", "signal", "group"]
+
+    def joined(block: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([_rows("bin", 0, source=block.source[:0], signal=0), *_joined(block, keys, stuck, False)], ignore_index=True)[COLUMNS]
+
+    edges = found.where(F.col("kind") == "edge").withColumn("group", F.floor(F.col("chunk") / GROUP).cast("bigint"))
+    rest = map_segments(edges, keys, ["chunk", "pos"], joined, schema)
+    if not ratio:
+        bins = found.where(F.col("kind") == "bin").groupBy("source", "signal", "kind", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "flagged", "long")], F.min("low").alias("low"), F.max("high").alias("high"))
+        rest = rest.unionByName(bins, allowMissingColumns=True)
+    settled = map_segments(rest, ["source", "signal"], ["chunk", "pos"], lambda b: _settled(b, stuck, ratio), schema)
+    if not ratio:
+        settled = materialise(settled)  # read for what is stuck, for gaps and for candidates
+    out = flat(found, "impossible", "stuck", "spike").unionByName(flat(settled, "stuck"))
+    if not ratio:
+        gap = settled.where(F.col("kind") == "gap").select("source", "signal", F.col("low").alias("least"))
+        c = found.where(F.col("kind") == "candidate").unionByName(settled.where(F.col("kind") == "candidate")).join(gap, ["source", "signal"]).where(F.col("value") >= F.col("least"))
+        out = out.unionByName(flat(c.withColumn("kind", F.lit("spike")), "spike"))
     name = F.element_at(F.array(*[F.lit(v) for v in values]), F.col("signal") + 1)
-    return out.select(F.col("source").alias(source), name.alias("signal"), F.col("ord").alias(order), "kind").distinct()
+    return out.select(F.col("source").alias(source), name.alias("signal"), F.col("ord").alias(order), "kind")

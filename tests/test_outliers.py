@@ -98,3 +98,45 @@ def test_filter_withholds_flagged_readings():
     z[30] = 50
     f = kalman_flags(z, np.zeros(1), np.ones(1), 0.05, 3.0, 3, True)
     assert f[30, 0] and f.sum() == 1
+
+
+def test_spikes_beside_a_stuck_run(spark):
+    x = np.random.default_rng(0).normal(0, 1, 2000)
+    want = {100: 20.0, 500: -19.0, 900: 25.0, 1300: 21.0, 1700: -22.0}
+    for k, v in want.items():
+        x[k] = v
+    x[1000:1020] = 24.0
+    for chunk in (512, 1010):
+        got = flags(frame(spark, [(1, i, v, None) for i, v in enumerate(x)]), "x", chunk=chunk)
+        assert got == {("x", 1, k, "spike") for k in want} | {("x", 1, k, "stuck") for k in range(1000, 1020)}
+
+
+def test_runs_over_groups_of_chunks(spark, monkeypatch):
+    """Runs of equal values over any number of chunks and groups, against a plain count."""
+    from biosignal.operators import outliers
+
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(5, 1, 60).round(2), rng.integers(1, 31, 60))
+    x[rng.random(len(x)) < 0.1] = np.nan
+    want, run = set(), []
+    for i, v in [*enumerate(x), (None, None)]:
+        if v is not None and np.isnan(v):
+            continue
+        if run and (v is None or v != x[run[-1]]):
+            want |= set(run) if len(run) >= 15 else set()
+            run = []
+        run.append(i)
+    monkeypatch.setattr(outliers, "GROUP", 3)
+    for chunk in (4, 7, 64):
+        got = {g[2] for g in flags(frame(spark, [(1, i, v, None) for i, v in enumerate(x)]), "x", chunk=chunk, margin=4) if g[3] == "stuck"}
+        assert got == want
+
+
+def test_longest_level_of_runs():
+    from biosignal.operators.outliers import _long_level
+
+    rng = np.random.default_rng(1)
+    far, seg = rng.random(40), np.repeat([0, 1, 2], [3, 20, 17])
+    for i, got in enumerate(_long_level(far, seg, 4)):
+        runs = [far[a : a + 4].min() for a in range(max(0, i - 3), min(i, 36) + 1) if seg[a] == seg[a + 3]]
+        assert got == max(runs, default=-np.inf)
