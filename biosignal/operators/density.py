@@ -10,34 +10,55 @@ from pyspark.sql import functions as F
 from biosignal.operators.blocks import changes, map_segments
 
 
-def _distances(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
-    return 2 * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
+ROWS = 2_000_000
 
 
-def spanning_tree(d: np.ndarray) -> np.ndarray:
-    """Edges (a, b, weight) of a minimum spanning tree of a dense distance matrix, in order of weight."""
-    n = len(d)
-    best, parent, done = d[0].copy(), np.zeros(n, int), np.zeros(n, bool)
-    done[0] = True
-    edges = np.empty((n - 1, 3))
+def on_sphere(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Points of the unit sphere, of coordinates in radians."""
+    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Haversine distances of the points a[3, m] from b[3, n], by their chords."""
+    square = sum((a[k][:, None] - b[k]) ** 2 for k in range(3))
+    return 2 * np.arcsin(np.minimum(np.sqrt(square) / 2, 1))
+
+
+def core_distances(points: np.ndarray, k: int) -> np.ndarray:
+    """Distance of each point to its k-th neighbour, itself the first; ROWS distances are held at once."""
+    n = points.shape[1]
+    out, step = np.empty(n), max(1, ROWS // max(n, 1))
+    for a in range(0, n, step):
+        out[a : a + step] = np.partition(_angles(points[:, a : a + step], points), min(k, n) - 1, axis=1)[:, min(k, n) - 1]
+    return out
+
+
+def spanning_tree(points: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """Edges (a, b, weight) of a minimum spanning tree by mutual reachability, in order of weight. A row of distances is made
+    when its point joins the tree, and forgotten."""
+    n = points.shape[1]
+    left, best, parent = np.arange(1, n), np.full(n - 1, np.inf), np.zeros(n - 1, int)
+    edges, at = np.empty((n - 1, 3)), 0
     for k in range(n - 1):
-        b = int(np.argmin(np.where(done, np.inf, best)))
-        edges[k] = parent[b], b, best[b]
-        done[b] = True
-        closer = ~done & (d[b] < best)
-        best[closer], parent[closer] = d[b][closer], b
+        reach = np.maximum(np.maximum(_angles(points[:, at : at + 1], points[:, left])[0], core[left]), core[at])
+        closer = reach < best
+        best[closer], parent[closer] = reach[closer], at
+        j = int(np.argmin(best))
+        edges[k] = parent[j], left[j], best[j]
+        at = left[j]
+        # the last one takes the place of the one that joined
+        left[j], best[j], parent[j] = left[-1], best[-1], parent[-1]
+        left, best, parent = left[:-1], best[:-1], parent[:-1]
     return edges[np.argsort(edges[:, 2], kind="stable")]
 
 
-def labels_of(d: np.ndarray, min_samples: int, min_cluster_size: int = 5) -> np.ndarray:
-    """Cluster numbers from a distance matrix, -1 for noise: excess of mass over the condensed tree, the root never."""
-    n = len(d)
+def labels_of(points: np.ndarray, min_samples: int, min_cluster_size: int = 5) -> np.ndarray:
+    """Cluster numbers of points[3, n] of the sphere, -1 for noise: excess of mass over the condensed tree, the root never."""
+    n = points.shape[1]
     out = np.full(n, -1)
     if n < 2 * min_cluster_size:
         return out
-    core = np.partition(d, min(min_samples, n) - 1, axis=1)[:, min(min_samples, n) - 1]
-    reach = np.maximum(np.maximum(core[:, None], core), d)
+    core = core_distances(points, min_samples)
     # single linkage: node n + k joins two nodes at a height
     group, size, child, height = list(range(n)), [1] * n, {}, {}
     top = np.arange(n)
@@ -49,7 +70,7 @@ def labels_of(d: np.ndarray, min_samples: int, min_cluster_size: int = 5) -> np.
         return a
 
     node = {k: k for k in range(n)}
-    for k, (a, b, w) in enumerate(spanning_tree(reach)):
+    for k, (a, b, w) in enumerate(spanning_tree(points, core)):
         ra, rb = find(int(a)), find(int(b))
         left, right, new = node[ra], node[rb], n + k
         child[new], height[new] = (left, right), w
@@ -62,7 +83,7 @@ def labels_of(d: np.ndarray, min_samples: int, min_cluster_size: int = 5) -> np.
     point_cluster = top * 0 + root
     stack = [(root, root)]
 
-    def points(a: int) -> list[int]:
+    def under(a: int) -> list[int]:
         todo, found = [a], []
         while todo:
             x = todo.pop()
@@ -85,7 +106,7 @@ def labels_of(d: np.ndarray, min_samples: int, min_cluster_size: int = 5) -> np.
         if len(large) == 2:
             for c in large:
                 birth[c], parent[c] = strength, owner
-                point_cluster[points(c)] = c
+                point_cluster[under(c)] = c
                 stack.append((c, c))
         else:
             stack += [(c, owner) for c in large]
@@ -105,8 +126,8 @@ def labels_of(d: np.ndarray, min_samples: int, min_cluster_size: int = 5) -> np.
             keep.append(c)
         else:
             walk += children.get(c, [])
-    for k, c in enumerate(sorted(keep, key=lambda c: min(points(c)))):
-        out[points(c)] = k
+    for k, c in enumerate(sorted(keep, key=lambda c: min(under(c)))):
+        out[under(c)] = k
     return out
 
 
@@ -114,8 +135,8 @@ def cluster_locations(df: DataFrame, min_samples: int | None = None, min_cluster
     """(entity, idx, label) of rows (entity, idx, latitude, longitude); -1 is noise, numbers follow the first row.
 
     min_samples: by default 1 + a twentieth of the entity's rows. coords: 'as_is' gives the values to the metric as they
-    are, 'radians' converts degrees first. An entity's distances are a dense matrix in one task: thousands of rows, not
-    millions; for more, and for all entities together, use place_clusters.
+    are, 'radians' converts degrees first. An entity is one task: its time grows with the square of its rows (some 10 s for
+    20,000), its memory with the rows. Points of all entities together are better clustered by place, in cells.
     """
     if coords not in ("as_is", "radians"):
         raise ValueError("coords must be 'as_is' or 'radians'")
@@ -127,7 +148,7 @@ def cluster_locations(df: DataFrame, min_samples: int | None = None, min_cluster
             lat, lon = block.latitude.to_numpy()[a:b], block.longitude.to_numpy()[a:b]
             if coords == "radians":
                 lat, lon = np.radians(lat), np.radians(lon)
-            out[a:b] = labels_of(_distances(lat, lon), min_samples or 1 + (b - a) // 20, min_cluster_size)
+            out[a:b] = labels_of(on_sphere(lat, lon), min_samples or 1 + (b - a) // 20, min_cluster_size)
         return pd.DataFrame({"entity": block.entity, "idx": block.idx, "label": out})
 
     rows = df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("entity").isNotNull()).select("entity", "idx", "latitude", "longitude")

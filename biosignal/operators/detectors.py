@@ -60,32 +60,48 @@ def peak_facts(f: np.ndarray, peaks: np.ndarray, fs: float) -> pd.DataFrame:
     return pd.DataFrame({"height": f[peaks], "highest": highest, "turns": turns, "steep": steep})
 
 
-def accept_beats(at: np.ndarray, facts: pd.DataFrame, first: float, fs: float, buffer: int = 12, share: float = 0.3125) -> np.ndarray:
-    """Which of the peaks at these positions are beats, by the published rules of Hamilton and Tompkins.
+class BeatRule:
+    """Which peaks are beats, one after the other, by the published rules of Hamilton and Tompkins.
 
     The last accepted and rejected positions fill two rings that start at position 0, where the signal is `first`; the
-    threshold lies `share` of the way from the rings' noise level to their beat level and moves after every peak.
+    threshold lies `share` of the way from the rings' noise level to their beat level and moves after every peak. What a rule
+    knows are plain values, vars(rule), from which of() makes it again.
     """
-    beats, beat_heights, noise_heights = [0] * buffer, [first] * buffer, [first] * buffer
-    out = np.zeros(len(at), bool)
-    threshold, accepted, rejected, last, last_steep = 0.0, 0, 0, 0, 0.0
-    for k, (p, height, highest, turns, steep) in enumerate(zip(at.tolist(), facts.height.tolist(), facts.highest.tolist(), facts.turns.tolist(), facts.steep.tolist())):
-        ok = False
+
+    def __init__(self, first: float, fs: float, buffer: int = 12, share: float = 0.3125):
+        self.fs, self.share = fs, share
+        self.places, self.high, self.low = [0] * buffer, [first] * buffer, [first] * buffer
+        self.threshold, self.accepted, self.rejected, self.last, self.rise = 0.0, 0, 0, 0, 0.0
+
+    @classmethod
+    def of(cls, known: dict) -> "BeatRule":
+        rule = cls.__new__(cls)
+        rule.__dict__.update(known)
+        return rule
+
+    def accepts(self, place: int, height: float, highest: bool, turns: bool, steep: float) -> bool:
+        """Whether the next peak is a beat."""
+        ok, since, size = False, place - self.last, len(self.places)
         if highest:
-            if height > threshold and turns:
-                follows = bool(last) and p - last < 0.36 * fs and steep < 0.5 * last_steep
-                ok = not follows
-            if not ok and accepted > 1 and height > 0.5 * threshold:
-                ok = p - last >= 1.5 * np.diff(sorted(beats)).mean()
+            if height > self.threshold and turns:
+                ok = not (self.last and since < 0.36 * self.fs and steep < 0.5 * self.rise)
+            if not ok and self.accepted > 1 and height > 0.5 * self.threshold:
+                ok = since >= 1.5 * (max(self.places) - min(self.places)) / (size - 1)
         if ok:
-            beats[accepted % buffer], beat_heights[accepted % buffer] = p, height
-            accepted, last, last_steep, out[k] = accepted + 1, p, steep, True
+            self.places[self.accepted % size], self.high[self.accepted % size] = place, height
+            self.accepted, self.last, self.rise = self.accepted + 1, place, steep
         else:
-            noise_heights[rejected % buffer] = height
-            rejected += 1
-        floor = sum(noise_heights) / buffer
-        threshold = floor + share * (sum(beat_heights) / buffer - floor)
-    return out
+            self.low[self.rejected % size] = height
+            self.rejected += 1
+        floor = sum(self.low) / size
+        self.threshold = floor + self.share * (sum(self.high) / size - floor)
+        return ok
+
+
+def accept_beats(at: np.ndarray, facts: pd.DataFrame, first: float, fs: float) -> np.ndarray:
+    """Which of the peaks at these positions are beats."""
+    rule = BeatRule(first, fs)
+    return np.array([rule.accepts(*row) for row in zip(at.tolist(), facts.height.tolist(), facts.highest.tolist(), facts.turns.tolist(), facts.steep.tolist())], bool)
 
 
 def r_peaks(x: np.ndarray, fs: float) -> np.ndarray:
@@ -103,36 +119,58 @@ def lagged_rise(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def pulse_onsets_of(slopes: np.ndarray, sr: int, backtracking: float = 0.0) -> np.ndarray:
-    """Onsets by a threshold that follows the last ten amplitudes; the last ten seconds give none.
+class OnsetRule:
+    """Onsets of pulses by a threshold that follows the last ten amplitudes; the last ten seconds of what is known give none.
 
     With backtracking, after ten seconds without an onset the walk goes back to five seconds further than it last went back
     to (the last onset at first), and the ring of amplitudes takes the level of what follows the last onset. The threshold
     itself moves with the next onset only.
+
+    Slopes may come in pieces: held ones are those from `base` on, as far back as the walk may still look.
     """
-    reach, ten = int(sr / (1000 / 150)), 10 * sr
-    head = slopes[:ten]
-    if not len(head):
-        return np.zeros(0, np.int64)
-    level = head.mean() + 2 * head.std()
-    cut = level - head.std()
-    ring, turn = np.full(10, level), 0
-    onsets: list[int] = []
-    i, last, back = reach, 0, 0
-    while i < len(slopes) - ten:
-        if slopes[i] > cut:
-            last = back = i - reach + int(np.argmax(slopes[i - reach : i + reach]))
-            onsets.append(last)
-            turn = (turn + 1) % len(ring)
-            ring[turn] = slopes[last]
-            cut = np.median(ring) - 2 * ring.std()
-            i += 3 * reach - 1
-        i += 1
-        if backtracking and last < i - ten:
-            ring[:] = 3 * slopes[last + sr : last + 11 * sr].mean()
-            i = back + reach
-            back += 5 * sr
-    return np.array(onsets, np.int64)
+
+    def __init__(self, sr: int, backtracking: float = 0.0):
+        self.sr, self.backtracking, self.reach, self.ten = sr, backtracking, int(sr / (1000 / 150)), 10 * sr
+        self.ring, self.turn, self.cut = [], 0, 0.0
+        self.i, self.last, self.back, self.base, self.held = self.reach, 0, 0, 0, []
+
+    @classmethod
+    def of(cls, known: dict) -> "OnsetRule":
+        rule = cls.__new__(cls)
+        rule.__dict__.update(known)
+        return rule
+
+    def take(self, slopes: np.ndarray) -> list[int]:
+        """The onsets that are certain with these slopes behind those before."""
+        x = np.r_[self.held, slopes]
+        end = self.base + len(x)
+        onsets: list[int] = []
+        at = lambda a, b: x[max(0, a - self.base) : max(0, b - self.base)]
+        if not self.ring and end > self.ten:
+            head = x[: self.ten]
+            level = float(head.mean() + 2 * head.std())
+            self.ring, self.cut = [level] * 10, level - float(head.std())
+        while self.ring and self.i < end - self.ten:
+            if x[self.i - self.base] > self.cut:
+                self.last = self.back = self.i - self.reach + int(np.argmax(at(self.i - self.reach, self.i + self.reach)))
+                onsets.append(self.last)
+                self.turn = (self.turn + 1) % len(self.ring)
+                self.ring[self.turn] = float(x[self.last - self.base])
+                self.cut = float(np.median(self.ring) - 2 * np.std(self.ring))
+                self.i += 3 * self.reach - 1
+            self.i += 1
+            if self.backtracking and self.last < self.i - self.ten:
+                self.ring = [3 * float(at(self.last + self.sr, self.last + 11 * self.sr).mean())] * 10
+                self.i = self.back + self.reach
+                self.back += 5 * self.sr
+        keep = max(self.base, min(self.i - self.reach, self.last if self.backtracking else self.i - self.reach) if self.ring else 0)
+        self.held, self.base = x[keep - self.base :].tolist(), keep
+        return onsets
+
+
+def pulse_onsets_of(slopes: np.ndarray, sr: int, backtracking: float = 0.0) -> np.ndarray:
+    """The onsets of a whole series of slopes."""
+    return np.array(OnsetRule(sr, backtracking).take(slopes), np.int64)
 
 
 def pulse_onsets(x: np.ndarray, sr: int, backtracking: float = 0.0) -> np.ndarray:

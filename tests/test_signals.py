@@ -385,3 +385,21 @@ def test_pulse_backtracking_by_the_plain_rule():
                 ring = [3 * x[j + sr : j + 11 * sr].mean()] * 10
                 i, back = back + w, back + 5 * sr
         assert detectors.pulse_onsets_of(x, sr, backtracking).tolist() == onsets and len(onsets) >= 10
+
+
+def test_density_by_rows_is_that_of_the_matrix(monkeypatch):
+    rng = np.random.default_rng(4)
+    p = density.on_sphere(*(rng.normal(0.7, 0.001, (2, 60))))
+    d = 2 * np.arcsin(np.sqrt(((p[:, :, None] - p[:, None]) ** 2).sum(axis=0)) / 2)
+    monkeypatch.setattr(density, "ROWS", 130)
+    core = density.core_distances(p, 4)
+    assert core == pytest.approx(np.sort(d, axis=1)[:, 3])
+    reach = np.maximum(np.maximum(core[:, None], core), d)
+    edges = density.spanning_tree(p, core)
+    # Kruskal's tree has the same weights
+    group, weights = list(range(60)), []
+    for a, b in sorted(((a, b) for a in range(60) for b in range(a)), key=lambda e: reach[e]):
+        if group[a] != group[b]:
+            weights.append(reach[a, b])
+            group = [group[a] if g == group[b] else g for g in group]
+    assert edges[:, 2] == pytest.approx(weights) and all(reach[int(a), int(b)] == pytest.approx(w) for a, b, w in edges)

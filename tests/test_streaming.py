@@ -1,6 +1,9 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from biosignal.streaming.features import peaks, sessions, sliding_features
+from biosignal.operators import detectors
+from biosignal.streaming.features import beats, peaks, pulse_onsets, sessions, sliding_features
 
 SCHEMA = "entity bigint, idx bigint, ts timestamp, x double"
 
@@ -38,3 +41,27 @@ def test_peaks_over_batches(spark, tmp_path):
     rows = [(1, k, "2024-01-01 00:00:00", float(v)) for k, v in enumerate(x)]
     out = run(spark, tmp_path, [rows[:3], rows[2:6], rows[6:]], peaks)
     assert sorted(r.idx for r in out) == [1, 3, 5, 8]
+
+
+def batches_of(values, cuts, entity=1):
+    rows = [(entity, k, "2024-01-01 00:00:00", float(v)) for k, v in enumerate(values)]
+    return [rows[max(0, a - 3) : b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]  # a few rows come twice
+
+
+def test_beats_over_batches(spark, tmp_path):
+    t = np.arange(0, 30, 1 / 250)
+    x = sum(np.exp(-((t - c) ** 2) / (2 * 0.01**2)) for c in np.arange(0.8, 29.5, 0.8)) + np.random.default_rng(2).normal(0, 0.05, len(t))
+    y = detectors.hamilton_tompkins(x, 250.0)
+    out = run(spark, tmp_path, batches_of(y, [7, 60, 1000, 1001, 4000]), lambda s: beats(s.withColumnRenamed("x", "y"), 250.0))
+    want = detectors.r_peaks(x, 250.0)
+    assert sorted(r.idx for r in out) == want[want + 52 < len(y)].tolist() and len(out) > 25
+
+
+@pytest.mark.parametrize("backtracking", [0.0, 1.0])
+def test_pulse_onsets_over_batches(spark, tmp_path, backtracking):
+    sr = 20
+    x = np.random.default_rng(3).uniform(0, 0.2, 90 * sr)
+    for k in [*range(20, 600, 20), *range(1100, 1500, 20)]:
+        x[k : k + 3] = [0.5, 1.0, 0.6] if k < 600 else [0.3, 0.55, 0.3]
+    out = run(spark, tmp_path, batches_of(x, [90, 210, 700, 1250]), lambda s: pulse_onsets(s, sr, backtracking))
+    assert sorted(r.idx for r in out) == sorted(detectors.pulse_onsets_of(x, sr, backtracking).tolist()) and len(out) >= 10
