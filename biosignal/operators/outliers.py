@@ -179,6 +179,10 @@ def _scan(block: pd.DataFrame, values: int, ratio: bool, threshold: float, max_r
         flat = np.zeros(len(block), bool)
         flat[good] = flags[place[good], seg[good]]
         far = np.abs(raw - mid[seg])
+        # what the filter has got used to may still be a spike: half of the width of nine readings in ten is surely sound
+        wide = np.full(len(first), np.inf) if ratio else block[f"wide{k}"].to_numpy(float)[first]
+        with np.errstate(invalid="ignore"):
+            likely = flat | good & (far > 0) & (far >= wide[seg] * (1 - 1e-9))
         level_long = np.full(len(block), -np.inf)
         level_long[good] = _long_level(far[good], seg[good], max_run + 1)
         # runs of the same value, over the readings that are there
@@ -205,7 +209,7 @@ def _scan(block: pd.DataFrame, values: int, ratio: bool, threshold: float, max_r
         parts.append(_rows(
             "edge", len(s), source=source[owner[s]], signal=k, chunk=chunk[owner[s]], pos=np.where(head[s] & tail[s], 2, np.where(head[s], 0, 1)), value=raw[at], n=end[s] - start[s],
             idx=[[] if long[i] else order[rows[start[i] : end[i]]].tolist() for i in s], bin=pd.array(np.frexp(far[at])[1], "Int32").astype("Int32"), low=np.where(counted, far[at], np.nan), high=level_long[at],
-            flagged=[int(flat[rows[start[i] : end[i]]].sum()) for i in s],
+            flagged=np.add.reduceat(flat[rows].astype(int), start)[s], long=np.add.reduceat(likely[rows].astype(int), start)[s],
         ))
         if ratio:
             flagged = flat & own
@@ -217,7 +221,7 @@ def _scan(block: pd.DataFrame, values: int, ratio: bool, threshold: float, max_r
                     at = at[np.abs(raw[rows[at]] / base - 1) > off]
                 single("spike", k, rows[at], raw)
             continue
-        single("candidate", k, np.flatnonzero(flat & own & good & ~fixed & ~loose), far)
+        single("candidate", k, np.flatnonzero(likely & own & good & ~fixed & ~loose), far)
         use = good & own & ~fixed & ~loose & (far > 0)
         exponent = np.frexp(far[use])[1]
         bins = pd.DataFrame({"seg": seg[use], "bin": exponent, "far": far[use], "flag": flat[use].astype(int)}).groupby(["seg", "bin"]).agg(n=("far", "size"), low=("far", "min"), high=("far", "max"), flagged=("flag", "sum")).reset_index()
@@ -255,7 +259,7 @@ def _joined(g: pd.DataFrame, keys: list[str], stuck: int, last: bool) -> list[pd
     closes = np.r_[begins[1:], True][end - 1] & np.isin(pos[end - 1], (1, 2))
     lists = g.idx.tolist()
     idx = [[i for x in lists[a:b] for i in x] for a, b in zip(start, end)]
-    low, high, flagged = g.low.to_numpy()[start], np.maximum.reduceat(g.high.to_numpy(), start), np.add.reduceat(g.flagged.to_numpy(), start)
+    low, high, flagged, likely = g.low.to_numpy()[start], np.maximum.reduceat(g.high.to_numpy(), start), np.add.reduceat(g.flagged.to_numpy(), start), np.add.reduceat(g.long.to_numpy(), start)
     low = np.where(np.logical_or.reduceat(np.isnan(g.low.to_numpy()), start), np.nan, low)
     facts = {"source": g.source.to_numpy()[start], "signal": g.signal.to_numpy()[start], "chunk": g.chunk.to_numpy()[start]}
     pick = lambda m: {c: v[m] for c, v in facts.items()}
@@ -263,7 +267,7 @@ def _joined(g: pd.DataFrame, keys: list[str], stuck: int, last: bool) -> list[pd
     out = []
     still = (opens | closes) & (not last)
     if still.any():
-        out.append(_rows("edge", int(still.sum()), **pick(still), pos=np.where(opens & closes, 2, np.where(opens, 0, 1))[still], value=value[start][still], n=total[still], idx=own(still), bin=g.bin.array[start][still], low=low[still], high=high[still], flagged=flagged[still]))
+        out.append(_rows("edge", int(still.sum()), **pick(still), pos=np.where(opens & closes, 2, np.where(opens, 0, 1))[still], value=value[start][still], n=total[still], idx=own(still), bin=g.bin.array[start][still], low=low[still], high=high[still], flagged=flagged[still], long=likely[still]))
     fixed = ~still & (total >= stuck)
     if fixed.any():
         out.append(_rows("stuck", int(fixed.sum()), **pick(fixed), n=total[fixed], idx=own(fixed)))
@@ -272,7 +276,7 @@ def _joined(g: pd.DataFrame, keys: list[str], stuck: int, last: bool) -> list[pd
         out.append(_rows("bin", int(loose.sum()), **pick(loose), bin=g.bin.array[start][loose], n=total[loose], low=low[loose], high=low[loose], flagged=flagged[loose]))
         long = loose & (high > 0)
         out.append(_rows("bin", int(long.sum()), **pick(long), bin=pd.array(np.frexp(high[long])[1], "Int32"), long=total[long]))
-        hit = loose & (flagged > 0)
+        hit = loose & (likely > 0)
         out.append(_rows("candidate", int(hit.sum()), **pick(hit), value=low[hit], n=total[hit], idx=own(hit)))
     return out
 
@@ -325,7 +329,7 @@ def implausible_readings(df: DataFrame, values: list[str], source: str = "rec_id
         inside = {k: F.when(~F.isnan(f"v{k}") & (F.col(f"v{k}") >= F.coalesce(F.col(f"low{k}"), F.lit(-math.inf))) & (F.col(f"v{k}") <= F.coalesce(F.col(f"high{k}"), F.lit(math.inf))), F.col(f"v{k}")) for k in range(len(values))}
         q = x.groupBy("source").agg(*[F.percentile_approx(inside[k], F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]), RANKS).alias(f"q{k}") for k in range(len(values))])
         sig = lambda k: F.greatest((F.col(f"q{k}")[3] - F.col(f"q{k}")[1]) / 1.349, (F.col(f"q{k}")[4] - F.col(f"q{k}")[0]) / 3.29)
-        q = q.select("source", *[F.col(f"q{k}")[2].alias(f"mid{k}") for k in range(len(values))], *[sig(k).alias(f"sig{k}") for k in range(len(values))])
+        q = q.select("source", *[F.col(f"q{k}")[2].alias(f"mid{k}") for k in range(len(values))], *[sig(k).alias(f"sig{k}") for k in range(len(values))], *[(F.col(f"q{k}")[4] - F.col(f"q{k}")[0]).alias(f"wide{k}") for k in range(len(values))])
         x = x.join(q, "source")
     at = F.floor(F.col("ord") / chunk).cast("bigint")
     reach = F.sequence(F.floor((F.col("ord") - margin) / chunk).cast("bigint"), F.floor((F.col("ord") + margin) / chunk).cast("bigint"))

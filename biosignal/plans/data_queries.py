@@ -117,7 +117,39 @@ pair AS (SELECT a.ping_id AS left_id, b.ping_id AS right_id,
          FROM cell a JOIN other b ON a.strip = b.strip AND a.ping_id < b.ping_id AND a.entity <> b.entity AND abs(a.y - b.y) <= 0.00018
          WHERE least(abs(a.x - b.x), 360 - abs(a.x - b.x)) * cos(radians(least(abs(a.y), abs(b.y)))) <= 0.0004)"""
 
+#: The definition of TESTDATA.md over whole recordings, without a filter.
+_IMPLAUSIBLE = """
+WITH acc AS (SELECT DISTINCT rec_id, idx, x, y, z FROM acceleration WHERE rec_id IS NOT NULL AND idx IS NOT NULL),
+long AS (SELECT 'x' AS signal, rec_id, idx, x AS v FROM acc UNION ALL SELECT 'y', rec_id, idx, y FROM acc UNION ALL SELECT 'z', rec_id, idx, z FROM acc),
+usual AS (SELECT rec_id, min(unit) AS unit FROM intervals GROUP BY rec_id),
+beat AS (SELECT DISTINCT 'nni' AS signal, i.rec_id, idx, nni * CASE coalesce(i.unit, u.unit) WHEN 'ns' THEN 1e-6 WHEN 'us' THEN 1e-3 WHEN 'ms' THEN 1e0 WHEN 's' THEN 1e3 END AS v FROM intervals i JOIN usual u USING (rec_id)),
+there AS (SELECT l.*, row_number() OVER (PARTITION BY signal, rec_id ORDER BY idx) AS n,
+        CASE WHEN signal = 'nni' THEN v < 200 OR v > 3000 ELSE isinf(v) OR coalesce(abs(v) > r.full_scale * (1 + 1e-9) AND NOT isnan(r.full_scale), false) END AS impossible
+        FROM (SELECT * FROM long UNION ALL SELECT * FROM beat) l LEFT JOIN recordings r USING (rec_id) WHERE v IS NOT NULL AND NOT isnan(v)),
+island AS (SELECT *, n - row_number() OVER (PARTITION BY signal, rec_id, v ORDER BY n) AS i FROM there),
+runs AS (SELECT *, count(*) OVER (PARTITION BY signal, rec_id, v, i) >= 15 AS stuck FROM island),
+good AS (SELECT *, row_number() OVER (PARTITION BY signal, rec_id ORDER BY idx) AS k FROM runs WHERE NOT impossible),
+-- spikes of axes: the lowest gap of a factor of two in the distances from the median above which eight of ten readings come in runs of three at most
+middle AS (SELECT signal, rec_id, quantile_disc(v, 0.5) AS m FROM good WHERE signal <> 'nni' GROUP BY ALL),
+far AS (SELECT g.signal, g.rec_id, g.idx, g.k, g.stuck, abs(g.v - m) AS far FROM good g JOIN middle USING (signal, rec_id)),
+gap AS (SELECT signal, rec_id, far AS least FROM (SELECT signal, rec_id, far, lag(far) OVER (PARTITION BY signal, rec_id ORDER BY far) AS below FROM far WHERE NOT stuck AND far > 0) WHERE far >= 2 * below),
+above AS (SELECT f.*, least, f.k - row_number() OVER (PARTITION BY f.signal, f.rec_id, least ORDER BY f.k) AS run FROM far f JOIN gap g ON g.signal = f.signal AND g.rec_id = f.rec_id AND f.far >= least),
+sized AS (SELECT *, count(*) OVER (PARTITION BY signal, rec_id, least, run) AS length FROM above),
+valid AS (SELECT signal, rec_id, min(least) AS least FROM (SELECT signal, rec_id, least FROM sized WHERE NOT stuck GROUP BY ALL HAVING avg(CASE WHEN length <= 3 THEN 1 ELSE 0 END) >= 0.8) GROUP BY ALL),
+-- spikes of intervals: over 40 % off the median of the four sound ones before and after; those over 28 % off a running median are not sound
+rough AS (SELECT *, median(v) OVER (PARTITION BY rec_id ORDER BY k ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS m FROM good WHERE signal = 'nni'),
+sound AS (SELECT rec_id, v, k, row_number() OVER (PARTITION BY rec_id ORDER BY k) AS s FROM rough WHERE abs(v / m - 1) <= 0.28),
+off AS (SELECT r.rec_id, r.idx, r.v, coalesce(max(s.s), 0) AS s FROM rough r LEFT JOIN sound s ON s.rec_id = r.rec_id AND s.k < r.k WHERE abs(r.v / r.m - 1) > 0.28 GROUP BY ALL),
+based AS (SELECT o.rec_id, o.idx, o.v, median(s.v) AS base FROM off o JOIN sound s ON s.rec_id = o.rec_id AND s.s BETWEEN o.s - 3 AND o.s + 4 GROUP BY ALL),
+found AS (
+  SELECT signal, rec_id, idx, 'impossible' AS kind FROM runs WHERE impossible
+  UNION ALL SELECT signal, rec_id, idx, 'stuck' FROM runs WHERE stuck
+  UNION ALL SELECT f.signal, f.rec_id, f.idx, 'spike' FROM far f JOIN valid g ON g.signal = f.signal AND g.rec_id = f.rec_id AND f.far >= g.least WHERE NOT stuck
+  UNION ALL SELECT 'nni', rec_id, idx, 'spike' FROM based WHERE abs(v / base - 1) > 0.4)"""
+
 SQL = {
+    "p5_found": f"{_IMPLAUSIBLE} SELECT DISTINCT signal, rec_id, idx FROM found",
+    "p5_kinds": f"{_IMPLAUSIBLE} SELECT signal, rec_id, kind, count(DISTINCT idx) AS readings FROM found GROUP BY ALL",
     "p3_near_distances": f"""WITH {_FIXES}, {_NEAR}
 SELECT left_id, right_id, CAST(floor(m * 10) AS BIGINT) AS decimetres FROM pair WHERE m <= 20""",
     "p3_found": f"""WITH {_FIXES}, {_NEAR},
