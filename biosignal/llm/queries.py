@@ -72,7 +72,28 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p4_clusters": p4_clusters, "p6_found": p6_found, "p6_report": p6_report, "p6_clean": p6_clean, "p7_found": p7_found, "p7_shares": p7_shares, "p7_uses": p7_uses, "p8_found": p8_found, "p8_measures": p8_measures}
 
+def _shifted(k: int, reach: int) -> str:
+    """The mean of the fixes around a probe's place moved k - 1 times."""
+    cell = " AND ".join(f"s.c{c} = CAST(floor(p.{c} / 250) AS BIGINT)" for c in "xyz")
+    apart = " + ".join(f"(s.{c} - p.{c}) * (s.{c} - p.{c})" for c in "xyz")
+    return f"p{k} AS (SELECT p.probe, p.px, p.py, p.pz, avg(s.x) AS x, avg(s.y) AS y, avg(s.z) AS z, count(DISTINCT s.ping_id) AS n FROM p{k - 1} p JOIN spread s ON {cell} WHERE {apart} <= {reach * reach} GROUP BY ALL)"
+
+
+#: Another definition of the same clusters: each probe climbs to the middle of the fixes around it; it belongs to a cluster if
+#: 30 fixes lie around that, itself among them.
+_CLIMB = """
+WITH fix AS (SELECT DISTINCT ping_id, 6371009 * cos(radians(latitude)) * cos(radians(longitude)) AS x, 6371009 * cos(radians(latitude)) * sin(radians(longitude)) AS y, 6371009 * sin(radians(latitude)) AS z
+        FROM android_phone_location WHERE abs(latitude) <= 90 AND abs(longitude) <= 180 AND NOT (latitude = 0 AND longitude = 0)),
+step AS (SELECT unnest([-1, 0, 1]) AS d),
+spread AS (SELECT f.*, CAST(floor(x / 250) AS BIGINT) + a.d AS cx, CAST(floor(y / 250) AS BIGINT) + b.d AS cy, CAST(floor(z / 250) AS BIGINT) + e.d AS cz FROM fix f, step a, step b, step e),
+p0 AS (SELECT DISTINCT f.ping_id AS probe, f.x AS px, f.y AS py, f.z AS pz, f.x, f.y, f.z FROM fix f JOIN probe_fixes USING (ping_id)),
+""" + ",\n".join(_shifted(k, 150) for k in range(1, 6)) + """,
+own AS (SELECT * FROM p5 WHERE n >= 30 AND (px - x) * (px - x) + (py - y) * (py - y) + (pz - z) * (pz - z) <= 22500)
+SELECT a.probe AS ping_a, b.probe AS ping_b FROM own a JOIN own b ON a.probe < b.probe
+  AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 62500"""
+
 SQL = {
+    "p4_found": _CLIMB,
     # words and single signs stand for tokens: any tokenizer gives the same sources
     "p7_found": """
 WITH d AS (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS key, len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS n FROM documents),
