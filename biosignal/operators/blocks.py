@@ -46,8 +46,9 @@ def segmented(frames: Iterable[pd.DataFrame], keys: list[str], rows: int) -> Ite
         yield pd.concat(held, ignore_index=True)
 
 
-def map_segments(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 50_000) -> DataFrame:
-    """Bring each segment into one partition in order, and run the kernel over blocks of whole segments."""
+def map_segments(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 50_000, ranged: bool = False) -> DataFrame:
+    """Bring each segment into one partition in order, and run the kernel over blocks of whole segments. ranged: partitions are
+    ranges of the keys, of about equal size, so that neighbours lie together."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in segmented(frames, keys, rows):
@@ -55,4 +56,5 @@ def map_segments(df: DataFrame, keys: list[str], order: list[str], kernel: Calla
             if len(out):
                 yield out
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    parted = df.repartitionByRange(*keys) if ranged else df.repartition(*keys)
+    return parted.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -1,8 +1,9 @@
 """Points near other points, and the regions that contain a point.
 
 Near pairs. The globe is cut into strips of latitude, each into blocks of longitude; a point goes to every block that
-lies within the distance of it, so strips and blocks overlap by that distance. Inside a block the points are ordered by
-longitude and swept with an active window, and distances are verified. Of the blocks that see a pair, the one that holds
+lies within the distance of it, so strips and blocks overlap by that distance. Partitions are ranges of strips and blocks.
+Inside a block the points are ordered by longitude and swept with an active window, and distances are verified. Points of one
+owner are no pairs: where few owners pile up, each is swept against the others, where many do, all at once. Of the blocks that see a pair, the one that holds
 the point with the smaller id in its core owns it.
 
 Blocks are counted first (with map-side combining). A block whose points all belong to one owner cannot hold a pair and
@@ -81,35 +82,45 @@ def _sweep(block: pd.DataFrame, distance_m: float) -> pd.DataFrame:
         groups = np.unique(who)
         if len(groups) < 2:
             continue
+
+        def verify(i: np.ndarray, j: np.ndarray) -> None:
+            ok = (np.abs(la[i] - la[j]) <= distance_m / DEGREE_M * 1.0001) & (who[i] != who[j])
+            if cross:
+                ok &= sub[i] != sub[j]
+            i, j = i[ok], j[ok]
+            d = great_circle(la[i], lo[i], la[j], lo[j])
+            smaller = np.where(no[i] < no[j], i, j)
+            ok = (d <= distance_m) & hm[smaller] & (no[i] != no[j])
+            left.append(np.minimum(no[i], no[j])[ok])
+            right.append(np.maximum(no[i], no[j])[ok])
+            far.append(d[ok])
+
+        def windows(mine: np.ndarray, other: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+            """Each of `mine` with the `other` from low to high, some millions of pairs at once."""
+            todo = 0
+            while todo < len(mine):
+                upto = todo + max(1, int(np.searchsorted(np.cumsum((high - low)[todo:]), 2_000_000)))
+                n = (high - low)[todo:upto]
+                i = np.repeat(mine[todo:upto], n)
+                verify(i, other[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[todo:upto], n)])
+                todo = upto
+
+        every = np.arange(len(x))
+        end = np.searchsorted(x, x + reach, side="right")
+        if int((end - every - 1).sum()) <= len(groups) * len(x):
+            windows(every, every, every + 1, end)
+            continue
         # the active window of each point, against the points of the owners after its own
         order = np.argsort(who, kind="stable")
-        bounds = np.searchsorted(who[order], groups)
+        bounds = np.r_[np.searchsorted(who[order], groups), len(order)]
         rest = np.ones(len(x), bool)
-        for g, k in zip(groups, bounds):
-            mine = order[k : k + int((who == g).sum())] if len(groups) > 2 else np.flatnonzero(who == g)
+        for k in range(len(groups)):
+            mine = order[bounds[k] : bounds[k + 1]]
             rest[mine] = False
             other = np.flatnonzero(rest)
             if not len(other):
                 break
-            lo_at, hi_at = np.searchsorted(x[other], x[mine] - reach), np.searchsorted(x[other], x[mine] + reach, side="right")
-            todo = 0
-            while todo < len(mine):
-                sizes = np.cumsum((hi_at - lo_at)[todo:])
-                upto = todo + max(1, int(np.searchsorted(sizes, 2_000_000)))
-                n = (hi_at - lo_at)[todo:upto]
-                i = np.repeat(mine[todo:upto], n)
-                j = other[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo_at[todo:upto], n)]
-                todo = upto
-                ok = np.abs(la[i] - la[j]) <= distance_m / DEGREE_M * 1.0001
-                if cross:
-                    ok &= sub[i] != sub[j]
-                i, j = i[ok], j[ok]
-                d = great_circle(la[i], lo[i], la[j], lo[j])
-                smaller = np.where(no[i] < no[j], i, j)
-                ok = (d <= distance_m) & hm[smaller] & (no[i] != no[j])
-                left.append(np.minimum(no[i], no[j])[ok])
-                right.append(np.maximum(no[i], no[j])[ok])
-                far.append(d[ok])
+            windows(mine, other, np.searchsorted(x[other], x[mine] - reach), np.searchsorted(x[other], x[mine] + reach, side="right"))
     if not left:
         return pd.DataFrame({"left_id": [], "right_id": [], "distance_m": []})
     return pd.DataFrame({"left_id": np.concatenate(left), "right_id": np.concatenate(right), "distance_m": np.concatenate(far)})
@@ -134,7 +145,7 @@ def near_pairs(df: DataFrame, distance_m: float, id: str = "ping_id", owner: str
     p = p.join(kept, ["strip", "block"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     tile = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.concat_ws("-", F.least(q, F.col("part")).cast("string"), F.greatest(q, F.col("part")).cast("string")))
     p = p.select("id", "owner", "lat", "lon", "strip", "block", "dlon", "home", "part", F.explode(tile).alias("tile"))
-    return map_segments(p, ["strip", "block", "tile"], ["lon", "lat", "id"], lambda b: _sweep(b, distance_m), f"left_id {kind}, right_id {kind}, distance_m double")
+    return map_segments(p, ["strip", "block", "tile"], ["lon", "lat", "id"], lambda b: _sweep(b, distance_m), f"left_id {kind}, right_id {kind}, distance_m double", ranged=True)
 
 
 def ring_edges(zones: DataFrame, zone: str = "zone_id", seq: str = "seq", lat: str = "latitude", lon: str = "longitude") -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,18 @@ def test_regions_against_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
     assert containing_regions(points(spark, []), zones).count() == 0
     assert containing_regions(points(spark, rows), zones.where(F.lit(False))).count() == 0
+
+
+def test_blocks_of_many_owners_and_of_few():
+    """One sweep of all points and a sweep an owner give the pairs of brute force."""
+    from biosignal.operators.nearby import _sweep
+
+    rng = np.random.default_rng(11)
+    for n, owners, width in ((300, 250, 400), (300, 3, 60), (300, 3, 4000), (40, 1, 10)):
+        lat, lon = 10 + rng.uniform(0, width, n) / 111194.9, 20 + rng.uniform(0, width, n) / 111194.9
+        who = rng.integers(0, owners, n)
+        block = pd.DataFrame({"strip": 1, "block": 2, "tile": "0-0", "lon": lon, "lat": lat, "id": np.arange(n), "owner": who, "home": True, "dlon": 0.0004, "part": 0})
+        got = _sweep(block.sort_values(["lon", "lat", "id"]), 20.0)
+        d = great_circle(lat[:, None], lon[:, None], lat, lon)
+        want = {(i, j) for i in range(n) for j in range(i + 1, n) if d[i, j] <= 20 and who[i] != who[j]}
+        assert set(zip(got.left_id, got.right_id)) == want and len(got) == len(want)
