@@ -5,10 +5,11 @@ import os
 
 import pytest
 
-from biosignal.plans import data_queries, signal_queries
+from biosignal.plans import data_queries, signal_queries, stream_queries
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = {**data_queries.QUERIES, **signal_queries.QUERIES}, {**data_queries.SQL, **signal_queries.SQL}
+MODULES = (data_queries, signal_queries, stream_queries)
+QUERIES, SQL = {k: v for m in MODULES for k, v in m.QUERIES.items()}, {k: v for m in MODULES for k, v in m.SQL.items()}
 
 
 @pytest.fixture(scope="module")
