@@ -403,3 +403,17 @@ def test_density_by_rows_is_that_of_the_matrix(monkeypatch):
             weights.append(reach[a, b])
             group = [group[a] if g == group[b] else g for g in group]
     assert edges[:, 2] == pytest.approx(weights) and all(reach[int(a), int(b)] == pytest.approx(w) for a, b, w in edges)
+
+
+def test_long_transforms_are_those_of_one_task(spark):
+    rng = np.random.default_rng(12)
+    x = [rng.normal(size=n) for n in (997, 1024, 1, 2, 40)]
+    for f in (spectral.fft, spectral.ifft):
+        d = series(spark, *x).withColumn("im", F.col("x") * 0.5 + F.col("idx") % 3)
+        got = f(d, "x", "im", longest=30)
+        for e, v in enumerate(x):
+            z = v + 1j * (v * 0.5 + np.arange(len(v)) % 3)
+            want = np.fft.fft(z) if f is spectral.fft else np.fft.ifft(z)
+            rows = got.where(F.col("entity") == e).orderBy("k").collect()
+            assert [r.k for r in rows] == list(range(len(v)))
+            assert np.array([r.re + 1j * r.im for r in rows]) == pytest.approx(want, abs=1e-9)
