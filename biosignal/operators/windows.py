@@ -74,9 +74,10 @@ Feature = Column | Callable[[Rows], Column]
 
 
 class opaque:
-    """A feature by a Python function of the window's values, an array in order. NULLs are NaN."""
+    """A feature by a Python function of the window's values, an array in order. NULLs are NaN. The result may have any shape
+    that `returns` can say, such as "array<double>"."""
 
-    def __init__(self, function: Callable[[np.ndarray], float], returns: str = "double"):
+    def __init__(self, function: Callable[[np.ndarray], object], returns: str = "double"):
         self.function, self.returns = function, returns
 
     def held(self, x: str, order: str) -> Column:

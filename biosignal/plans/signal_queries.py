@@ -10,6 +10,7 @@ from biosignal.functions import aggregates as A
 from biosignal.functions import scalars as S
 from biosignal.operators import density, detectors, dsp, frames, hrv, information, location, rqa, spectral, timedom, windows
 from biosignal.plans.compose import compose, rcompose
+from biosignal.sources.adapters import sampling_rate, signal
 from biosignal.sources.tables import load, micros
 
 QUERIES: dict = {}
@@ -153,6 +154,35 @@ def stats_coeff_var(spark, folder):
 
 SQL["stats_coeff_var"] = f"WITH {V_SIG} SELECT entity, round(stddev_pop(x) / nullif(avg(x), 0), 6) AS coeff_var FROM sig GROUP BY entity"
 
+
+
+@query
+def frame_signal(spark, folder):
+    """A series of the first numeric column that is neither the entity nor part of the order."""
+    return rounded(signal(load(spark, folder, "events"), "event_type", ["ts", "event_id", "user_id"]).select("entity", "idx", "x"))
+
+
+SQL["frame_signal"] = "WITH s AS (SELECT event_type AS entity, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id, user_id) - 1 AS BIGINT) AS idx, value AS x FROM events) SELECT entity, idx, round(x, 6) AS x FROM s"
+
+
+@query
+def frame_rate(spark, folder):
+    """Sampling rate after the first two readings of each recording."""
+    a = load(spark, folder, "acceleration").where(F.col("ts").isNotNull()).select("rec_id", "idx", "ts").distinct()
+    return sampling_rate(frames.series(a, "rec_id", ["ts", "idx"], F.col("idx"))).select("entity", significant("fs").alias("fs"))
+
+
+SQL["frame_rate"] = f"WITH a AS (SELECT DISTINCT rec_id AS entity, idx, epoch_us(ts) AS us FROM acceleration WHERE ts IS NOT NULL AND rec_id IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY us, idx) AS n FROM a), f AS (SELECT entity, 1e6 / nullif(max(us) - min(us), 0) AS fs FROM r WHERE n <= 2 GROUP BY entity) SELECT entity, {significant_sql('fs')} AS fs FROM f"
+
+
+@query
+def scalar_absolute(spark, folder):
+    """Absolute and identical values."""
+    return rounded(centred(spark, folder).select("entity", "idx", S.absolute("x").alias("size"), S.identity(F.col("x")).alias("same")))
+
+
+SQL["scalar_absolute"] = f"WITH {V_CEN} SELECT entity, idx, round(abs(x), 6) AS size, round(x, 6) AS same FROM sig"
+
 # ------------------------------------------------------------------ time domain
 
 _GRAD = f"coalesce((lead(x) {W} - lag(x) {W}) / 2, lead(x) {W} - x, x - lag(x) {W})"
@@ -384,6 +414,19 @@ def roll_opaque_bounds(spark, folder):
 
 SQL["roll_opaque_bounds"] = f"WITH {V_SIG}, w AS (SELECT entity, unnest(range(0, count(*) // 10 + 1)) AS window FROM sig GROUP BY entity) SELECT w.entity, w.window, round(CASE WHEN count(s.x) >= 2 THEN mad(s.x) END, 6) AS mad FROM w LEFT JOIN sig s ON s.entity = w.entity AND s.idx >= w.window * 10 AND s.idx < w.window * 11 GROUP BY ALL"
 
+
+_ENDS = {"ends": windows.opaque(lambda v: np.sort(v)[[0, -1]], "array<double>")}
+
+
+@query
+def roll_opaque_array(spark, folder):
+    """A Python function with an array as its result: the two ends of each window."""
+    r = windows.rolling(sig(spark, folder), _ENDS, 6, 3)
+    return rounded(r.select("entity", "window", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high")))
+
+
+SQL["roll_opaque_array"] = f"WITH {V_SIG}, r AS (SELECT entity, idx, min(x) OVER f AS low, max(x) OVER f AS high, count(*) OVER f AS n FROM sig WINDOW f AS (PARTITION BY entity ORDER BY idx ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)) SELECT entity, idx // 3 AS \"window\", round(low, 6) AS low, round(high, 6) AS high FROM r WHERE idx % 3 = 0 AND n = 6"
+
 # ------------------------------------------------------------------ heart-rate variability
 
 _D = f"d AS (SELECT entity, nni, nni - lag(nni) {W} AS d, nni + lag(nni) {W} AS s FROM nni)"
