@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 QUOTES = re.compile(r"\[quote[^\]]*\]|\[/quote\]|<blockquote[^>]*>|</blockquote>", re.I)
 # a line after a pipe is a quote, but for the row of a table, with pipes between its cells
-QUOTE_LINE = re.compile(r"^\s*(?:>|&gt;).*$|^[^\S\n]*\|[^\S\n](?:[^\S\n]|[|>]|&gt;)*[^|\n]*$|^.{0,60}\b(?:wrote|schrieb|escribió|a écrit)\s*:\s*$", re.M | re.I)
+QUOTE_LINE = re.compile(r"^\s*(?:>|&gt;).*$|^[^\S\n]*\|[^\S\n](?:[^\S\n]|[|>]|&gt;)*[^|\n]*$|^.{0,200}\b(?:wrote|schrieb|escribió|a écrit)\s*:\s*$", re.M | re.I)
 #: What every such line has, and what every link has.
 QUOTE_SIGN = re.compile(r"[>|]|&gt;|:[^\S\n]*$", re.M | re.I)
 LINK_SIGN = re.compile(r"\[(?:url|img)|<a\s|://|www|\.[^\W\d_]{2}| \[dot\] ", re.I)
