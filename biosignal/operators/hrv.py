@@ -11,6 +11,7 @@ from biosignal.functions import aggregates as A
 from biosignal.functions.scalars import td_factor
 from biosignal.operators import windows
 from biosignal.operators.frames import framed, near, owned, running_sum
+from biosignal.session import materialise
 
 
 def with_steps(df: DataFrame) -> DataFrame:
@@ -46,7 +47,8 @@ def windowed_deviation(df: DataFrame, interval: float = 300, unit: str | None =
         if unit is None:
             raise ValueError("give an index or the unit of the intervals")
         micro = td_factor(unit) / 1e3
-        df, ts = cumulative(df).withColumn("__us", F.round(F.col("elapsed") * micro).cast("bigint")), "__us"
+        # read for the windows and for the rows: written once, as running sums read their input twice already
+        df, ts = materialise(cumulative(df).select("entity", "nni", F.round(F.col("elapsed") * micro).cast("bigint").alias("__us"))), "__us"
     size = int(interval * 1e6)
     w = windows.irregular(df, {"m": F.avg("nni"), "s": F.stddev_pop("nni")}, size, size, ts=ts)
     whole = F.lit(True) if skip_empty else F.count("m") == F.count(F.lit(1))
