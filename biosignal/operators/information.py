@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biosignal.operators.frames import framed, near, owned
+from biosignal.session import materialise
 
 
 def entropy(df: DataFrame, counts: str = "n", by: str = "entity") -> DataFrame:
@@ -32,6 +33,7 @@ def sampen(df: DataFrame, mm: int = 2, r: float = 0.2, sd: float | None = None)
     tol = df.groupBy("entity").agg((F.lit(r) * (F.lit(sd) if sd is not None else F.stddev_pop("x"))).alias("tol"))
     t = owned(framed(df, 0, mm).withColumns({f"x{k}": F.lead("x", k).over(near()) for k in range(1, mm + 1)}))
     t = t.withColumnRenamed("x", "x0").where(F.col(f"x{mm}").isNotNull()).join(tol, "entity").where(F.col("tol") > 0)
+    t = materialise(t.select("entity", "tol", "idx", *[f"x{k}" for k in range(mm + 1)]))  # both sides of the join
     dims = range(min(mm, 2))
     cell = lambda k: F.floor(F.col(f"x{k}") / F.col("tol")).cast("bigint")
     a = t.select("entity", "tol", F.col("idx").alias("i"), *[F.col(f"x{k}").alias(f"a{k}") for k in range(mm + 1)], *[cell(k).alias(f"c{k}") for k in dims])
@@ -43,7 +45,7 @@ def sampen(df: DataFrame, mm: int = 2, r: float = 0.2, sd: float | None = None)
     for k in range(mm):
         p = p.where(close(k))
     n = p.groupBy("entity").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(close(mm)).alias("matches"))
-    out = df.select("entity").distinct().join(n, "entity", "left")
+    out = tol.select("entity").join(n, "entity", "left")
     n0 = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     return out.select("entity", n0("pairs").alias("pairs"), n0("matches").alias("matches"), (-F.ln(F.try_divide(F.nullif(n0("matches"), F.lit(0)), n0("pairs")))).alias("sampen"))
 

@@ -55,10 +55,11 @@ def vertical_lengths(pairs: DataFrame, minlen: int = 2) -> DataFrame:
 def rates(df: DataFrame, pairs: DataFrame, normalize: str = "all") -> DataFrame:
     """(entity, recurrence_rate, determinism, laminarity): shares of N^2 cells, or of the recurrent ones."""
     n = df.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    total = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("recurrent"))
-    det = diagonal_lengths(pairs).groupBy("entity").agg(F.sum("length").alias("diagonal"))
-    lam = _runs(pairs, F.col("i"), "j").where(F.col("length") >= 2).groupBy("entity").agg(F.sum("length").alias("vertical"))
-    j = n.join(total, "entity", "left").join(det, "entity", "left").join(lam, "entity", "left").fillna(0, ["recurrent", "diagonal", "vertical"])
+    lines = F.sum(F.when(F.col("length") >= 2, F.col("length")))
+    # every recurrent pair lies in one run of each direction
+    det = _runs(pairs, F.col("i") - F.col("j"), "i").groupBy("entity").agg(F.sum("length").alias("recurrent"), lines.alias("diagonal"))
+    lam = _runs(pairs, F.col("i"), "j").groupBy("entity").agg(lines.alias("vertical"))
+    j = n.join(det, "entity", "left").join(lam, "entity", "left").fillna(0, ["recurrent", "diagonal", "vertical"])
     cells = F.col("n") * F.col("n")
     of = F.col("recurrent") if normalize == "recurrent" else cells
     return j.select("entity", (F.col("recurrent") / cells).alias("recurrence_rate"), F.try_divide("diagonal", of).alias("determinism"), F.try_divide("vertical", of).alias("laminarity"))
